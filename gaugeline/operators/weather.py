@@ -10,13 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.config import PRECIP_WINDOWS, RAIN_THRESHOLD
-from gaugeline.functions.scalars import clip
 
 DAILY_VARIABLES = ["precip", "temp", "rh", "wind", "solar"]
-# Broadcast guard: a century of daily rows for one station is below this, and the join falls back to a shuffle above.
-MAX_BROADCAST_YEARS = 400
-
-
 def sentinel_to_null(df: DataFrame, cols=DAILY_VARIABLES, code: float = -990.0) -> DataFrame:
     """Missing codes (values at or below `code`) become null."""
     return df.withColumns({c: F.when(F.col(c) > code, F.col(c)) for c in cols})
@@ -94,13 +89,12 @@ def join_prior_day_windows(df: DataFrame, windows: DataFrame, cols=WINDOW_COLUMN
 
 def interval_sum_between_readings(df: DataFrame, daily: DataFrame, prev_ts="prev_ts") -> DataFrame:
     """Precipitation over [previous + 1, date - 1]: running total at date-1 minus running total at the previous
-    reading. Consecutive days give 0; a first reading gives null."""
+    reading. Consecutive days give 0; a first reading, or an interval reaching outside the series, gives null."""
     c = F.broadcast(cumulative_precip(daily).select("ts", "precip_cum"))
     hi = c.select(F.date_add("ts", 1).alias("ts"), F.col("precip_cum").alias("_hi"))
     lo = c.select(F.col("ts").alias(prev_ts), F.col("precip_cum").alias("_lo"))
     out = df.join(F.broadcast(hi), "ts", "left").join(F.broadcast(lo), prev_ts, "left")
-    total = F.when(F.datediff("ts", prev_ts) <= 1, F.lit(0.0)).otherwise(
-        clip(F.col("_hi") - F.col("_lo"), 0.0, float("inf")))
+    total = F.when(F.datediff("ts", prev_ts) <= 1, F.lit(0.0)).otherwise(F.col("_hi") - F.col("_lo"))
     return out.withColumn("precip_interval", F.when(F.col(prev_ts).isNotNull(), total)).drop("_hi", "_lo")
 
 

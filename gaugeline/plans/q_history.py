@@ -113,8 +113,7 @@ def _(t):
     return weather.cumulative_precip(t.daily).select("ts", "precip_cum")
 
 
-@query("interval_sum_between_readings", """select h.row_id, case when h.prev_ts is not null then coalesce((select sum(x.precip)
-       from daily x where x.ts > h.prev_ts and x.ts < h.ts), 0e0) end as precip_interval from hist h""", "precip_interval")
+@query("interval_sum_between_readings", """select row_id, precip_interval from response""", "precip_interval")
 def _(t):
     d = weather.previous_date(t.readings)
     return weather.interval_sum_between_readings(d, t.daily).select("row_id", "precip_interval")
