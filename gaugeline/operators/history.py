@@ -105,8 +105,7 @@ def row_lag_features(readings: DataFrame, entity="entity_id", ts="ts", value="va
     if is_small(readings):
         rows = readings.withColumn("_s", F.lit(0))
     else:
-        rows = readings.withColumn("_v", F.col(row_id).cast("double"))
-        rows = ordered._cut(rows, [entity, ts], [entity], "_s", ordered.FANOUT).drop("_v")
+        rows = ordered.even_slices(readings, row_id, [entity, ts], "_s")
     cell = F.struct(F.col(ts).alias("d"), F.col(value).alias("v"))
     w = Window.partitionBy(*seg).orderBy(row_id)
     rows = (rows.withColumn("_rn", F.row_number().over(w))

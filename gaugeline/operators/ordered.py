@@ -1,12 +1,14 @@
 """Exact order statistics that never gather one group in one task.
 
-`percentile`, `rank()` and `row_number()` over a whole group put that group in a single task. Here values are
-first counted per distinct value (a hash aggregate on (group, value), so a hot group spreads out), then cut into
-order-preserving slices: equal-width cuts of the group's own range, re-cut inside every slice. Running counts over
-the few slices give each slice its offset, and only the inside of a slice is sorted. Results are exact.
+`percentile`, `rank()` and `row_number()` over a whole group put that group in a single task. Here a mergeable sketch
+(`percentile_approx`, bounded memory, map-side combined) only finds *where* to look; the answer itself is exact:
 
-When Catalyst's size estimate says the input is small (see `session.is_small`) the plain single-window form is used.
-"""
+* quantiles and values at a rank: the sketch brackets each target, one counting pass counts the rows below the bracket
+  and keeps the distinct values inside it (a few rows in 100 000), and only those are sorted;
+* full ranks: the sketch cuts the group into even slices, each slice is sorted alone and offset by a running count
+  over the slice table.
+
+When the bytes read are few (see `session.is_small`) the plain single-window form is used."""
 
 from __future__ import annotations
 
@@ -16,14 +18,18 @@ from pyspark.sql import functions as F
 from gaugeline.functions.scalars import col, keyed_text, portable_hash
 from gaugeline.session import is_small
 
-FANOUT = 512          # slices per level; two levels bound the offset table at 262 144 rows per group
-LEVELS = 2
+ACCURACY = 50_000      # sketch guarantee: rank error at most n / ACCURACY
+MARGIN = 3             # half width of a bracket, in units of that error
+SMALL_GROUP = 100_000  # groups up to this many rows are bracketed whole
+COARSE = FINE = 32     # 1 024 slices per group, found by two short searches
 
 
 def _join(left: DataFrame, right: DataFrame, on: list[str], keys: list[str]) -> DataFrame:
-    """Slice tables are bounded (FANOUT**level rows) when there is one group: broadcast. With group keys the
-    side grows with the number of groups, so AQE decides and splits hot partitions."""
-    return left.join(F.broadcast(right) if not keys else right, on, "inner")
+    """Without group keys the right side has one row (or one per target or slice): broadcast. With group keys it grows
+    with the number of groups, so AQE decides and splits hot partitions."""
+    if keys:
+        return left.join(right, on, "inner")
+    return left.join(F.broadcast(right), on, "inner") if on else left.crossJoin(F.broadcast(right))
 
 
 def value_counts(df: DataFrame, value, keys: list[str]) -> DataFrame:
@@ -32,40 +38,32 @@ def value_counts(df: DataFrame, value, keys: list[str]) -> DataFrame:
     return df.where(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def _cut(vals: DataFrame, path: list[str], keys: list[str], name: str, fanout: int) -> DataFrame:
-    """Add an order-preserving slice number inside every (keys, path) cell."""
-    span = vals.groupBy(*path).agg(F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
-    width = F.col("_mx") - F.col("_mn")
-    pos = F.floor((F.col("_v") - F.col("_mn")) / width * F.lit(float(fanout))).cast("int")
-    cut = F.when(width > 0, F.least(pos, F.lit(fanout - 1))).otherwise(F.lit(0))
-    return _join(vals, span, path, keys).withColumn(name, cut).drop("_mn", "_mx")
-
-
-def _starts(vals: DataFrame, path: list[str], name: str) -> DataFrame:
-    """Count of rows in earlier slices of the same cell; at most `fanout` rows per window."""
-    cells = vals.groupBy(*path, name).agg(F.sum("_n").alias("_cn"))
-    w = Window.partitionBy(*path).orderBy(name)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    return cells.withColumn("_st", F.coalesce(F.sum("_cn").over(before), F.lit(0)))
-
-
-def _select_ranks(vals: DataFrame, targets: DataFrame, keys: list[str], fanout: int, levels: int) -> DataFrame:
-    """Values at 0-based ranks. `targets`: keys, _t (name), _r (rank). Only cells holding a target are kept."""
-    vals = vals.withColumn("_p0", F.lit(0))
-    targets = targets.withColumn("_p0", F.lit(0))
-    path = [*keys, "_p0"]
-    for lvl in range(1, levels + 1):
-        name = f"_p{lvl}"
-        cut = _cut(vals, path, keys, name, fanout)
-        hit = _join(_starts(cut, path, name), targets, path, keys).where(
-            (F.col("_st") <= F.col("_r")) & (F.col("_r") < F.col("_st") + F.col("_cn")))
-        targets = hit.select(*path, name, "_t", (F.col("_r") - F.col("_st")).alias("_r"))
-        vals = _join(cut, targets.select(*path, name).distinct(), [*path, name], keys)
-        path = [*path, name]
-    hi = F.sum("_n").over(Window.partitionBy(*path).orderBy("_v"))
-    runs = vals.withColumn("_hi", hi).withColumn("_lo", F.col("_hi") - F.col("_n"))
-    found = _join(runs, targets, path, keys).where((F.col("_lo") <= F.col("_r")) & (F.col("_r") < F.col("_hi")))
-    return found.select(*keys, "_t", "_v")
+def _select(df: DataFrame, value, targets: dict[str, tuple[float, str]], keys: list[str]) -> DataFrame:
+    """Values at 0-based ranks. `targets`: name -> (share of the group the rank is near, SQL for the rank over `n`)."""
+    v = col(value).cast("double")
+    rows = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull())
+    probs = []
+    for share, _ in targets.values():
+        probs += [max(0.0, share - MARGIN / ACCURACY), min(1.0, share + MARGIN / ACCURACY)]
+    sketch = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", [float(p) for p in probs], ACCURACY).alias("_e"))
+    inf = F.lit(float("inf"))
+    brackets = []
+    for i, (name, (share, rank)) in enumerate(targets.items()):
+        whole = F.col("n") <= SMALL_GROUP
+        lo = F.when(whole | F.lit(share <= MARGIN / ACCURACY), -inf).otherwise(F.col("_e")[2 * i])
+        hi = F.when(whole | F.lit(share >= 1 - MARGIN / ACCURACY), inf).otherwise(F.col("_e")[2 * i + 1])
+        brackets.append(F.struct(F.lit(name).alias("_t"), F.expr(rank).cast("bigint").alias("_r"), lo.alias("_lo"), hi.alias("_hi")))
+    sketch = sketch.select(*keys, F.array(*brackets).alias("_b"))
+    near = _join(rows, sketch, keys, keys).select(*keys, "_v", F.inline("_b")).where(F.col("_v") <= F.col("_hi"))
+    # below the bracket only a count is kept (null value), inside it the distinct values
+    near = near.withColumn("_v", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")))
+    runs = near.groupBy(*keys, "_t", "_r", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys, "_t").orderBy(F.asc_nulls_first("_v")))
+    runs = runs.withColumn("_upto", upto)
+    hit = runs.where((F.col("_upto") - F.col("_n") <= F.col("_r")) & (F.col("_r") < F.col("_upto")))
+    missed = F.raise_error(F.lit("rank outside its bracket: raise ACCURACY or MARGIN"))
+    return hit.select(*keys, "_t", F.coalesce("_v", missed.cast("double")).alias("_v"))
 
 
 def _wide(found: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
@@ -75,66 +73,66 @@ def _wide(found: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
 def quantiles(df: DataFrame, value, probs: dict[str, float], keys: list[str] | None = None) -> DataFrame:
     """Exact percentiles with linear interpolation, one output column per entry of `probs`."""
     keys = list(keys or [])
+    v = col(value).cast("double")
     if is_small(df):
-        v = col(value).cast("double")
         return df.where(v.isNotNull()).groupBy(*keys).agg(
             *[F.percentile(v, F.lit(float(p))).alias(n) for n, p in probs.items()])
-    vals = value_counts(df, value, keys)
-    total = vals.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    wanted = []
+    targets = {}
     for n, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("_total") - 1)
-        for side, r in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            wanted.append(F.struct(F.lit(f"{n}:{side}").alias("_t"), r.cast("bigint").alias("_r")))
-    targets = total.select(*keys, F.explode(F.array(*wanted)).alias("_x")).select(*keys, "_x._t", "_x._r")
-    found = _select_ranks(vals, targets, keys, FANOUT, LEVELS)
-    wide = _wide(found, keys, [f"{n}:{s}" for n in probs for s in ("lo", "hi")])
-    wide = _join(wide, total, keys, keys) if keys else wide.crossJoin(F.broadcast(total))  # one row each
+        targets[f"{n}:lo"] = (p, f"floor({p!r}d * (n - 1))")
+        targets[f"{n}:hi"] = (p, f"ceil({p!r}d * (n - 1))")
+    wide = _wide(_select(df, value, targets, keys), keys, list(targets))
+    total = df.where(v.isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
+    wide = _join(wide, total, keys, keys)
     out = []
     for n, p in probs.items():
         pos = F.lit(float(p)) * (F.col("_total") - 1)
-        frac = pos - F.floor(pos)
         lo, hi = F.col(f"`{n}:lo`"), F.col(f"`{n}:hi`")
-        out.append((lo + (hi - lo) * frac).alias(n))
+        out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(n))
     return wide.select(*keys, *out)
 
 
-def value_at_rank(df: DataFrame, value, ranks: dict[str, str], keys: list[str] | None = None) -> DataFrame:
-    """Value at 1-based ranks given as SQL over `n` (the group's non-null count), e.g. `ceil(0.9*(n+1))`.
-    The result carries `n`."""
+def value_at_rank(df: DataFrame, value, ranks: dict[str, tuple[float, str]], keys: list[str] | None = None) -> DataFrame:
+    """Value at 1-based ranks given as (share, SQL over `n`, the group's non-null count), for example
+    (0.9, "ceil(0.9*(n+1))"). The share says roughly where in the group the rank lies. The result carries `n`."""
     keys = list(keys or [])
     v = col(value).cast("double")
     clean = df.where(v.isNotNull())
-    total = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     if is_small(df):
         rn = F.row_number().over(Window.partitionBy(*keys).orderBy("_v"))
         n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
         runs = clean.select(*keys, v.alias("_v")).withColumn("_rn", rn).withColumn("n", n)
         return runs.groupBy(*keys).agg(F.max("n").alias("n"), *[
-            F.max(F.when(F.col("_rn") == F.expr(r).cast("bigint"), F.col("_v"))).alias(k) for k, r in ranks.items()])
-    wanted = [F.struct(F.lit(k).alias("_t"), (F.expr(r).cast("bigint") - 1).alias("_r")) for k, r in ranks.items()]
-    targets = total.select(*keys, F.explode(F.array(*wanted)).alias("_x")).select(*keys, "_x._t", "_x._r")
-    wide = _wide(_select_ranks(value_counts(df, value, keys), targets, keys, FANOUT, LEVELS), keys, list(ranks))
-    return _join(wide, total, keys, keys) if keys else wide.crossJoin(F.broadcast(total))  # one row each
+            F.max(F.when(F.col("_rn") == F.expr(r).cast("bigint"), F.col("_v"))).alias(k) for k, (_, r) in ranks.items()])
+    zero_based = {k: (s, f"({r}) - 1") for k, (s, r) in ranks.items()}
+    wide = _wide(_select(df, value, zero_based, keys), keys, list(ranks))
+    total = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return _join(wide, total, keys, keys)
+
+
+def _slice_no(v: Column, edges: Column) -> Column:
+    """Number of edges below the value, by a coarse and a fine search over the sorted edge array."""
+    coarse = F.size(F.filter(F.slice(edges, COARSE * FINE, COARSE), lambda e: e < v))
+    fine = F.size(F.filter(F.slice(edges, coarse * FINE + 1, FINE), lambda e: e < v))
+    return coarse * FINE + fine
 
 
-def rank_table(df: DataFrame, value, keys: list[str] | None = None, sliced: bool | None = None) -> DataFrame:
+def rank_table(df: DataFrame, value, keys: list[str] | None = None) -> DataFrame:
     """keys, _v, _n, _below (count of smaller values): the base of every rank definition, one row per value."""
     keys = list(keys or [])
     vals = value_counts(df, value, keys)
-    sliced = (not is_small(df)) if sliced is None else sliced
-    path, offset = list(keys), F.lit(0)
-    if sliced:
-        for lvl in range(1, LEVELS + 1):
-            name = f"_p{lvl}"
-            cut = _cut(vals.withColumn("_p0", F.lit(0)) if lvl == 1 else vals,
-                       [*keys, "_p0"] if lvl == 1 else path, keys, name, FANOUT)
-            base = [*keys, "_p0"] if lvl == 1 else path
-            starts = _starts(cut, base, name).select(*base, name, F.col("_st").alias(f"_o{lvl}"))
-            vals = _join(cut, starts, [*base, name], keys)
-            path, offset = [*base, name], offset + F.col(f"_o{lvl}")
-    hi = F.sum("_n").over(Window.partitionBy(*path).orderBy("_v"))
-    return vals.select(*keys, "_v", "_n", (hi - F.col("_n") + offset).alias("_below"))
+    k = COARSE * FINE
+    probs = [i / k for i in range(1, k)]
+    edges = vals.groupBy(*keys).agg(F.percentile_approx("_v", probs, 10 * k).alias("_e"))
+    # the sorted edges, then every FINE-th of them: the coarse index
+    edges = edges.select(*keys, F.concat("_e", F.array(*[F.col("_e")[i * FINE - 1] for i in range(1, COARSE)])).alias("_e"))
+    cut = _join(vals, edges, keys, keys).withColumn("_s", _slice_no(F.col("_v"), F.col("_e"))).drop("_e")
+    cells = cut.groupBy(*keys, "_s").agg(F.sum("_n").alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.select(*keys, "_s", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_st"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys, "_s").orderBy("_v"))
+    runs = cut.withColumn("_in", upto - F.col("_n"))
+    return _join(runs, starts, [*keys, "_s"], keys).select(*keys, "_v", "_n", (F.col("_in") + F.col("_st")).alias("_below"))
 
 
 def average_rank(df: DataFrame, value: str, out: str, keys: list[str] | None = None) -> DataFrame:
@@ -145,10 +143,19 @@ def average_rank(df: DataFrame, value: str, out: str, keys: list[str] | None = N
         ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
         return df.withColumn(out, F.when(F.col(value).isNotNull(), F.rank().over(w) + (ties - 1) / 2))
     table = rank_table(df, value, keys).select(
-        *keys, F.col("_v").alias("_rv"), (F.col("_below") + (F.col("_n") + 1) / 2).alias(out))
-    cond = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    cond.append(F.col(f"a.{value}").cast("double") == F.col("b._rv"))
-    return df.alias("a").join(table.alias("b"), cond, "left").select("a.*", F.col(f"b.{out}"))
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_v").alias("_rv"),
+        (F.col("_below") + (F.col("_n") + 1) / 2).alias(out))
+    cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col(value).cast("double") == F.col("_rv")]
+    return df.join(table, cond, "left").drop("_rv", *[f"_k{i}" for i in range(len(keys))])
+
+
+def even_slices(df: DataFrame, value: str, path: list[str], out: str, slices: int = 512) -> DataFrame:
+    """Order-preserving equal-width cut of a numeric column inside every `path` cell."""
+    span = df.groupBy(*path).agg(F.min(value).alias("_mn"), F.max(value).alias("_mx"))
+    width = F.col("_mx") - F.col("_mn")
+    pos = F.floor((F.col(value) - F.col("_mn")) / width * F.lit(float(slices))).cast("int")
+    cut = F.when(width > 0, F.least(pos, F.lit(slices - 1))).otherwise(F.lit(0))
+    return df.join(span, path, "inner").withColumn(out, cut).drop("_mn", "_mx")
 
 
 def hash_rank(ids: DataFrame, key: str, salt: Column | str, keys: list[str] | None = None,

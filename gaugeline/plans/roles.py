@@ -87,7 +87,7 @@ class Tables:
                                   "named_struct('model','m3','k',5))")).alias("m")
         return self.readings.select("row_id", "entity_id", "ts", "yr", F.col("value").alias("y_true"), models).selectExpr(
             "row_id", "entity_id", "ts", "yr", "m.model as model", "y_true",
-            "y_true * (1d + (((row_id * 7 + m.k * 3) % 21) - 10) / 128d) as y_pred")
+            "cast(floor(y_true * (1d + (((row_id * 7 + m.k * 3) % 21) - 10) / 64d) + 0.5d) as double) as y_pred")
 
     @cached_property
     def prediction_log(self) -> DataFrame:
@@ -107,7 +107,7 @@ class Tables:
         p = p.select("*", cfg)
         return p.selectExpr(
             "seed", "g.config as config", "row_id", "entity_id", "ts", "yr", "y_true",
-            "y_true * (1d + (((row_id * 7 + seed * 3 + g.c * 5) % (21 - g.c * 2)) - (10 - g.c)) / 128d) as y_pred")
+            "cast(floor(y_true * (1d + (((row_id * 7 + seed * 3 + g.c * 5) % (21 - g.c * 2)) - (10 - g.c)) / 64d) + 0.5d) as double) as y_pred")
 
     @cached_property
     def attributions(self) -> DataFrame:
@@ -178,14 +178,14 @@ ORACLE = {
         from hist h left join windows w on w.ts = h.ts - 1 left join dry d on d.ts = h.ts - 1
         left join sites s using (entity_id)""",
     "predictions": """select row_id, entity_id, ts, yr, m.model, value as y_true,
-        value * (1e0 + (((row_id * 7 + m.k * 3) % 21) - 10) / 128e0) as y_pred
+        floor(value * (1e0 + (((row_id * 7 + m.k * 3) % 21) - 10) / 64e0) + 0.5e0) as y_pred
         from readings cross join (select 'm1' as model, 1 as k union all select 'm2', 2 union all select 'm3', 5) m""",
     "plog": """select p.*, h.prior_count, h.gap_days,
         case when p.yr <= 1998 then 'train' when p.yr <= 1999 then 'validation' else 'test' end as split,
         case when h.prior_count > 0 then 'warm' else 'cold' end as cohort
         from predictions p join (select row_id, prior_count, gap_days from hist) h using (row_id)""",
     "slog": """select s.seed, g.config, row_id, entity_id, ts, yr, value as y_true,
-        value * (1e0 + (((row_id * 7 + s.seed * 3 + g.c * 5) % (21 - g.c * 2)) - (10 - g.c)) / 128e0) as y_pred
+        floor(value * (1e0 + (((row_id * 7 + s.seed * 3 + g.c * 5) % (21 - g.c * 2)) - (10 - g.c)) / 64e0) + 0.5e0) as y_pred
         from readings cross join (select unnest([1,2,3,4,5]) as seed) s
         cross join (select 'base' as config, 0 as c union all select 'meta', 1 union all select 'gated', 2) g""",
     "attributions": """select vec_id, label, feature, feature % 5 as block,
