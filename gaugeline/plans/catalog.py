@@ -1,6 +1,6 @@
 """All registered queries (importing the modules fills the registry)."""
 
-from gaugeline.plans import q_history, q_profile, q_tables  # noqa: F401
+from gaugeline.plans import q_fusion, q_history, q_profile, q_tables  # noqa: F401
 from gaugeline.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -6,6 +6,7 @@ sums agree bit for bit in any order of summation. `ORACLE` holds the same roles
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -195,33 +196,18 @@ ORACLE = {
         cast(((r * 13 + c * 29 + yr * 3) % 400) as double) + (r + c) / 4e0 end as cell
         from (select distinct yr from readings), (select unnest(range(30))::integer as r), (select unnest(range(30))::integer as c)""",
 }
-NEEDS = {
-    "daily": ["daily_raw"], "annual": ["daily"], "days": ["readings"], "day_lists": ["days"], "day_hist": ["day_lists"],
-    "hist": ["readings", "day_hist"], "model_rows": ["hist", "annual", "sites"], "windows": ["daily"], "wet": ["daily"],
-    "dry": ["wet"], "response": ["hist", "windows", "dry", "sites", "daily"], "predictions": ["readings"],
-    "plog": ["predictions", "hist"], "slog": ["readings"], "raster": ["readings"],
-}
-
-
 def with_roles(body: str, extra: dict[str, str] | None = None) -> str:
-    """Prefix a DuckDB statement with the role tables it mentions (transitively)."""
-    import re
-
-    texts = dict(ORACLE) | (extra or {})
+    """Prefix a DuckDB statement with the role tables it mentions, directly or through other role tables."""
+    texts = ORACLE | (extra or {})
     order: list[str] = []
 
-    def need(name):
-        if name in order:
-            return
-        for other in texts:
-            if other != name and re.search(rf"\b(from|join|,)\s+{other}\b|\b{other}\s+[a-z]\b", texts[name]) and other not in order:
-                if name not in NEEDS or other in NEEDS[name]:
-                    need(other)
-        order.append(name)
-
-    for name in texts:
-        if re.search(rf"\b{name}\b", body):
-            need(name)
+    def need(text: str, own: str = ""):
+        for name in texts:
+            if name != own and name not in order and re.search(rf"(from|join|,)\s+\(?{name}\b(?!\s*\()", text):
+                need(texts[name], name)
+                order.append(name)
+
+    need(body)
     if not order:
         return body
     return "with " + ",\n".join(f"{n} as materialized ({texts[n]})" for n in order) + "\n" + body

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,16 +37,19 @@ def build_session(master: str | None = None, app: str = "gaugeline", shuffle_par
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder, so a lost executor re-reads files instead of
-    re-running the job. The folder named by the cluster (`spark.checkpoint.dir`) is always preferred; a
-    local one is set only where the session names none, as in tests."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gaugeline-ckpt-"))
-    return df.checkpoint(eager=True)
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder the cluster names in `spark.checkpoint.dir`. A local folder is used only
+    where the session names none, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return f"{(root or tempfile.mkdtemp(prefix='gaugeline-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Cut lineage: write the table once to the shared folder and read it back. A lost executor re-reads files instead
+    of re-running the job, later passes prune columns, and the true size is known to every later choice."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def plan_bytes(df: DataFrame) -> float:
@@ -54,7 +58,7 @@ def plan_bytes(df: DataFrame) -> float:
     try:
         plan = df._jdf.queryExecution().optimizedPlan()
         leaves = plan.collectLeaves()
-        total = sum(float(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.length()))
+        total = sum(float(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
         return total * (EXPLODE_ALLOWANCE if "Generate " in plan.toString() else 1)
     except Exception:  # e.g. a remote session without a JVM handle
         return float("inf")

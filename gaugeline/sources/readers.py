@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.config import BANNED
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder of the session (a local one only where none is set)."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{(root or tempfile.mkdtemp(prefix='gaugeline-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from gaugeline.session import scratch_path  # noqa: F401
 
 
 def exists(spark: SparkSession, path: str) -> bool:
