@@ -210,4 +210,6 @@ def with_roles(body: str, extra: dict[str, str] | None = None) -> str:
     need(body)
     if not order:
         return body
-    return "with " + ",\n".join(f"{n} as materialized ({texts[n]})" for n in order) + "\n" + body
+    head = "with " + ",\n".join(f"{n} as materialized ({texts[n]})" for n in order)
+    own = body.lstrip()
+    return head + (",\n" + own[5:] if own.lower().startswith("with ") else "\n" + body)
