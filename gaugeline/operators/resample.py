@@ -1,8 +1,7 @@
 """Cluster bootstrap of a paired comparison.
 
 Readings are first reduced to sufficient statistics per cluster (n, sums of squared and absolute errors). A replicate
-is then a multiset of clusters, so only (replicate, cluster, multiplicity) rows are shuffled and the readings are read
-once. Draws come from md5 digests: one digest yields four 32-bit draws, the same on any engine."""
+is then a multiset of clusters: the readings are read once and only per-cluster rows are resampled. Draws come from md5 digests: one digest yields four 32-bit draws, the same on any engine."""
 
 from __future__ import annotations
 
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions.scalars import clip
 from gaugeline.operators import ordered
+from gaugeline.session import durable
 
 STATS = ["n", "sse_base", "sse_cand", "sae_base", "sae_cand"]
 DRAWS_PER_DIGEST = 4
@@ -32,17 +32,18 @@ def _scores(df: DataFrame) -> DataFrame:
             .withColumn("pct_rmse", 100 * (rb - rc) / floor(rb)).withColumn("pct_mae", 100 * (mb - mc) / floor(mb)))
 
 
-def replicate_weights(ids: DataFrame, replicates: int, keys=(), seed: int = 42) -> DataFrame:
-    """(keys, replicate, position, times): how often each cluster position is drawn. `ids` has hash_rank, n_keys."""
+def replicate_draws(ids: DataFrame, replicates: int, keys=(), seed: int = 42) -> DataFrame:
+    """(keys, replicate, position): as many draws per replicate as there are clusters. `ids` has hash_rank, n_keys."""
     blocks = -(-replicates // DRAWS_PER_DIGEST)
     k = F.col("hash_rank") - 1
+    # few bytes turn into many draws: spread the clusters over every core before multiplying
+    ids = ids.repartition(ids.sparkSession.sparkContext.defaultParallelism, "hash_rank")
     d = ids.select(*keys, k.alias("_k"), "n_keys", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
     d = d.withColumn("_h", F.md5(F.concat_ws("_", F.lit(str(seed)), F.col("_b").cast("string"), F.col("_k").cast("string"))))
     draws = [F.struct((F.col("_b") * DRAWS_PER_DIGEST + i + 1).alias("replicate"),
                       (F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("bigint") % F.col("n_keys")).alias("position"))
              for i in range(DRAWS_PER_DIGEST)]
-    d = d.select(*keys, F.inline(F.array(*draws))).where(F.col("replicate") <= replicates)
-    return d.groupBy(*keys, "replicate", "position").agg(F.count(F.lit(1)).alias("times"))
+    return d.select(*keys, F.inline(F.array(*draws))).where(F.col("replicate") <= replicates)
 
 
 def cluster_bootstrap(df: DataFrame, replicates: int = 1000, cluster="entity_id", y="y_true", base="base_pred", cand="cand_pred",
@@ -50,11 +51,12 @@ def cluster_bootstrap(df: DataFrame, replicates: int = 1000, cluster="entity_id"
     """Observed paired deltas with percentile intervals over resampled clusters and a two-sided p value."""
     keys = list(keys or [])
     stats = cluster_stats(df, cluster, y, base, cand, keys)
-    ids = ordered.hash_rank(stats, cluster, str(seed), keys)
-    times = replicate_weights(ids, replicates, keys, seed)
-    s = ids.withColumn("position", F.col("hash_rank") - 1).select(*keys, "position", *STATS)
-    reps = times.join(s, [*keys, "position"]).groupBy(*keys, "replicate").agg(
-        *[F.sum(F.col(c) * F.col("times")).alias(c) for c in STATS])
+    # one row per cluster, written once: its real size then decides between a broadcast (draws never leave their task,
+    # partial sums per replicate are all that is shuffled) and a shuffle join on the drawn position
+    stats = durable(ordered.hash_rank(stats, cluster, str(seed), keys), "clusters")
+    s = stats.withColumn("position", F.col("hash_rank") - 1).select(*keys, "position", *STATS)
+    reps = replicate_draws(stats, replicates, keys, seed).join(s, [*keys, "position"]).groupBy(*keys, "replicate").agg(
+        *[F.sum(c).alias(c) for c in STATS])
     reps = _scores(reps)
     # one row per replicate: bounded by `replicates`, so the built-in exact percentile is safe here
     ci = reps.groupBy(*keys).agg(
