@@ -100,3 +100,10 @@ def keyed_text(key, *salt) -> Column:
     for s in salt:
         parts += [F.lit("_"), s.cast("string") if isinstance(s, Column) else F.lit(str(s))]
     return F.concat(*parts)
+
+
+def safe_corr(x, y) -> Column:
+    """Pearson over complete pairs; null where either side does not vary (the built-in raises there in ANSI mode)."""
+    x, y = col(x).cast("double"), col(y).cast("double")
+    xs, ys = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(xs) * F.stddev_pop(ys))

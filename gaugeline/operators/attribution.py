@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeline.functions.scalars import safe_corr
 from gaugeline.operators import ordered, profile
 
 
@@ -40,7 +41,7 @@ def by_block(a: DataFrame) -> DataFrame:
     f = a.groupBy("block", "feature").agg(F.avg(F.abs("shap")).alias("m"))
     g = f.groupBy("block").agg(F.sum("m").alias("total"), F.count(F.lit(1)).alias("features"), F.max_by("feature", F.struct(F.col("m"), (-F.col("feature")).alias("t"))).alias("top_feature"))
     grand = F.broadcast(g.agg(F.sum("total").alias("_g")))                            # one row
-    return g.crossJoin(grand).withColumn("share_pct", 100 * F.col("total") / F.col("_g")).drop("_g")
+    return g.crossJoin(grand).withColumn("share_pct", F.try_divide(100 * F.col("total"), F.col("_g"))).drop("_g")
 
 
 def warm_cold(a: DataFrame, cohort: str, values: tuple) -> DataFrame:
@@ -63,7 +64,7 @@ def strongest_partner(a: DataFrame, top: int, key="vec_id", min_rows: int = 50)
     s = a.join(chosen, "feature", "left_semi").groupBy(key).agg(F.collect_list(F.struct("feature", "shap", "feature_value")).alias("f"))
     p = s.select(F.explode("f").alias("x"), F.col("f")).select("x", F.explode("f").alias("y")).where("x.feature <> y.feature")
     g = p.groupBy(F.col("x.feature").alias("feature"), F.col("y.feature").alias("partner")).agg(
-        F.count(F.lit(1)).alias("n"), F.abs(F.corr("x.shap", "y.feature_value")).alias("r")).where(F.col("n") > min_rows)
+        F.count(F.lit(1)).alias("n"), F.abs(safe_corr("x.shap", "y.feature_value")).alias("r")).where(F.col("n") > min_rows)
     best = F.max_by(F.struct("partner", "r"), F.struct(F.col("r"), (-F.col("partner")).alias("t")))
     return g.groupBy("feature").agg(best.alias("b")).select("feature", "b.partner", "b.r")
 
@@ -99,7 +100,7 @@ def rank_stability(a: DataFrame, rep: str) -> DataFrame:
     imp = a.groupBy(rep, "feature").agg(F.avg(F.abs("shap")).alias("m"))
     r = ordered.average_rank(imp, "m", "rk", [rep]).select(rep, "feature", "rk")
     x, y = r.select(F.col(rep).alias("rep_a"), "feature", F.col("rk").alias("ra")), r.select(F.col(rep).alias("rep_b"), "feature", F.col("rk").alias("rb"))
-    p = x.join(y, "feature").where("rep_a < rep_b").groupBy("rep_a", "rep_b").agg(F.corr("ra", "rb").alias("rho"))
+    p = x.join(y, "feature").where("rep_a < rep_b").groupBy("rep_a", "rep_b").agg(safe_corr("ra", "rb").alias("rho"))
     return p.agg(F.count(F.lit(1)).alias("pairs"), F.avg("rho").alias("rho_mean"), F.min("rho").alias("rho_min"), F.max("rho").alias("rho_max"))
 
 

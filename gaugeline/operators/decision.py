@@ -32,7 +32,7 @@ def potential_index(df: DataFrame, reference: DataFrame) -> DataFrame:
     rng = uncertainty.training_ranges(reference, MOISTURE_INPUTS + DEMAND_INPUTS)
 
     def score(cols):
-        return null_skipping_mean([clip((F.col(c) - F.lit(rng[c][0])) / F.lit(rng[c][1] - rng[c][0]), 0.0, 1.0) for c in cols])
+        return null_skipping_mean([clip(F.try_divide(F.col(c) - F.lit(rng[c][0]), F.lit(rng[c][1] - rng[c][0])), 0.0, 1.0) for c in cols])
 
     return (df.withColumn("moisture_score", score(MOISTURE_INPUTS)).withColumn("demand_score", score(DEMAND_INPUTS))
             .withColumn("balance", F.col("moisture_score") - F.col("demand_score"))

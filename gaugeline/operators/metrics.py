@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.functions.scalars import safe_corr
 from gaugeline.operators import ordered
 
 # Two-sided 95 % Student t quantiles for 1 to 30 degrees of freedom; the normal value beyond.
@@ -26,7 +27,7 @@ def _aggs(y: str, p: str) -> list:
         F.avg(e).alias("mean_error"),
         F.stddev_samp(e).alias("error_std"),
         F.max(F.abs(e)).alias("max_abs"),
-        F.when((F.var_pop(y) > 0) & (F.var_pop(p) > 0), F.corr(y, p)).otherwise(F.lit(0.0)).alias("pearson"),
+        F.when((F.var_pop(y) > 0) & (F.var_pop(p) > 0), safe_corr(y, p)).otherwise(F.lit(0.0)).alias("pearson"),
     ]
 
 
@@ -60,7 +61,7 @@ def generalization_gap(metrics: DataFrame, near: str, far: str, key="model", spl
 
 def error_driver_correlation(df: DataFrame, drivers: list[str], keys=("model",), y="y_true", p="y_pred") -> DataFrame:
     e = F.abs(F.col(p) - F.col(y))
-    return df.groupBy(*keys).agg(*[F.corr(F.col(d).cast("double"), e).alias(f"r_{d}") for d in drivers])
+    return df.groupBy(*keys).agg(*[safe_corr(F.col(d).cast("double"), e).alias(f"r_{d}") for d in drivers])
 
 
 def summarize(metrics: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
@@ -86,7 +87,7 @@ def paired_config_delta(metrics: DataFrame, base: str, configs: list[str], metri
     wide = metrics.groupBy(seed).pivot(config, [base, *configs]).agg(F.first(metric))
     rows = wide.select(seed, F.inline(F.array(*[F.struct(
         F.lit(c).alias("config"), (F.col(c) - F.col(base)).alias("d"),
-        (F.lit(100.0) * (F.col(base) - F.col(c)) / F.col(base)).alias("pct")) for c in configs])))
+        F.try_divide(F.lit(100.0) * (F.col(base) - F.col(c)), F.col(base)).alias("pct")) for c in configs])))
     return rows.groupBy("config").agg(F.count("d").alias("runs"), F.avg("d").alias("delta_mean"), F.stddev_samp("d").alias("delta_std"),
                                       F.min("d").alias("delta_min"), F.max("d").alias("delta_max"), F.avg("pct").alias("improvement_pct"))
 
@@ -127,7 +128,7 @@ def relative_degradation(metrics: DataFrame, clean: str, label: str, names: list
     ref = metrics.where(F.col(label) == clean).select(*keys, *[F.col(m).alias(f"_{m}") for m in names])
     rest = metrics.where(F.col(label) != clean)
     j = rest.join(ref, keys) if keys else rest.crossJoin(F.broadcast(ref))          # one clean row
-    return j.select(*keys, label, *names, *[((F.col(m) - F.col(f"_{m}")) / F.col(f"_{m}")).alias(f"{m}_change") for m in names])
+    return j.select(*keys, label, *names, *[F.try_divide(F.col(m) - F.col(f"_{m}"), F.col(f"_{m}")).alias(f"{m}_change") for m in names])
 
 
 def published_metric_recheck(recomputed: DataFrame, reported: DataFrame, keys: list[str], names: list[str], tol: dict[str, float]) -> DataFrame:

@@ -10,7 +10,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.functions.scalars import right_closed_bin
+from gaugeline.functions.scalars import right_closed_bin, safe_corr
 from gaugeline.operators import ordered
 
 
@@ -110,7 +110,7 @@ def duplicate_key_report(df: DataFrame, keys: list[str]) -> DataFrame:
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pairwise-complete Pearson for i < j: every pair in one pass."""
     pairs = list(combinations(cols, 2))
-    one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs])
+    one = df.agg(*[safe_corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs])
     return _inline(one, [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs])
 
 
@@ -123,11 +123,11 @@ def rank_correlation(df: DataFrame, pairs: list[tuple[str, str]], keys: list[str
     long = df.select(*keys, F.inline(F.array(*s))).where(F.col("x").isNotNull() & F.col("y").isNotNull())
     k = [*keys, "a", "b"]
     ranked = ordered.average_rank(ordered.average_rank(long, "x", "rx", k), "y", "ry", k)
-    return ranked.groupBy(*k).agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    return ranked.groupBy(*k).agg(safe_corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def feature_target_correlation(df: DataFrame, cols: list[str], target: str) -> DataFrame:
-    one = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target)).alias(c) for c in cols])
+    one = df.agg(*[safe_corr(F.col(c).cast("double"), F.col(target)).alias(c) for c in cols])
     rows = _inline(one, [F.struct(F.lit(c).alias("feature"), F.col(c).alias("r"), F.abs(F.col(c)).alias("abs_r")) for c in cols])
     return rows.orderBy(F.desc_nulls_last("abs_r"), "feature")
 
@@ -207,7 +207,7 @@ def quantile_bin_summary(df: DataFrame, by: str, parts: int, measures: dict[str,
 
 def interval_precip_audit(df: DataFrame, gap="gap_days", precip="precip_interval") -> DataFrame:
     base = df.where(F.col(gap).isNotNull() & F.col(precip).isNotNull()).agg(
-        F.count(F.lit(1)).alias("pairs"), F.corr(gap, precip).alias("pearson"), F.max(gap).alias("gap_max"),
+        F.count(F.lit(1)).alias("pairs"), safe_corr(gap, precip).alias("pearson"), F.max(gap).alias("gap_max"),
         F.max(precip).alias("precip_max"), F.max_by(precip, F.struct(gap, precip)).alias("precip_at_longest_gap"),
         F.count_if(F.col(precip) == 0).alias("zero_intervals"))
     rho = rank_correlation(df, [(gap, precip)]).select(F.col("rho").alias("spearman"))

@@ -24,7 +24,7 @@ def _key(v):
     return (v is None, str(type(v).__name__), str(v))
 
 
-def compare(con, df, sql: str) -> str | None:
+def compare(con, df, sql: str, rows=None) -> str | None:
     """None when equal, else a description of the first difference."""
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
@@ -33,7 +33,7 @@ def compare(con, df, sql: str) -> str | None:
         return f"columns {sorted(df.columns)} != {sorted(names)}"
     order = sorted(names)
     idx = [names.index(c) for c in order]
-    mine = [tuple(r[c] for c in order) for r in df.collect()]
+    mine = [tuple(r[c] for c in order) for r in (df.collect() if rows is None else rows)]
     theirs = [tuple(r[i] for i in idx) for r in theirs]
     if len(mine) != len(theirs):
         return f"rows {len(mine)} != {len(theirs)}"
@@ -65,8 +65,9 @@ def main(argv):
         try:
             df = queries[n](spark, f"{DATA}/sf{sf}")
             if n in sql:
-                res = compare(con, df, sql[n])
-                empty = "" if df.take(1) else " EMPTY"
+                rows = df.collect()
+                res = compare(con, df, sql[n], rows)
+                empty = "" if rows else " EMPTY"
             else:
                 rows = df.collect()
                 res, empty = None, f" (no oracle, {len(rows)} rows)"
