@@ -87,10 +87,16 @@ def join_prior_day_windows(df: DataFrame, windows: DataFrame, cols=WINDOW_COLUMN
     return df.join(F.broadcast(side), "ts", "left").withColumn("cutoff", F.date_sub("ts", 1))
 
 
+def every_day(daily: DataFrame) -> DataFrame:
+    """The series with a row for every calendar day of its span; days without data hold nulls."""
+    span = daily.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return span.select(F.explode(F.sequence("a", "b")).alias("ts")).join(daily, "ts", "left")
+
+
 def interval_sum_between_readings(df: DataFrame, daily: DataFrame, prev_ts="prev_ts") -> DataFrame:
     """Precipitation over [previous + 1, date - 1]: running total at date-1 minus running total at the previous
     reading. Consecutive days give 0; a first reading, or an interval reaching outside the series, gives null."""
-    c = F.broadcast(cumulative_precip(daily).select("ts", "precip_cum"))
+    c = cumulative_precip(every_day(daily)).select("ts", F.coalesce("precip_cum", F.lit(0.0)).alias("precip_cum"))
     hi = c.select(F.date_add("ts", 1).alias("ts"), F.col("precip_cum").alias("_hi"))
     lo = c.select(F.col("ts").alias(prev_ts), F.col("precip_cum").alias("_lo"))
     out = df.join(F.broadcast(hi), "ts", "left").join(F.broadcast(lo), prev_ts, "left")

@@ -174,7 +174,7 @@ ORACLE = {
     "response": """select h.*, h.prev_value - h.value as delta, h.ts - 1 as cutoff, w.* exclude (ts), d.dry_spell_days,
         case when h.ts - h.prev_ts = 1 then 0e0
           when h.prev_ts >= (select min(ts) from daily) and h.ts - 1 <= (select max(ts) from daily)
-          then (select sum(x.precip) from daily x where x.ts > h.prev_ts and x.ts < h.ts) end as precip_interval,
+          then coalesce((select sum(x.precip) from daily x where x.ts > h.prev_ts and x.ts < h.ts), 0e0) end as precip_interval,
         s.lat, s.lon, s.elev
         from hist h left join windows w on w.ts = h.ts - 1 left join dry d on d.ts = h.ts - 1
         left join sites s using (entity_id)""",
