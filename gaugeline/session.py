@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,11 +40,28 @@ def build_session(master: str | None = None, app: str = "gaugeline", shuffle_par
     return spark
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder the cluster names in `spark.checkpoint.dir`. A local folder is used only
-    where the session names none, as in tests."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder for written stages: what the cluster names in `spark.checkpoint.dir`. Without that setting a local
+    folder is used on a local master (removed when the process ends); on a cluster, where executors do not share local
+    folders, the job stops with an error instead of losing rows."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{(root or tempfile.mkdtemp(prefix='gaugeline-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local_root()
+
+
+@lru_cache(maxsize=1)
+def _local_root() -> str:
+    root = tempfile.mkdtemp(prefix="gaugeline-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below `shared_root`."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame, name: str = "stage") -> DataFrame:
