@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import bpe, pii
+from gaugeline.llm import bpe, pii, quality_rules, rule_ensemble
 from gaugeline.llm.common import table
 
 QUERIES: dict[str, callable] = {}
@@ -18,6 +18,12 @@ def query(fn):
     return fn
 
 
+@query
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    return quality_rules.judge(docs).select("doc_id", *quality_rules.BASE, "base_failed", "kept")
+
+
 @query
 def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
@@ -32,3 +38,11 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ids = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), ranks, pattern).drop("text")
     back = bpe.decode(ids, ranks, pattern)
     return back.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = rule_ensemble.train(docs, table(spark, folder, "labels"))
+    return rule_ensemble.apply(model, docs).select(
+        "doc_id", rule_ensemble.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= rule_ensemble.THRESHOLD).cast("int").alias("predicted"))
