@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import bpe, pii, quality_rules, rule_ensemble
+from gaugeline.llm import bpe, ngram_join, pii, quality_rules, rule_ensemble
 from gaugeline.llm.common import table
 
 QUERIES: dict[str, callable] = {}
@@ -24,6 +24,11 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(docs).select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+@query
+def op7_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.classify(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query
 def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
