@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import bpe, ngram_join, pii, quality_rules, rule_ensemble
+from gaugeline.llm import bpe, ngram_join, pii, quality_rules, rule_ensemble, url_filter, warc
 from gaugeline.llm.common import table
+from gaugeline.session import scratch_path
 
 QUERIES: dict[str, callable] = {}
 SQL: dict[str, str] = {}
@@ -18,6 +19,42 @@ def query(fn):
     return fn
 
 
+PAGE = "urn:page:"
+
+
+@query
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", F.col("html").cast("binary").alias("payload"))
+    urn = lambda c: F.concat(F.lit(PAGE), F.coalesce(F.col(c).cast("string"), F.lit("none")))
+    records = warc.mark_revisits(pages, "page_id", "payload").select(
+        urn("page_id").alias("record_id"), "record_type", F.col("url").alias("target_uri"), F.lit(None).cast("string").alias("date"), "payload_digest",
+        F.when(F.col("refers_to").isNotNull(), urn("refers_to")).alias("refers_to"), "payload_bytes", "payload")
+    path = scratch_path(spark, "warc")
+    warc.write(records, path)
+    back = warc.read(spark, path)
+    page = lambda c: F.expr(f"try_cast(substring({c}, {len(PAGE) + 1}) as bigint)")
+    stored = F.col("record_type") == "response"
+    return back.select(page("record_id").alias("page_id"), F.when(stored, F.length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+                       F.when(stored, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
+
+
+SQL["op1_warc"] = """
+with p as (select page_id, coalesce(html, '') as body from pages),
+d as (select page_id, octet_length(encode(body)) as payload_bytes, sha1(body) as payload_digest, body from p),
+g as (select body, max(page_id) as main from d where payload_bytes >= 1000 group by body having count(*) > 1)
+select d.page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
+  case when main is null or main = d.page_id then 'response' else 'revisit' end as record_type,
+  case when main is null or main = d.page_id then null else main end as refers_to
+from d left join g on d.body = g.body"""
+
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(table(spark, folder, "pages").select("page_id", "url", "html"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
