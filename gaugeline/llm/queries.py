@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import bpe, ngram_join, pii, quality_rules, rule_ensemble, url_filter, warc
+from gaugeline.llm import bpe, decontaminate, ngram_join, passage_dedup, pii, quality_rules, rule_ensemble, url_filter, warc
 from gaugeline.llm.common import table
 from gaugeline.session import scratch_path
 
@@ -55,12 +55,23 @@ def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages").select("page_id", "url", "html"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return passage_dedup.repeated(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
     return quality_rules.judge(docs).select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+@query
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark")
+    return decontaminate.matches(docs, items).drop("dprint")
+
+
 @query
 def op7_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.classify(table(spark, folder, "documents").select("doc_id", "text"))
