@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import bpe, decontaminate, ngram_join, passage_dedup, pii, quality_rules, rule_ensemble, url_filter, warc
+from gaugeline.llm import bpe, decontaminate, ngram_join, passage_dedup, pii, quality_rules, rule_ensemble, token_store, url_filter, warc
 from gaugeline.llm.common import table
 from gaugeline.session import scratch_path
 
@@ -72,6 +72,16 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.matches(docs, items).drop("dprint")
 
 
+END_ID = 2
+
+
+@query
+def op6_token_output(spark: SparkSession, folder: str) -> DataFrame:
+    docs, store = table(spark, folder, "documents").select("doc_id", "text"), scratch_path(spark, "tokens")
+    token_store.write(docs, store, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    return token_store.read(docs, store).select("doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
+
+
 @query
 def op7_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.classify(table(spark, folder, "documents").select("doc_id", "text"))
