@@ -1,7 +1,67 @@
-"""The corpus pipeline (under construction)."""
-STAGES = []
+"""The corpus pipeline: quality, near duplicates, benchmark text, personal data, tokens.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the one before kept; `run` writes each stage's result as
+Parquet in the shared folder and reads it back, so a lost executor costs one stage at most. All stages but the last return
+the columns of `documents` (and whatever else `docs` had)."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gaugeline.llm import bpe, decontaminate, ngram_join, pii, rule_ensemble
+from gaugeline.session import durable
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go. It learns from `labels` and the given documents."""
+    model = rule_ensemble.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return rule_ensemble.apply(model, docs, score="_score").where(F.col("_score") >= rule_ensemble.THRESHOLD).drop("_score")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every class of near duplicates the document with the smallest id stays; rows that repeat an id count as one
+    document, of which one row (the least text) stays. A class without any id keeps its rows without one."""
+    classes = ngram_join.classify(docs.select("doc_id", "text"))
+    gone = classes.where("doc_id is not null and component_id < doc_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_k"), F.min("text").alias("_t")).where("_k > 1")
+    single = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
+    least = kept.join(twice, "doc_id").where(F.col("text").eqNullSafe(F.col("_t"))).select(*docs.columns).dropDuplicates(["doc_id"])
+    return single.unionByName(least)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to marks; n_chars follows the text."""
+    done = pii.mask(pii.find(docs, out="_spans"), spans="_spans").drop("_spans")
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return done.select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (little-endian unsigned 32-bit integers) instead of the text, and whether they decode to it."""
+    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    own = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    ids = bpe.encode(own, ranks, pattern).drop("text")
+    back = bpe.decode(ids, ranks, pattern)
+    return back.withColumn("round_trip", F.sha2("decoded", 256) == F.col("_sha")).drop("decoded", "_sha")
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminated", decontaminated), ("masked", masked), ("encoded", encoded)]
+
+#: No SQL: the classifier is fitted and the tokenizer has no SQL form. tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
