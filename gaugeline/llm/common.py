@@ -46,3 +46,14 @@ def add_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Array
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, StructType([*kept, *new.fields]))
+
+
+def packed(df: DataFrame, kept: list[str], /, **own: Column) -> DataFrame:
+    """The row as one struct beside the columns an operator works with, so that names of its own cannot clash with those
+    of the row."""
+    return df.select(F.struct(*([F.col(f"`{c}`") for c in kept] or [F.lit(0)])).alias("_row"), *(c.alias(n) for n, c in own.items()))
+
+
+def unpacked(df: DataFrame, kept: list[str], /, **own: Column) -> DataFrame:
+    """The columns of `packed` rows, and new ones."""
+    return df.select(*(F.col("_row").getField(c).alias(c) for c in kept), *(c.alias(n) for n, c in own.items()))

@@ -40,8 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
 def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link: Callable[[str, str], str]) -> DataFrame:
     """(node, comp) of all nodes that have a link.
 
-    members: written table of (key, node, n, rank, lead): `lead` marks those that may be the smaller side of a pair met
-    here. verify: (a, b) -> those pairs that link. may_link(x, y): SQL condition under which rows x (smaller) and y of
+    members: written table of (key, node, n, rank, lead, far): `lead` marks those that may be the smaller side of a pair
+    met here, `far` is smallest in the middle of a family, where pivots are taken. verify: (a, b) -> those pairs that link. may_link(x, y): SQL condition under which rows x (smaller) and y of
     one key can link and meet here first."""
     found, comp = None, None
     for turn in range(ROUNDS + 1):
@@ -54,7 +54,12 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link:
         m = durable(m.join(open_, "key", "left_semi"), "open")
         before = F.expr("x.n < y.n or (x.n = y.n and x.node < y.node)")
         if turn < ROUNDS:
-            pivot = m.where("lead").groupBy("key").agg(F.min_by(F.struct("node", "n", "rank", "comp"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("p"))
+            middle = F.struct("far", F.xxhash64("node"), "node")
+            lead = m.where("lead")
+            if turn:                               # another class than that of the first pivot
+                seen = lead.groupBy("key").agg(F.min_by("comp", middle).alias("had"))
+                lead = lead.join(seen, "key").where("comp <> had")
+            pivot = lead.groupBy("key").agg(F.min_by(F.struct("node", "n", "rank", "comp"), middle).alias("p"))
             pairs = m.alias("y").join(pivot.alias("q"), "key").select("key", F.struct("y.*").alias("y"), F.col("q.p").alias("x")).where("x.comp <> y.comp")
             ordered = pairs.where(f"if(x.n < y.n or (x.n = y.n and x.node < y.node), {may_link('x', 'y')}, {may_link('y', 'x')})")
             pairs = ordered.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))

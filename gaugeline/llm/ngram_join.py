@@ -10,9 +10,12 @@ The incidence matrix of documents and shingles is multiplied with itself in bloc
 3. With the counts every set is ordered from rare to frequent. Two sets that link share a shingle among the first few
    (size - ceil(0.8 * size) + 1), so only those entries stay, less those found in one document only. Most documents
    have none left and are done.
-4. Remaining entries meet by shingle. Pairs are discarded by size-derived bounds: sizes and places in the order
+4. Sets with such entries are few. They are read again whole and multiplied in the same way, now with all their
+   shingles: a set with too many shingles of its own cannot link at all, and the rest are ordered over all shingles.
+5. Remaining entries meet by shingle. Pairs are discarded by size-derived bounds: sizes and places in the order
    must still allow the overlap 9 * overlap >= 4 * (size + size) asks for. What passes is counted in full on the whole
-   sets, pivots of each shingle first, then all pairs that are still in different classes (see `linking`).
+   sets: first with the set of each shingle that has the smallest part of its own (the middle of a family of near
+   copies), then all pairs that are still in different classes (see `linking`).
 
 Results are exact (up to 64-bit hash collisions); no cap, sample or prefix of a text is used.
 
@@ -37,7 +40,7 @@ from gaugeline.llm.textarrays import set_print, shingle_hashes, word_hashes
 from gaugeline.session import durable
 
 N, PERCENT = 5, 80
-SHARE = int(0.35 * 2**64)                  # hashes below take part in the counting
+SHARE, ALL = int(0.35 * 2**64), 2**64      # hashes below take part in the counting: first a third, then all
 ROW_TOKENS, BLOCK_TOKENS = 300_000, 1_500_000
 BITS = 1 << 23                             # of the filter for documents that are read again: 1 MB whatever the input
 
@@ -95,20 +98,47 @@ def _nullable(schema: StructType) -> StructType:
     return StructType([StructField(f.name, f.dataType, True) for f in schema.fields])
 
 
-def _cuts(blocks: int) -> np.ndarray:
-    """Inner bounds of the hash ranges."""
-    return np.array([SHARE * i // blocks for i in range(1, blocks)], np.uint64)
+def _set_rows(sets: DataFrame) -> DataFrame:
+    """Block rows of whole sets."""
+
+    def run(batches):
+        task, serial, held, nodes, tokens = TaskContext.get().partitionId(), 0, 0, [], []
+
+        def row():
+            counts = np.array([len(t) for t in tokens], "<i4")
+            d = pa.StructArray.from_arrays([pa.nulls(len(nodes), pa.int64()), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary())], names=["id", "n", "cls"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([task << 33 | serial], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(d)], pa.int32()), d), pa.array([counts.tobytes()], pa.binary()),
+                 pa.array([np.concatenate(tokens).tobytes()], pa.binary()), pa.array([int(counts.sum())], pa.int64())], names=["bid", "docs", "counts", "tokens", "n_tokens"])
+
+        for b in batches:
+            for node, s in zip(b.column("node").to_pylist(), b.column("set").to_pylist()):
+                nodes.append(node)
+                tokens.append(np.frombuffer(s, "<u8"))
+                held += len(tokens[-1])
+                if held >= ROW_TOKENS:
+                    yield row()
+                    serial, held, nodes, tokens = serial + 1, 0, [], []
+        if nodes:
+            yield row()
+
+    small_batches(sets.sparkSession)
+    return sets.select("node", "set").mapInArrow(run, "bid bigint, docs array<struct<id:bigint,n:bigint,cls:binary>>, counts binary, tokens binary, n_tokens bigint")
+
+
+def _below(tokens: np.ndarray, share: int) -> np.ndarray:
+    return np.ones(len(tokens), bool) if share == ALL else tokens < np.uint64(share)
 
 
-def _requests(rows: DataFrame, blocks: int) -> DataFrame:
+def _requests(rows: DataFrame, blocks: int, share: int) -> DataFrame:
     """Per batch and block: the distinct shingles of the batch in that range and in how many of its documents they are."""
 
     def run(batches):
-        cuts = _cuts(blocks)
+        cuts = np.array([share * i // blocks for i in range(1, blocks)], np.uint64)
         for b in batches:
             for bid, t in zip(b.column("bid").to_pylist(), b.column("tokens").to_pylist()):
                 v, c = np.unique(np.frombuffer(t, "<u8"), return_counts=True)
-                keep = v < np.uint64(SHARE)
+                keep = _below(v, share)
                 v, c = v[keep], np.minimum(c[keep], 2**31 - 1).astype("<i4")
                 at = [0, *np.searchsorted(v, cuts).tolist(), len(v)]
                 full = [i for i in range(blocks) if at[i + 1] > at[i]]
@@ -132,25 +162,26 @@ def _counted(t: pa.Table) -> pa.Table:
     return pa.table({"bid": t.column("bid"), "block": t.column("block"), "levels": pa.array(out, pa.binary())})
 
 
-def _entries(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Entries of one batch that can still meet another document: (key, node, n, rank, lead)."""
-    keys, nodes, sizes, ranks = [], [], [], []
+def _entries(left: pa.Table, right: pa.Table, share: int) -> pa.Table:
+    """Entries of one batch that can still meet another document: (key, node, n, rank, lead, far). `far` is the part of
+    the counted shingles that no other document has, in thousandths."""
+    keys, nodes, sizes, ranks, own_part = [], [], [], [], []
     if len(left):
         order = np.argsort(right.column("block").to_numpy()) if len(right) else []
         levels = right.column("levels").to_pylist()
         level = np.concatenate([np.empty(0, np.uint8), *(np.frombuffer(levels[i], np.uint8) for i in order)])
         tokens = np.frombuffer(left.column("tokens")[0].as_py(), "<u8")
         distinct = np.unique(tokens)
-        distinct = distinct[distinct < np.uint64(SHARE)]
+        distinct = distinct[_below(distinct, share)]
         of_token = np.full(len(tokens), 256, np.int64)                  # uncounted: after all counted ones
-        low = tokens < np.uint64(SHARE)
+        low = _below(tokens, share)
         if len(distinct):
             of_token[low] = level[np.searchsorted(distinct, tokens[low])]
         at = 0
         for d, c in zip(left.column("docs")[0].as_py(), np.frombuffer(left.column("counts")[0].as_py(), "<i4")):
             own, lv, n = tokens[at:at + c], of_token[at:at + c], d["n"]
             at += c
-            if not c:
+            if not c or n < 4:
                 continue
             first = np.argsort(lv, kind="stable")[:n - least_overlap(n) + 1]      # own is sorted: ties by hash
             shared = np.flatnonzero(lv[first] > 1)
@@ -158,10 +189,46 @@ def _entries(left: pa.Table, right: pa.Table) -> pa.Table:
             ranks.append(shared)
             sizes.append(np.full(len(shared), n))
             nodes.extend([d["cls"]] * len(shared))
+            own_part.append(np.full(len(shared), int((lv == 1).sum()) * 1000 // len(lv)))
     cat = lambda x, t: np.concatenate([np.empty(0, t), *x]).astype(t)
     n, r = cat(sizes, np.int64), cat(ranks, np.int64)
     return pa.table({"key": pa.array(cat(keys, np.uint64).view(np.int64)), "node": pa.array(nodes, pa.binary()), "n": pa.array(n), "rank": pa.array(r),
-                     "lead": pa.array(9 * (n - r) >= 8 * n)})
+                     "lead": pa.array(9 * (n - r) >= 8 * n), "far": pa.array(cat(own_part, np.int64))})
+
+
+def _multiply(rows: DataFrame, share: int, finish) -> DataFrame:
+    """Counts of all shingles of the block rows, handed to `finish` batch by batch."""
+    total = rows.agg(F.sum("n_tokens")).first()[0] or 0
+    levels = _requests(rows, max(math.ceil(total / BLOCK_TOKENS), 1), share).groupBy("block").applyInArrow(_counted, "bid bigint, block int, levels binary")
+    both = rows.groupBy("bid").cogroup(levels.groupBy("bid"))
+    return both.applyInArrow(lambda left, right: finish(left, right, share), ENTRY)
+
+
+ENTRY = "key bigint, node binary, n bigint, rank bigint, lead boolean, far bigint"
+
+
+def _alone(left: pa.Table, right: pa.Table, share: int) -> pa.Table:
+    """One entry per set instead: its rank is the number of shingles no other set has."""
+    order = np.argsort(right.column("block").to_numpy()) if len(right) else []
+    levels = right.column("levels").to_pylist()
+    level = np.concatenate([np.empty(0, np.uint8), *(np.frombuffer(levels[i], np.uint8) for i in order)])
+    nodes, sizes, own = [], [], []
+    if len(left):
+        tokens, at = np.frombuffer(left.column("tokens")[0].as_py(), "<u8"), 0
+        of_token = level[np.searchsorted(np.unique(tokens), tokens)] if len(tokens) else level
+        for d, c in zip(left.column("docs")[0].as_py(), np.frombuffer(left.column("counts")[0].as_py(), "<i4")):
+            nodes.append(d["cls"])
+            sizes.append(d["n"])
+            own.append(int((of_token[at:at + c] == 1).sum()))
+            at += c
+    n, r = np.array(sizes, np.int64), np.array(own, np.int64)
+    return pa.table({"key": pa.array(np.zeros(len(n), np.int64)), "node": pa.array(nodes, pa.binary()), "n": pa.array(n), "rank": pa.array(r), "lead": pa.array(9 * (n - r) >= 8 * n),
+                     "far": pa.array(r * 1000 // np.maximum(n, 1))})
+
+
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """(node, n, rank, lead, far) of every set of a written table (node, set)."""
+    return _multiply(durable(_set_rows(sets), "rows"), ALL, _alone).drop("key")
 
 
 def _may_link(x: str, y: str) -> str:
@@ -232,16 +299,14 @@ def _verifier(sets: DataFrame):
 def classify(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id reachable by links, itself included)."""
     rows = durable(_block_rows(docs, id, text), "blocks")
-    total = rows.agg(F.sum("n_tokens")).first()[0] or 0
-    blocks = max(math.ceil(total / BLOCK_TOKENS), 1)
-    levels = _requests(rows, blocks).groupBy("block").applyInArrow(_counted, "bid bigint, block int, levels binary")
-    entries = rows.groupBy("bid").cogroup(levels.groupBy("bid")).applyInArrow(_entries, "key bigint, node binary, n bigint, rank bigint, lead boolean")
-    entries = durable(entries, "entries")
-    shared = entries.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.max("lead").alias("lead")).where("a <> b and lead").select("key")
-    members = durable(entries.join(shared, "key", "left_semi").distinct(), "members")
+    meeting = lambda e: e.join(e.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.max("lead").alias("lead")).where("a <> b and lead").select("key"), "key", "left_semi")
+    some = meeting(durable(_multiply(rows, SHARE, _entries).select("key", "node", "lead"), "entries"))
+    active = durable(some.select("node").distinct(), "active")
     flat = rows.select(F.explode("docs").alias("d")).select(F.col("d.id").alias(id), F.col("d.n").alias("n_shingles"), F.col("d.cls").alias("cls"))
     classes = flat.where("n_shingles > 0").groupBy("cls").agg(F.min(id).alias("first"))
-    comp = linking.link(members, _verifier(_sets(docs, members.select("node").distinct(), classes, id, text)), _may_link)
+    sets = _sets(docs, active, classes, id, text)
+    members = durable(meeting(durable(_multiply(durable(_set_rows(sets), "rows"), ALL, _entries), "entries")), "members")
+    comp = linking.link(members, _verifier(sets), _may_link)
     least = classes.join(comp, classes["cls"] == comp["node"], "left").select("cls", "first", F.coalesce("comp", "cls").alias("comp"))
     smallest = least.groupBy("comp").agg(F.min("first").alias("component_id"))
     by_class = least.join(smallest, "comp").select("cls", "component_id")

@@ -92,19 +92,18 @@ def _sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame, id: str, text:
     return durable(own.groupBy("node").agg(F.first("set").alias("set")), "sets")
 
 
-def _may_link(x: str, y: str) -> str:
-    return f"5 * {x}.n >= 4 * {y}.n"
-
-
 def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per occurrence of a passage that occurs more than once: id, place (line), n_words, occurrences, kept_id and
     kept_place (the occurrence that stays), removed."""
     rows = durable(_signed(docs, id, text), "paragraphs")
     classes = rows.groupBy("cls").agg(F.min(id).alias("first"))
-    entries = rows.select(F.posexplode("bands").alias("band", "h"), F.col("cls").alias("node"), "n").select(F.xxhash64("band", "h").alias("key"), "node", "n").withColumns({"rank": F.lit(0).cast("long"), "lead": F.lit(True)})
+    entries = rows.select(F.posexplode("bands").alias("band", "h"), F.col("cls").alias("node")).select(F.xxhash64("band", "h").alias("key"), "node")
     shared = entries.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
-    members = durable(entries.join(shared, "key", "left_semi").distinct(), "members")
-    comp = linking.link(members, ngram_join._verifier(_sets(docs, members.select("node").distinct(), classes, id, text)), _may_link)
+    met = durable(entries.join(shared, "key", "left_semi").distinct(), "met")
+    sets = _sets(docs, met.select("node").distinct(), classes, id, text)
+    # A paragraph with too many shingles of its own cannot reach the similarity with any other.
+    members = durable(met.join(ngram_join.own_shingles(sets), "node"), "members")
+    comp = linking.link(members, ngram_join._verifier(sets), ngram_join._may_link)
     flat = rows.join(comp, rows["cls"] == comp["node"], "left").select(id, "place", "n_words", F.coalesce("comp", "cls").alias("comp"))
     groups = flat.groupBy("comp").agg(F.count("*").alias("occurrences"), F.min(F.struct(F.col(id).isNull(), F.col(id), "place")).alias("main")).where("occurrences > 1")
     out = flat.join(groups, "comp").select(id, "place", "n_words", "occurrences", F.col(f"main.{id}").alias("kept_id"), F.col("main.place").alias("kept_place"))

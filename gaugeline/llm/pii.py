@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.llm.common import packed, unpacked
+
 LOCAL = r"A-Za-z0-9._%+-"
 
 
@@ -83,10 +85,10 @@ def _kind_spans(df: DataFrame, text: str, kind: Kind) -> DataFrame:
 def find(df: DataFrame, text: str = "text", out: str = "spans", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """Append `out`: all spans by kind as listed, then start, each with its score."""
     kept = [c for c in df.columns if c != out]
-    df = df.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+    df = packed(df, kept, _text=F.coalesce(F.col(f"`{text}`"), F.lit("")))
     for k in kinds:
         df = _kind_spans(df, "_text", k)
-    return df.select(*(F.col(f"`{c}`") for c in kept), F.concat(*(F.col(f"_{k.name}") for k in kinds)).alias(out))
+    return unpacked(df, kept, **{out: F.concat(*(F.col(f"_{k.name}") for k in kinds))})
 
 
 def is_kind(kind: str):
@@ -102,11 +104,13 @@ def mask(df: DataFrame, text: str = "text", spans: str = "spans", out: str = "te
     """Replace every span by the mark of its kind. Where spans overlap, the one that starts first (then the longest,
     then the first kind listed) gives the mark and what reaches beyond it goes too. A null text stays null."""
     marks = F.create_map(*(x for k in kinds for x in (F.lit(k.name), F.lit(k.mask))))
-    order = F.array_sort(F.transform(F.col(spans), lambda s: F.struct(s["start"].alias("s"), (-s["end"]).alias("ne"), marks[s["kind"]].alias("mark"))))
-    df = df.withColumn("_order", F.when(F.size(spans) > 0, order))
-    t = f"`{text}`"
+    kept = [c for c in df.columns if c != out]
+    df = packed(df, kept, _text=F.col(f"`{text}`"), _spans=F.col(f"`{spans}`"))
+    order = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("s"), (-s["end"]).alias("ne"), marks[s["kind"]].alias("mark"))))
+    df = df.withColumn("_order", F.when(F.size("_spans") > 0, order))
+    t = "_text"
     made = F.expr(
         "aggregate(_order, cast(struct(array(), 0L) as struct<parts:array<string>,at:bigint>), (a, x) -> if(x.s < a.at, struct(a.parts as parts, greatest(a.at, -x.ne) as at), "
         f"struct(array_append(a.parts, concat(substring({t}, cast(a.at + 1 as int), cast(x.s - a.at as int)), x.mark)) as parts, -x.ne as at)), "
         f"a -> concat(array_join(a.parts, ''), substring({t}, cast(a.at + 1 as int))))")
-    return df.withColumn(out, F.when(F.col("_order").isNull(), F.col(t)).otherwise(made)).drop("_order")
+    return unpacked(df, kept, **{out: F.when(F.col("_order").isNull(), F.col(t)).otherwise(made)})

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import SPACE, words
+from gaugeline.llm.common import SPACE, packed, unpacked, words
 from gaugeline.session import durable
 
 SYMBOLS, LOUD = "#*$%&|<>", "!?"
@@ -112,8 +112,12 @@ def fences(df: DataFrame, lang: str = "lang", source: str = "source") -> DataFra
 
 def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """Append base counts, ratios, `base_failed`, `method_kept` and `kept`. The counts are written once and read twice
-    (for the sketches and for the verdicts), as they cost far more than reading them back; texts are not written."""
-    counted = durable(signals(df.drop("base_failed", "method_kept", "kept"), text).drop(text), "signals")
+    (for the sketches and for the verdicts), as they cost far more than reading them back; texts are not written. The
+    text column is not returned."""
+    new = [*BASE, *SPREAD, "base_failed", "method_kept", "kept"]
+    kept = [c for c in df.columns if c not in (*new, text)]
+    own = packed(df, kept, text=F.col(f"`{text}`"), lang=F.col(f"`{lang}`"), source=F.col(f"`{source}`"))
+    counted, lang, source = durable(signals(own).drop("text"), "signals"), "lang", "source"
     f = fences(counted, lang, source).select(F.col(lang).alias("_lang"), F.col(source).alias("_source"), *(F.col(f"{r}_{c}") for r in SPREAD for c in ("low", "high")))
     joined = counted.join(f, F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source")), "left")
     inside = F.lit(True)
@@ -122,5 +126,5 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
         if r in TWO_SIDED:
             inside = inside & (F.col(r) >= F.col(f"{r}_low"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return (joined.withColumn("base_failed", failed).withColumn("method_kept", F.coalesce(inside, F.lit(True)))
-            .withColumn("kept", ~F.col("base_failed") & F.col("method_kept")).drop("_lang", "_source"))
+    judged = joined.withColumn("base_failed", failed).withColumn("method_kept", F.coalesce(inside, F.lit(True))).withColumn("kept", ~F.col("base_failed") & F.col("method_kept"))
+    return unpacked(judged, kept, **{c: F.col(c) for c in new})

@@ -20,7 +20,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import SPACE, words
+from gaugeline.llm.common import SPACE, packed, unpacked, words
 from gaugeline.llm.quality_rules import count_of
 from gaugeline.session import durable
 
@@ -138,5 +138,4 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
 def apply(model: Model, docs: DataFrame, text: str = "text", score: str = "score") -> DataFrame:
     """Append the score."""
     kept = [c for c in docs.columns if c != score]
-    inner = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row"), F.col(f"`{text}`").alias("text"))
-    return statistics(inner).select("_row", model.score().alias(score)).select("_row.*", score)
+    return unpacked(statistics(packed(docs, kept, text=F.col(f"`{text}`"))), kept, **{score: model.score()})

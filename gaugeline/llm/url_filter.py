@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import ascii_lower
+from gaugeline.llm.common import ascii_lower, packed, unpacked
 from gaugeline.session import durable
 
 LONGEST = 20               # letters of the longest word of the unigram model
@@ -76,10 +76,11 @@ def segment(names: DataFrame, words: DataFrame) -> DataFrame:
     """(name, parts) of distinct names. Substrings meet the counts in a join; a name's substrings are at most LONGEST
     per letter."""
     total = words.agg(F.sum("n")).first()[0] or 1
-    subs = names.select("name", F.explode(F.expr(f"flatten(transform(sequence(1, length(name)), i -> transform(sequence(1, least({LONGEST}, length(name) - i + 1)), "
-                                                 "k -> struct(i - 1 as a, k as k, substring(name, i, k) as word))))")).alias("s"))
-    known = subs.select("name", "s.*").join(words, "word").groupBy("name").agg(F.collect_list(F.struct("a", "k", "n")).alias("known"))
-    rows = names.join(known, "name", "left")
+    names = names.withColumn("nid", F.md5("name"))          # the many substrings carry a short key, not the name
+    at = names.select("nid", "name", F.explode(F.expr("sequence(1, length(name))")).alias("i")).selectExpr("nid", "i - 1 as a", f"substring(name, i, {LONGEST}) as w")
+    subs = at.select("nid", "a", "w", F.explode(F.expr("sequence(1, length(w))")).alias("k")).selectExpr("nid", "a", "k", "substring(w, 1, k) as word")
+    known = subs.join(words, "word").groupBy("nid").agg(F.collect_list(F.struct("a", "k", "n")).alias("known"))
+    rows = names.join(known, "nid", "left").select("name", "known")
 
     def run(batches):
         for b in batches:
@@ -89,9 +90,11 @@ def segment(names: DataFrame, words: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "name string, parts array<string>")
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", html: str = "html") -> DataFrame:
     """Append host, path, rule and verdict (without the page text)."""
-    p = pages.drop("host", "path", "rule", "verdict", html).withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", html)]
+    p = packed(pages, kept, host=host_of(F.col(f"`{url}`")), path=path_of(F.col(f"`{url}`")))
+    done = lambda df, verdict: unpacked(df, kept, host=F.col("host"), path=F.col("path"), rule=F.col("rule"), verdict=verdict)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     p = p.withColumns({"rule": rule, "_v": verdict, "_h": letters(F.col("host")), "_p": letters(F.col("path"))})
     fields = p.select(F.explode(F.array(F.struct(F.lit("h").alias("kind"), F.col("_h").alias("field"), "_v"), F.struct(F.lit("p").alias("kind"), F.col("_p").alias("field"), "_v"))).alias("f"))
@@ -104,7 +107,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id: str = "page_id", u
     all_b, all_a, v = counts.agg(F.sum("b"), F.sum("a"), F.count("*")).first()
     decided = fields.where("kind = 'h'").agg(F.sum("block"), F.sum("allow")).first()
     if not all_b or not all_a:
-        return p.withColumn("verdict", F.coalesce("_v", F.lit("allow"))).drop("_v", "_h", "_p")
+        return done(p, F.coalesce("_v", F.lit("allow")))
     # Millionths of the log ratio as whole numbers: sums are the same in any order.
     ratio = F.round(1e6 * (F.log((F.col("b") + 1) / (all_b + v)) - F.log((F.col("a") + 1) / (all_a + v)))).cast("long")
     scores = tokens.join(counts.select("token", ratio.alias("r")), "token").groupBy("kind", "field").agg(F.sum("r").alias("score"))
@@ -114,4 +117,4 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id: str = "page_id", u
     out = p.join(host, "_h", "left").join(path, "_p", "left")
     score = F.coalesce("_hs", F.lit(0)) + F.coalesce("_ps", F.lit(0)) + prior
     method = F.when((F.col("_hs").isNotNull() | F.col("_ps").isNotNull()) & (score > 0), "block").otherwise("allow")
-    return out.withColumn("verdict", F.coalesce("_v", method)).drop("_v", "_h", "_p", "_hs", "_ps")
+    return done(out, F.coalesce("_v", method))

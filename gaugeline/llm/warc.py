@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, StringStartsWith, WriterCommitMessage
 
+from gaugeline.llm.common import packed, unpacked
+
 SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, payload_bytes bigint, payload binary"
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 DATE = "1970-01-01T00:00:00Z"
@@ -292,14 +294,17 @@ def mark_revisits(df: DataFrame, id: str, payload: str, least_bytes: int = 1000)
     more the one with the largest id is a response and the others revisit it. A null id counts as smallest; rows that
     share the largest id (repeated rows) are all responses. A null payload is empty. Groups are reduced to one row before
     the join, and a payload that many rows share is split by Spark like any skewed join side."""
-    df = df.drop("payload_bytes", "payload_digest", "record_type", "refers_to").withColumn(payload, F.coalesce(F.col(payload), F.lit(b"")))
-    df = df.withColumns({"payload_bytes": F.length(payload).cast("long"), "payload_digest": F.sha1(payload), "_h": F.xxhash64(payload)})
+    new = ["payload_bytes", "payload_digest", "record_type", "refers_to"]
+    kept = [c for c in df.columns if c not in new]
+    df = df.withColumn(payload, F.coalesce(F.col(f"`{payload}`"), F.lit(b"")))
+    df = packed(df, kept, _id=F.col(f"`{id}`"), _p=F.col(f"`{payload}`"))
+    df, id = df.select("_row", "_id", F.length("_p").cast("long").alias("payload_bytes"), F.sha1("_p").alias("payload_digest"), F.xxhash64("_p").alias("_h")), "_id"
     keys = ["payload_digest", "_h", "payload_bytes"]
     groups = df.where(F.col("payload_bytes") >= least_bytes).groupBy(*keys).agg(F.max(id).alias("_main"), F.count("*").alias("_k")).where("_k > 1").drop("_k")
     joined = df.join(groups, keys, "left")
     other = F.col("_main").isNotNull() & ~F.col(id).eqNullSafe(F.col("_main"))
-    return (joined.withColumn("record_type", F.when(other, "revisit").otherwise("response")).withColumn("refers_to", F.when(other, F.col("_main")))
-            .drop("_main", "_h"))
+    return unpacked(joined, kept, payload_bytes=F.col("payload_bytes"), payload_digest=F.col("payload_digest"),
+                    record_type=F.when(other, "revisit").otherwise("response"), refers_to=F.when(other, F.col("_main")))
 
 
 def write(df: DataFrame, path: str) -> None:
