@@ -113,17 +113,17 @@ def top_contributors(a: DataFrame, k: int, key="vec_id") -> DataFrame:
     return per.select(key, "total", F.slice(order(1), 1, k).alias("positive"), F.slice(order(-1), 1, k).alias("negative"))
 
 
-def rows_at_positions(df: DataFrame, order: str, key: str, positions: dict[str, tuple[float, str]]) -> DataFrame:
-    """Rows at given 1-based positions of the (order, key) ranking. The value at the position comes from a bracketed
+def rows_at_positions(df: DataFrame, order: str, key: str, positions: dict[str, str]) -> DataFrame:
+    """Rows at given 1-based positions (SQL over `n`) of the (order, key) ranking. The value at the position comes from a
     selection; ties on it are then resolved on the key the same way, so the ranking is never built."""
     vals = ordered.value_at_rank(df, order, positions).first()
     out = None
-    for name, (_, rank) in positions.items():
+    for name, rank in positions.items():
         n, v = vals["n"], vals[name]
         r = df.sparkSession.range(1).select(F.expr(rank.replace("n", str(n))).cast("bigint")).first()[0]
         below = df.where(F.col(order) < F.lit(v)).count()
         ties = df.where(F.col(order) == F.lit(v))
-        k = ordered.value_at_rank(ties, key, {"k": (min(1.0, max(0.0, (r - below) / max(1, n))), str(r - below))}).first()["k"]
+        k = ordered.value_at_rank(ties, key, {"k": str(r - below)}).first()["k"]
         row = ties.where(F.col(key).cast("double") == F.lit(k)).withColumn("prototype", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
@@ -131,7 +131,7 @@ def rows_at_positions(df: DataFrame, order: str, key: str, positions: dict[str,
 
 def positional_prototypes(df: DataFrame, error: str, level: str, key: str) -> DataFrame:
     """Typical (middle) and hard (95 %) rows by error, shallowest and deepest by level."""
-    mid = rows_at_positions(df, error, key, {"typical": (.5, "floor(n * 0.5) + 1"), "hard": (.95, "floor(n * 0.95) + 1")})
+    mid = rows_at_positions(df, error, key, {"typical": "floor(n * 0.5) + 1", "hard": "floor(n * 0.95) + 1"})
     ends = None
     for name, o in (("shallowest", F.asc(level)), ("deepest", F.desc(level))):
         d = df.orderBy(o, key).limit(1).withColumn("prototype", F.lit(name))

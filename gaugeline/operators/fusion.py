@@ -13,16 +13,13 @@ from pyspark.sql import functions as F
 from gaugeline.config import BLOCKS, SUITES
 from gaugeline.functions.scalars import DAYS_PER_YEAR, all_present, clip, col
 from gaugeline.operators import ordered, quality
-from gaugeline.session import durable, is_small
+from gaugeline.session import durable
 
 BLOCK_NAMES = ["a", "b", "c"]
 
 
 def medians(df: DataFrame, cols: list[str]) -> DataFrame:
-    """One row of exact medians. Small inputs take one wide aggregate; otherwise columns become a key of one bracketed
-    pass, and the result (a row per column) is turned wide."""
-    if is_small(df):
-        return df.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in cols])
+    """One row of exact medians: columns become a key of one selection, whose result (a row per column) is turned wide."""
     long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in cols], "variable", "v")
     q = ordered.quantiles(long, "v", {"m": .5}, ["variable"])
     return q.groupBy().agg(*[F.max(F.when(F.col("variable") == c, F.col("m"))).alias(c) for c in cols])

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from gaugeline.config import DENSITY_YEARS, LONG_GAP_DAYS, VERY_LONG_GAP_DAYS
 from gaugeline.functions.scalars import DAYS_PER_YEAR
 from gaugeline.operators import ordered
-from gaugeline.session import is_small
 
 
 def day_table(readings: DataFrame, entity="entity_id", ts="ts", value="value") -> DataFrame:
@@ -102,10 +101,7 @@ def row_lag_features(readings: DataFrame, entity="entity_id", ts="ts", value="va
     its last three readings are carried to the following segments over a table with one row per segment. So neither a
     hot entity nor a hot day is ever sorted in one task."""
     seg = [entity, ts, "_s"]
-    if is_small(readings):
-        rows = readings.withColumn("_s", F.lit(0))
-    else:
-        rows = ordered.even_slices(readings, row_id, [entity, ts], "_s")
+    rows = ordered.id_slices(readings, row_id, "_s")
     cell = F.struct(F.col(ts).alias("d"), F.col(value).alias("v"))
     w = Window.partitionBy(*seg).orderBy(row_id)
     rows = (rows.withColumn("_rn", F.row_number().over(w))
@@ -119,7 +115,7 @@ def row_lag_features(readings: DataFrame, entity="entity_id", ts="ts", value="va
     carry = top.select(
         *seg, F.coalesce(F.sum("_sn").over(o.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"),
         F.concat(*[F.coalesce(F.lag("_tail", k).over(o), empty) for k in (3, 2, 1)]).alias("_carried"))
-    j = rows.join(carry, seg, "left").withColumn("_all", F.concat("_carried", "_near"))
+    j = ordered.null_safe_join(rows, carry, seg, "left").withColumn("_all", F.concat("_carried", "_near"))
     j = j.withColumn("_p", F.slice("_all", F.greatest(F.size("_all") - 2, F.lit(1)), 3))
     back = lambda k: F.try_element_at("_p", F.lit(-k))
     j = (j.withColumn("lag1", back(1)["v"]).withColumn("lag2", back(2)["v"])

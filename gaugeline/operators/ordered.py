@@ -1,14 +1,12 @@
-"""Exact order statistics that never gather one group in one task.
+"""Exact order statistics in one form at every size; no group is gathered in one task.
 
-`percentile`, `rank()` and `row_number()` over a whole group put that group in a single task. Here a mergeable sketch
-(`percentile_approx`, bounded memory, map-side combined) only finds *where* to look; the answer itself is exact:
+Rows are first reduced to distinct values with their multiplicity, map-side combined. Rounding to single precision keeps
+the order, so it cuts the values of a group into ordered buckets, at most 2**24 per power of two however many rows there
+are. Running counts over the buckets say in which one a rank lies and how many rows stand before it; only the values
+of that bucket (or, for full ranks, of each bucket on its own) are then put in order. Nothing is sampled or estimated, so
+a rank inside the group is always found; one outside it gives null.
 
-* quantiles and values at a rank: the sketch brackets each target, one counting pass counts the rows below the bracket
-  and keeps the distinct values inside it (a few rows in 100 000), and only those are sorted;
-* full ranks: the sketch cuts the group into even slices, each slice is sorted alone and offset by a running count
-  over the slice table.
-
-When the bytes read are few (see `session.is_small`) the plain single-window form is used."""
+Null keys are a group like any other, NaN counts as missing (as null does), ties share their value."""
 
 from __future__ import annotations
 
@@ -16,146 +14,100 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions.scalars import col, keyed_text, portable_hash
-from gaugeline.session import is_small
 
-ACCURACY = 50_000      # sketch guarantee: rank error at most n / ACCURACY
-MARGIN = 3             # half width of a bracket, in units of that error
-SMALL_GROUP = 100_000  # groups up to this many rows are bracketed whole
-COARSE = FINE = 32     # 1 024 slices per group, found by two short searches
+IDS_PER_SLICE = 1 << 20
 
 
-def _join(left: DataFrame, right: DataFrame, on: list[str], keys: list[str]) -> DataFrame:
-    """Without group keys the right side has one row (or one per target or slice): broadcast. With group keys it grows
-    with the number of groups, so AQE decides and splits hot partitions."""
-    if keys:
-        return left.join(right, on, "inner")
-    return left.join(F.broadcast(right), on, "inner") if on else left.crossJoin(F.broadcast(right))
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join in which null keys meet; the left key columns stay. Without keys the right side is one row (or one per target
+    or bucket list of a single group, whose size is bounded): broadcast."""
+    if not keys:
+        return left.join(F.broadcast(right), how="cross" if how == "inner" else how)
+    named = right.withColumnsRenamed({k: f"_right_{i}" for i, k in enumerate(keys)})
+    cond = [left[k].eqNullSafe(named[f"_right_{i}"]) for i, k in enumerate(keys)]
+    return left.join(named, cond, how).drop(*[f"_right_{i}" for i in range(len(keys))])
 
 
-def value_counts(df: DataFrame, value, keys: list[str]) -> DataFrame:
-    """Distinct non-null values with their multiplicity; map-side combined, hashed on (keys, value)."""
+def number(value) -> Column:
+    """The value as a double, NaN taken as missing."""
     v = col(value).cast("double")
+    return F.when(~F.isnan(v), v)
+
+
+def value_counts(df: DataFrame, value, keys: list[str]) -> DataFrame:
+    """Distinct values with their multiplicity; map-side combined, hashed on (keys, value)."""
+    v = number(value)
     return df.where(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def _select(df: DataFrame, value, targets: dict[str, tuple[float, str]], keys: list[str]) -> DataFrame:
-    """Values at 0-based ranks. `targets`: name -> (share of the group the rank is near, SQL for the rank over `n`)."""
-    v = col(value).cast("double")
-    rows = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull())
-    probs = []
-    for share, _ in targets.values():
-        probs += [max(0.0, share - MARGIN / ACCURACY), min(1.0, share + MARGIN / ACCURACY)]
-    sketch = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", [float(p) for p in probs], ACCURACY).alias("_e"))
-    inf = F.lit(float("inf"))
-    brackets = []
-    for i, (name, (share, rank)) in enumerate(targets.items()):
-        whole = F.col("n") <= SMALL_GROUP
-        lo = F.when(whole | F.lit(share <= MARGIN / ACCURACY), -inf).otherwise(F.col("_e")[2 * i])
-        hi = F.when(whole | F.lit(share >= 1 - MARGIN / ACCURACY), inf).otherwise(F.col("_e")[2 * i + 1])
-        brackets.append(F.struct(F.lit(name).alias("_t"), F.expr(rank).cast("bigint").alias("_r"), lo.alias("_lo"), hi.alias("_hi")))
-    sketch = sketch.select(*keys, F.array(*brackets).alias("_b"))
-    near = _join(rows, sketch, keys, keys).select(*keys, "_v", F.inline("_b")).where(F.col("_v") <= F.col("_hi"))
-    # below the bracket only a count is kept (null value), inside it the distinct values
-    near = near.withColumn("_v", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")))
-    runs = near.groupBy(*keys, "_t", "_r", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*keys, "_t").orderBy(F.asc_nulls_first("_v")))
-    runs = runs.withColumn("_upto", upto)
-    hit = runs.where((F.col("_upto") - F.col("_n") <= F.col("_r")) & (F.col("_r") < F.col("_upto")))
-    missed = F.raise_error(F.lit("rank outside its bracket: raise ACCURACY or MARGIN"))
-    return hit.select(*keys, "_t", F.coalesce("_v", missed.cast("double")).alias("_v"))
-
-
-def _wide(found: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_t") == n, F.col("_v"))).alias(n) for n in names])
+def _buckets(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, _f (bucket), _st (rows before it), _c (rows in it), n (rows of the group)."""
+    cells = counts.groupBy(*keys, F.col("_v").cast("float").alias("_f")).agg(F.sum("_n").alias("_c"))
+    w = Window.partitionBy(*keys)
+    before = w.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
+    return cells.select(*keys, "_f", "_c", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_st"), F.sum("_c").over(w).alias("n"))
+
+
+def _select(df: DataFrame, value, targets: dict[str, str], keys: list[str]) -> DataFrame:
+    """keys, n, and a column per target: the value at the 0-based rank that the SQL over `n` gives."""
+    counts = value_counts(df, value, keys)
+    wanted = F.array(*[F.struct(F.lit(t).alias("_t"), F.expr(r).cast("bigint").alias("_r")) for t, r in targets.items()])
+    cells = _buckets(counts, keys)
+    at = cells.select(*keys, "_f", "_st", "_c", "n", F.inline(wanted)).where("_r >= _st and _r < _st + _c").drop("_c")
+    near = counts.withColumn("_f", F.col("_v").cast("float"))
+    found = null_safe_join(near, at, [*keys, "_f"])
+    upto = F.sum("_n").over(Window.partitionBy(*keys, "_t").orderBy("_v")) + F.col("_st")
+    hit = found.withColumn("_upto", upto).where("_upto - _n <= _r and _r < _upto")
+    wide = hit.groupBy(*keys).agg(*[F.max(F.when(F.col("_t") == t, F.col("_v"))).alias(t) for t in targets])
+    total = counts.groupBy(*keys).agg(F.sum("_n").alias("n"))
+    return null_safe_join(total, wide, keys, "left")
 
 
 def quantiles(df: DataFrame, value, probs: dict[str, float], keys: list[str] | None = None) -> DataFrame:
-    """Exact percentiles with linear interpolation, one output column per entry of `probs`."""
+    """Exact percentiles with linear interpolation, one output column per entry of `probs`; a row per group that has a
+    value (without keys: one row, null where there is no value)."""
     keys = list(keys or [])
-    v = col(value).cast("double")
-    if is_small(df):
-        return df.where(v.isNotNull()).groupBy(*keys).agg(
-            *[F.percentile(v, F.lit(float(p))).alias(n) for n, p in probs.items()])
     targets = {}
     for n, p in probs.items():
-        targets[f"{n}:lo"] = (p, f"floor({p!r}d * (n - 1))")
-        targets[f"{n}:hi"] = (p, f"ceil({p!r}d * (n - 1))")
-    wide = _wide(_select(df, value, targets, keys), keys, list(targets))
-    total = df.where(v.isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
-    wide = _join(wide, total, keys, keys)
+        targets[f"{n}:lo"] = f"floor({p!r}d * (n - 1))"
+        targets[f"{n}:hi"] = f"ceil({p!r}d * (n - 1))"
+    wide = _select(df, value, targets, keys)
     out = []
     for n, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("_total") - 1)
+        pos = F.lit(float(p)) * (F.col("n") - 1)
         lo, hi = F.col(f"`{n}:lo`"), F.col(f"`{n}:hi`")
         out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(n))
     return wide.select(*keys, *out)
 
 
-def value_at_rank(df: DataFrame, value, ranks: dict[str, tuple[float, str]], keys: list[str] | None = None) -> DataFrame:
-    """Value at 1-based ranks given as (share, SQL over `n`, the group's non-null count), for example
-    (0.9, "ceil(0.9*(n+1))"). The share says roughly where in the group the rank lies. The result carries `n`."""
+def value_at_rank(df: DataFrame, value, ranks: dict[str, str], keys: list[str] | None = None) -> DataFrame:
+    """Value at 1-based ranks given as SQL over `n`, the group's count of values, for example "ceil(0.9*(n+1))"; null
+    for a rank outside 1..n. The result carries `n`."""
     keys = list(keys or [])
-    v = col(value).cast("double")
-    clean = df.where(v.isNotNull())
-    if is_small(df):
-        rn = F.row_number().over(Window.partitionBy(*keys).orderBy("_v"))
-        n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-        runs = clean.select(*keys, v.alias("_v")).withColumn("_rn", rn).withColumn("n", n)
-        return runs.groupBy(*keys).agg(F.max("n").alias("n"), *[
-            F.max(F.when(F.col("_rn") == F.expr(r).cast("bigint"), F.col("_v"))).alias(k) for k, (_, r) in ranks.items()])
-    zero_based = {k: (s, f"({r}) - 1") for k, (s, r) in ranks.items()}
-    wide = _wide(_select(df, value, zero_based, keys), keys, list(ranks))
-    total = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return _join(wide, total, keys, keys)
-
-
-def _slice_no(v: Column, edges: Column) -> Column:
-    """Number of edges below the value, by a coarse and a fine search over the sorted edge array."""
-    coarse = F.size(F.filter(F.slice(edges, COARSE * FINE, COARSE), lambda e: e < v))
-    fine = F.size(F.filter(F.slice(edges, coarse * FINE + 1, FINE), lambda e: e < v))
-    return coarse * FINE + fine
+    return _select(df, value, {k: f"({r}) - 1" for k, r in ranks.items()}, keys)
 
 
 def rank_table(df: DataFrame, value, keys: list[str] | None = None) -> DataFrame:
     """keys, _v, _n, _below (count of smaller values): the base of every rank definition, one row per value."""
     keys = list(keys or [])
-    vals = value_counts(df, value, keys)
-    k = COARSE * FINE
-    probs = [i / k for i in range(1, k)]
-    edges = vals.groupBy(*keys).agg(F.percentile_approx("_v", probs, 10 * k).alias("_e"))
-    # the sorted edges, then every FINE-th of them: the coarse index
-    edges = edges.select(*keys, F.concat("_e", F.array(*[F.col("_e")[i * FINE - 1] for i in range(1, COARSE)])).alias("_e"))
-    cut = _join(vals, edges, keys, keys).withColumn("_s", _slice_no(F.col("_v"), F.col("_e"))).drop("_e")
-    cells = cut.groupBy(*keys, "_s").agg(F.sum("_n").alias("_c"))
-    before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.select(*keys, "_s", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_st"))
-    upto = F.sum("_n").over(Window.partitionBy(*keys, "_s").orderBy("_v"))
+    counts = value_counts(df, value, keys)
+    starts = _buckets(counts, keys).select(*keys, "_f", "_st")
+    cut = counts.withColumn("_f", F.col("_v").cast("float"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys, "_f").orderBy("_v"))
     runs = cut.withColumn("_in", upto - F.col("_n"))
-    return _join(runs, starts, [*keys, "_s"], keys).select(*keys, "_v", "_n", (F.col("_in") + F.col("_st")).alias("_below"))
+    return null_safe_join(runs, starts, [*keys, "_f"]).select(*keys, "_v", "_n", (F.col("_in") + F.col("_st")).alias("_below"))
 
 
 def average_rank(df: DataFrame, value: str, out: str, keys: list[str] | None = None) -> DataFrame:
-    """Add the 1-based rank of `value` inside its group, ties sharing their mean rank; null values keep null."""
+    """Add the 1-based rank of `value` inside its group, ties sharing their mean rank; missing values keep null."""
     keys = list(keys or [])
-    if is_small(df):
-        w = Window.partitionBy(*keys, F.col(value).isNull()).orderBy(value)
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-        return df.withColumn(out, F.when(F.col(value).isNotNull(), F.rank().over(w) + (ties - 1) / 2))
-    table = rank_table(df, value, keys).select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_v").alias("_rv"),
-        (F.col("_below") + (F.col("_n") + 1) / 2).alias(out))
-    cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col(value).cast("double") == F.col("_rv")]
-    return df.join(table, cond, "left").drop("_rv", *[f"_k{i}" for i in range(len(keys))])
-
-
-def even_slices(df: DataFrame, value: str, path: list[str], out: str, slices: int = 512) -> DataFrame:
-    """Order-preserving equal-width cut of a numeric column inside every `path` cell."""
-    span = df.groupBy(*path).agg(F.min(value).alias("_mn"), F.max(value).alias("_mx"))
-    width = F.col("_mx") - F.col("_mn")
-    pos = F.floor((F.col(value) - F.col("_mn")) / width * F.lit(float(slices))).cast("int")
-    cut = F.when(width > 0, F.least(pos, F.lit(slices - 1))).otherwise(F.lit(0))
-    return df.join(span, path, "inner").withColumn(out, cut).drop("_mn", "_mx")
+    table = rank_table(df, value, keys).select(*keys, F.col("_v").alias("_rv"), (F.col("_below") + (F.col("_n") + 1) / 2).alias(out))
+    return null_safe_join(df.withColumn("_rv", number(value)), table, [*keys, "_rv"], "left").drop("_rv")
+
+
+def id_slices(df: DataFrame, row_id: str, out: str) -> DataFrame:
+    """Order-preserving cut of an integer key into slices of at most IDS_PER_SLICE ids, wherever the ids lie."""
+    return df.withColumn(out, F.floor(F.col(row_id) / F.lit(IDS_PER_SLICE)).cast("bigint"))
 
 
 def hash_rank(ids: DataFrame, key: str, salt: Column | str, keys: list[str] | None = None,
@@ -171,7 +123,7 @@ def hash_rank(ids: DataFrame, key: str, salt: Column | str, keys: list[str] | No
     w = Window.partitionBy(*keys).orderBy("_b")
     starts = cells.withColumn("_st", F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     starts = starts.withColumn("n_keys", F.sum("_c").over(Window.partitionBy(*keys))).drop("_c")
-    ranked = _join(h, starts, [*keys, "_b"], keys)
+    ranked = null_safe_join(h, starts, [*keys, "_b"])
     rn = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_h", key))
     return ranked.withColumn(out, (rn + F.col("_st")).cast("bigint")).drop("_h", "_b", "_st")
 
@@ -181,9 +133,3 @@ def top_k_per_group(df: DataFrame, k: int, order: list, keys: list[str], out: st
     so a hot group ships at most k rows per task."""
     rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn(out, rn).where(F.col(out) <= k)
-
-
-def running_total(df: DataFrame, value: str, order: str, out: str, keys: list[str] | None = None) -> DataFrame:
-    """Running sum over a calendar-grain series (one row per group and day, so the window is bounded)."""
-    w = Window.partitionBy(*(keys or [])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.sum(value).over(w))

@@ -12,14 +12,14 @@ from gaugeline.operators.profile import quantile_bins
 MIN_STRATUM = 15     # Fixed value: a stratum with fewer calibration rows uses the pooled cut-off.
 
 
-def rank_rule(alpha: float, rule: str = "textbook") -> tuple[float, str]:
-    """Share and 1-based rank of the cut-off among n scores. `textbook`: the ceil((n+1)(1-alpha))-th smallest.
+def rank_rule(alpha: float, rule: str = "textbook") -> str:
+    """1-based rank of the cut-off among n scores. `textbook`: the ceil((n+1)(1-alpha))-th smallest.
     `upper`: the next-higher order statistic at level ceil((n+1)(1-alpha))/n, one rank above for large n."""
     keep = repr(1.0 - alpha) + "d"
     k = f"least(ceil((n + 1) * {keep}), n)"
     if rule == "textbook":
-        return 1.0 - alpha, k
-    return 1.0 - alpha, f"least(ceil(least(1d, ceil((n + 1) * {keep}) / n) * (n - 1)) + 1, n)"
+        return k
+    return f"least(ceil(least(1d, ceil((n + 1) * {keep}) / n) * (n - 1)) + 1, n)"
 
 
 def conformal_cutoff(scores: DataFrame, score, alphas: dict[str, float], keys: list[str] | None = None, rule: str = "textbook") -> DataFrame:

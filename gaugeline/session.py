@@ -10,10 +10,6 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-SMALL_INPUT_KEY = "spark.gaugeline.smallInputBytes"
-SMALL_INPUT_DEFAULT = 128 << 20
-EXPLODE_ALLOWANCE = 8
-
 
 def build_session(master: str | None = None, app: str = "gaugeline", shuffle_partitions: int | None = None,
                   **conf) -> SparkSession:
@@ -70,22 +66,3 @@ def durable(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def plan_bytes(df: DataFrame) -> float:
-    """Bytes read by a plan: the sum over its leaves, with an allowance where rows are exploded. (Catalyst's estimate
-    of a join is the product of its sides, far above any key join.) Infinite where the session cannot tell."""
-    try:
-        plan = df._jdf.queryExecution().optimizedPlan()
-        leaves = plan.collectLeaves()
-        total = sum(float(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
-        return total * (EXPLODE_ALLOWANCE if "Generate " in plan.toString() else 1)
-    except Exception:  # e.g. a remote session without a JVM handle
-        return float("inf")
-
-
-def is_small(df: DataFrame) -> bool:
-    """True when the input fits one task comfortably, so the single-window form of an exact order statistic is safe.
-    Everything larger, or of unknown size, takes the sliced form."""
-    limit = float(df.sparkSession.conf.get(SMALL_INPUT_KEY, str(SMALL_INPUT_DEFAULT)))
-    return limit > 0 and plan_bytes(df) <= limit

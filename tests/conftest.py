@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from gaugeline.session import SMALL_INPUT_KEY, build_session  # noqa: E402
+from gaugeline.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -14,11 +14,3 @@ def spark():
     s = build_session("local[8]", app="gaugeline-tests", shuffle_partitions=8, spark__driver__memory="8g")
     yield s
     s.stop()
-
-
-@pytest.fixture
-def sliced(spark):
-    """Force the form that large inputs take."""
-    spark.conf.set(SMALL_INPUT_KEY, "0")
-    yield
-    spark.conf.unset(SMALL_INPUT_KEY)

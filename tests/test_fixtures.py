@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions import scalars as S
 from gaugeline.operators import decision, fusion, history, lookup, metrics, ordered, profile, proximity, splits, uncertainty, weather
-from gaugeline.session import SMALL_INPUT_KEY
 
 D = dt.date
 
@@ -59,13 +58,10 @@ def test_zero_variance(spark):
     assert r["r2"] is None and r["pearson"] == 0.0
 
 
-@pytest.mark.parametrize("limit", ["0", "100000000"])
-def test_conformal_ranks(spark, limit):
-    spark.conf.set(SMALL_INPUT_KEY, limit)
+def test_conformal_ranks(spark):
     s = spark.range(1, 409).select(F.col("id").cast("double").alias("s"))
     assert uncertainty.conformal_cutoff(s, "s", {"q": .1}, rule="upper").first()["q"] == 370
     assert uncertainty.conformal_cutoff(s, "s", {"q": .1}).first()["q"] == 369
-    spark.conf.unset(SMALL_INPUT_KEY)
 
 
 def test_weights_and_observability(spark):
@@ -117,10 +113,8 @@ def _hot(spark, n=30000):
         F.when(F.col("id") % 7 == 0, 5.0).otherwise(F.pow(F.col("id") % 997, F.lit(3.0))).alias("v"), F.col("id").alias("row_id"))
 
 
-def test_quantiles_sliced_equal_builtin(spark, sliced, monkeypatch):
-    monkeypatch.setattr(ordered, "SMALL_GROUP", 100)
-    monkeypatch.setattr(ordered, "ACCURACY", 200)
-    d = _hot(spark)
+def test_quantiles_equal_builtin(spark):
+    d = _hot(spark).withColumn("k", F.when(F.col("k") != "k7", F.col("k")))          # a null group too
     probs = {"a": 0.0, "b": .1, "c": .5, "d": .933, "e": 1.0}
     got = {r.k: r for r in ordered.quantiles(d, "v", probs, ["k"]).collect()}
     want = d.groupBy("k").agg(*[F.percentile("v", F.lit(p)).alias(n) for n, p in probs.items()]).collect()
@@ -130,26 +124,49 @@ def test_quantiles_sliced_equal_builtin(spark, sliced, monkeypatch):
             assert got[r.k][n] == pytest.approx(r[n])
 
 
-def test_average_rank_sliced_equal_window(spark):
-    d = _hot(spark, 9000)
-    spark.conf.set(SMALL_INPUT_KEY, "0")
+def test_average_rank_equals_window(spark):
+    d = _hot(spark, 9000).withColumn("k", F.when(F.col("k") != "k7", F.col("k"))).withColumn("v", F.when(F.col("row_id") % 11 != 0, F.col("v")))
     a = {r.row_id: r.rk for r in ordered.average_rank(d, "v", "rk", ["k"]).collect()}
-    spark.conf.set(SMALL_INPUT_KEY, "1000000000000")
-    b = {r.row_id: r.rk for r in ordered.average_rank(d, "v", "rk", ["k"]).collect()}
-    spark.conf.unset(SMALL_INPUT_KEY)
+    w = "over (partition by k, v is null order by v)"
+    b = {r.row_id: r.rk for r in d.selectExpr("row_id", f"case when v is not null then rank() {w} + (count(*) over (partition by k, v) - 1) / 2 end as rk").collect()}
     assert a == b
 
 
-def test_row_lags_sliced_hot_day(spark):
+def test_order_statistics_edge_cases(spark):
+    """Null group, NaN as missing, ties, one-row groups, ranks outside the group, no rows."""
+    nan = float("nan")
+    rows = [(None, 1.0), (None, 3.0), (None, nan), ("a", 2.0), ("b", 5.0), ("b", 5.0), ("b", None), ("c", nan), ("d", -1e300), ("d", 1e300), ("d", 0.0)]
+    d = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: (r.lo, r.mid, r.hi) for r in ordered.quantiles(d, "v", {"lo": 0.0, "mid": .5, "hi": 1.0}, ["k"]).collect()}
+    assert got == {None: (1.0, 2.0, 3.0), "a": (2.0, 2.0, 2.0), "b": (5.0, 5.0, 5.0), "d": (-1e300, 0.0, 1e300)}
+    at = {r.k: (r.n, r.x, r.y) for r in ordered.value_at_rank(d, "v", {"x": "n", "y": "n + 1"}, ["k"]).collect()}
+    assert at == {None: (2, 3.0, None), "a": (1, 2.0, None), "b": (2, 5.0, None), "d": (3, 1e300, None)}
+    assert ordered.quantiles(d.limit(0), "v", {"m": .5}, ["k"]).collect() == [] and ordered.quantiles(d.limit(0), "v", {"m": .5}).first()["m"] is None
+    near = spark.range(1000).selectExpr("1 + id * 1e-12d as v")             # many values in one bucket
+    assert ordered.quantiles(near, "v", {"m": .25}).first()["m"] == near.selectExpr("percentile(v, 0.25)").first()[0]
+
+
+def test_row_lags_keep_null_keys(spark):
+    rows = [(i, None if i % 3 == 0 else "e", D(2001, 1, 1) + dt.timedelta(i % 7) if i % 5 else None, float(i)) for i in range(60)]
+    d = spark.createDataFrame(rows, "row_id bigint, entity_id string, ts date, value double")
+    got = history.row_lag_features(d)
+    assert got.count() == 60
+    seen, want = {}, {}
+    for i, e, t, v in sorted(rows, key=lambda r: (str(r[1]), r[2] is not None, r[2] or D(1, 1, 1), r[0])):
+        p = seen.setdefault(e, [])
+        want[i] = (p[-1] if p else None, len(p))
+        p.append(v)
+    assert {r.row_id: (r.lag1, r.prior_rows) for r in got.collect()} == want
+
+
+def test_row_lags_hot_day(spark):
     """One entity and one day hold a third of the rows."""
     rnd = random.Random(3)
     rows = [("H", D(2001, 1, 1), float(rnd.randrange(50))) for _ in range(700)] + [
         (f"E{rnd.randrange(20)}", D(2001, 1, 1) + dt.timedelta(rnd.randrange(90)), float(rnd.randrange(50))) for _ in range(1400)]
     r = readings(spark, rows)
     cols = ("lag1", "lag2", "gap_days", "prior_rows", "roll3_rows_mean")
-    spark.conf.set(SMALL_INPUT_KEY, "0")
     a = by_row(history.row_lag_features(r), *cols)
-    spark.conf.unset(SMALL_INPUT_KEY)
     seen, want = {}, {}
     for i, (e, d, v) in sorted(enumerate(rows), key=lambda x: (x[1][0], x[1][1], x[0])):
         p = seen.setdefault(e, [])

@@ -27,11 +27,6 @@ def test_equals_duckdb(spark, con, name):
     assert oc.compare(con, entry.queries()[name](spark, FOLDER), entry.oracle_sql()[name]) is None
 
 
-@pytest.mark.parametrize("name", ["history_features", "rank_correlation_matrix", "regression_metrics", "interval_metrics", "iqr_fences", "row_lag_features"])
-def test_large_input_form_equals_duckdb(spark, sliced, con, name):
-    assert oc.compare(con, entry.queries()[name](spark, FOLDER), entry.oracle_sql()[name]) is None
-
-
 def test_contract(spark):
     q, s = entry.queries(), entry.oracle_sql()
     assert set(s) <= set(q) and len(q) > 150
