@@ -2,7 +2,8 @@
 
 Files (all below one folder):
   tokens-*.bin   16 bytes of head (magic, version, bytes per id), then the ids of whole documents as little-endian
-                 unsigned 32-bit integers, each document followed by the end id; documents in ascending order of key
+                 unsigned integers of 2 bytes where the vocabulary fits (else 4), each document followed by the end id;
+                 documents in ascending order of key
   index-*.mph    one bucket of keys: a minimal perfect hash (a seed per small group of keys) and, per slot, fingerprint,
                  shard, offset within the shard and number of ids
   docs/ shards/ buckets/   Parquet tables: what each task wrote, first id of each shard, file of each bucket
@@ -37,7 +38,7 @@ from pyspark.sql.types import StructField, StructType
 from gaugeline.llm.common import small_batches
 from gaugeline.llm.textarrays import mix
 
-HEAD = struct.pack("<8sII", b"GLTOKENS", 1, 4)
+HEAD, HEAD_BYTES, MAGIC = "<8sII", 16, b"GLTOKENS"
 INDEX_HEAD = "<8sII"
 BUCKET_KEYS, GROUP = 40_000, 4
 #: How byte-level tokenizers split a text before merging (a fixed value of this vocabulary's format).
@@ -63,16 +64,18 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True      # their strings in a text are ordinary text
         self.merge = self.tokenizer.model.tokenize
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.letter = "H" if self.width == 2 else "I"
         self.after_blank: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
 
     def word(self, w: str) -> bytes:
         parts = [w] if w.isalpha() or (w[0] == " " and w[1:].isalpha()) else PATTERN.findall(w)
         ids = [t.id for p in parts for t in self.merge(p.encode().decode("latin-1").translate(BYTE_NAMES))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return struct.pack(f"<{len(ids)}{self.letter}", *ids)
 
     def pieces(self, text: str) -> bytes:
         """A text with unusual white space, cut only where white space follows a visible character."""
@@ -145,18 +148,19 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id: str = "
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         shard, name, out, at = TaskContext.get().partitionId(), f"tokens-{uuid.uuid4().hex}.bin", None, 0
-        end, enc = struct.pack("<I", end_id), encoder(tokenizer)
+        enc = encoder(tokenizer)
+        end = struct.pack("<" + enc.letter, end_id)
         for b in batches:
             if not len(b):
                 continue
             if out is None:
                 out = fs.open_output_stream(f"{root}/{name}", compression=None)
-                out.write(HEAD)
+                out.write(struct.pack(HEAD, MAGIC, 1, enc.width))
             sizes = []
             for ids in enc.encode(b.column(text).to_pylist()):
                 out.write(ids)
                 out.write(end)
-                sizes.append(len(ids) // 4 + 1)
+                sizes.append(len(ids) // enc.width + 1)
             k = len(sizes)
             offsets = at + np.cumsum([0, *sizes])[:-1]
             at += sum(sizes)
@@ -284,7 +288,7 @@ def lookup(keys: DataFrame, folder: str, id: str = "doc_id") -> DataFrame:
 
 
 def fetch(places: DataFrame, folder: str, id: str = "doc_id", out: str = "token_ids") -> DataFrame:
-    """Append `start` (ids of all documents before) and the raw ids, read by place. Rows are dealt by shard and read in
+    """Append `start` (ids of all documents before) and the ids as unsigned 32-bit integers, read by place. Rows are dealt by shard and read in
     order of offset."""
     shards = places.sparkSession.read.parquet(f"{folder}/shards").select("shard", "file", "base")
     rows = places.join(shards, "shard").repartition("shard").sortWithinPartitions("shard", "offset")
@@ -292,7 +296,7 @@ def fetch(places: DataFrame, folder: str, id: str = "doc_id", out: str = "token_
 
     def run(batches):
         fs, root = pafs.FileSystem.from_uri(folder)
-        name, f = None, None
+        name, f, width = None, None, 4
         for b in batches:
             ids = []
             for file, offset, n in zip(b.column("file").to_pylist(), b.column("offset").to_pylist(), b.column("n_tokens").to_pylist()):
@@ -300,10 +304,11 @@ def fetch(places: DataFrame, folder: str, id: str = "doc_id", out: str = "token_
                     if f is not None:
                         f.close()
                     name, f = file, fs.open_input_file(f"{root}/{file}")
-                    if f.read(len(HEAD)) != HEAD:
+                    magic, _, width = struct.unpack(HEAD, f.read(HEAD_BYTES))
+                    if magic != MAGIC:
                         raise ValueError(f"{file} is no token file")
-                f.seek(len(HEAD) + 4 * offset)
-                ids.append(f.read(4 * n))
+                f.seek(HEAD_BYTES + width * offset)
+                ids.append(np.frombuffer(f.read(width * n), f"<u{width}").astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(id), pa.array(np.array(b.column("base").to_pylist(), np.int64) + b.column("offset").to_numpy()), b.column("n_tokens"), pa.array(ids, pa.binary())],
                                              names=[id, "start", "n_tokens", out])
         if f is not None:
