@@ -22,7 +22,9 @@ TIERS = {
     5: ("Tier 5: new site, favourable", "candidate for instruments"),
     6: ("Tier 6: new site, remote or unfavourable", "second priority"),
 }
-RISK = {"Tier 3": ("Critical", "#EF4444", "Low"), "Tier 4": ("High", "#F97316", "Moderate"), "Tier 2": ("Moderate", "#EAB308", "Moderate")}
+# Words of a tier text -> display category, colour, potential.
+RISK = {("Tier 3", "Falling"): ("Critical", "#EF4444", "Low"), ("Tier 4", "High-Uncertainty"): ("High", "#F97316", "Moderate"),
+        ("Tier 2", "Buffered"): ("Moderate", "#EAB308", "Moderate")}
 RISK_ELSE = ("Stable", "#10B981", "High")
 
 
@@ -93,8 +95,8 @@ def risk_category(df: DataFrame, tier="tier") -> DataFrame:
     """Display category from the tier text; tiers 1, 5 and 6 fall to the last branch."""
     def pick(i):
         out = F.lit(RISK_ELSE[i])
-        for text, vals in reversed(list(RISK.items())):
-            out = F.when(F.contains(F.col(tier), F.lit(text)), vals[i]).otherwise(out)
+        for texts, vals in reversed(list(RISK.items())):
+            out = F.when(F.contains(F.col(tier), F.lit(texts[0])) | F.contains(F.col(tier), F.lit(texts[1])), vals[i]).otherwise(out)
         return out
     return df.withColumn("category", pick(0)).withColumn("color", pick(1)).withColumn("recharge_potential", pick(2))
 

@@ -59,10 +59,12 @@ def observability_v2(df: DataFrame, p: Observability = Observability()) -> DataF
 
 
 def sample_availability_v1(df: DataFrame) -> DataFrame:
-    """First-generation history score: 0.4 + 0.4*exp(-days/730) + 0.2*clip(n/5, 0.2, 1); 0.25 without history."""
-    n = F.col("prior_count").cast("double")
-    warm = 0.4 + 0.4 * F.exp(-F.col("gap_days") / 730.0) + 0.2 * clip(n / 5.0, 0.2, 1.0)
-    return (df.withColumn("avail_a", F.when(n > 0, warm).otherwise(F.lit(0.25)))
+    """First-generation history score: 0.4 + 0.4*exp(-days/730) + 0.2*clip(n/5, 0.2, 1) with days within [0, 3650] (365
+    where the gap is missing); 0.25 without history; always within [0.1, 1]."""
+    n = F.coalesce(F.col("prior_count"), F.lit(0)).cast("double")
+    days = clip(F.coalesce(F.col("gap_days"), F.lit(365.0)), 0.0, 3650.0)
+    warm = 0.4 + 0.4 * F.exp(-days / 730.0) + 0.2 * clip(n / 5.0, 0.2, 1.0)
+    return (df.withColumn("avail_a", clip(F.when(n > 0, warm).otherwise(F.lit(0.25)), 0.1, 1.0))
             .withColumn("avail_b", F.col("climate_available").cast("double"))
             .withColumn("avail_c", all_present(BLOCKS["c"])).withColumn("avail_d", F.lit(0.0)))
 
@@ -108,8 +110,9 @@ def standardize(df: DataFrame, mean: dict[str, float], std: dict[str, float], pr
 
 
 def robust_outlier(df: DataFrame, column: str, center: float, mad: float, cut: float = 3.5) -> DataFrame:
-    """Robust z by median and 1.4826 * MAD; null scores 0."""
-    scale = 1.4826 * mad if mad > 0 else 1.0
+    """Robust z by median and 1.4826 * MAD (at least 1e-6, so that without spread every deviating row is flagged); null
+    scores 0."""
+    scale = max(1.4826 * mad, 1e-6)
     z = F.coalesce((F.col(column) - F.lit(center)) / F.lit(scale), F.lit(0.0))
     return df.withColumn(f"robust_z_{column}", z).withColumn(f"outlier_{column}", (F.abs(z) > cut).cast("bigint"))
 

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from gaugeline.functions.scalars import safe_corr
 from gaugeline.operators import ordered
 
-# Two-sided 95 % Student t quantiles for 1 to 30 degrees of freedom; the normal value beyond.
+# Two-sided 95 % Student t quantiles for 1 to 30 degrees of freedom; the normal value.
 T_975 = [12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.160, 2.145, 2.131,
          2.120, 2.110, 2.101, 2.093, 2.086, 2.080, 2.074, 2.069, 2.064, 2.060, 2.056, 2.052, 2.048, 2.045, 2.042]
-Z_975 = 1.960
+Z_975 = 1.959964
 
 
 def _aggs(y: str, p: str) -> list:
@@ -72,8 +72,12 @@ def summarize(metrics: DataFrame, keys: list[str], names: list[str]) -> DataFram
 
 
 def t_quantile(dof) -> F.Column:
-    table = F.array(*[F.lit(t) for t in T_975])
-    return F.when(dof < 1, F.lit(None)).when(dof <= len(T_975), F.try_element_at(table, dof.cast("int"))).otherwise(F.lit(Z_975))
+    """Table values up to 30 degrees of freedom, then the expansion around the normal value in powers of 1 / dof, which
+    is good to five decimals there."""
+    table, z = F.array(*[F.lit(t) for t in T_975]), Z_975
+    terms = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384]
+    series = sum((F.lit(t) / F.pow(dof.cast("double"), F.lit(float(i + 1))) for i, t in enumerate(terms)), F.lit(z))
+    return F.when(dof < 1, F.lit(None)).when(dof <= len(T_975), F.try_element_at(table, dof.cast("int"))).otherwise(series)
 
 
 def t_confidence_interval(metrics: DataFrame, keys: list[str], metric: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions.scalars import col, keyed_text, portable_hash
+from gaugeline.session import durable
 
 IDS_PER_SLICE = 1 << 20
 
@@ -50,7 +51,7 @@ def _buckets(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 def _select(df: DataFrame, value, targets: dict[str, str], keys: list[str]) -> DataFrame:
     """keys, n, and a column per target: the value at the 0-based rank that the SQL over `n` gives."""
-    counts = value_counts(df, value, keys)
+    counts = durable(value_counts(df, value, keys), "values")      # read three times; its input may be a long plan
     wanted = F.array(*[F.struct(F.lit(t).alias("_t"), F.expr(r).cast("bigint").alias("_r")) for t, r in targets.items()])
     cells = _buckets(counts, keys)
     at = cells.select(*keys, "_f", "_st", "_c", "n", F.inline(wanted)).where("_r >= _st and _r < _st + _c").drop("_c")
@@ -90,7 +91,7 @@ def value_at_rank(df: DataFrame, value, ranks: dict[str, str], keys: list[str] |
 def rank_table(df: DataFrame, value, keys: list[str] | None = None) -> DataFrame:
     """keys, _v, _n, _below (count of smaller values): the base of every rank definition, one row per value."""
     keys = list(keys or [])
-    counts = value_counts(df, value, keys)
+    counts = durable(value_counts(df, value, keys), "values")      # read twice; its input may be a long plan
     starts = _buckets(counts, keys).select(*keys, "_f", "_st")
     cut = counts.withColumn("_f", F.col("_v").cast("float"))
     upto = F.sum("_n").over(Window.partitionBy(*keys, "_f").orderBy("_v"))

@@ -95,15 +95,20 @@ def quality_dimensions_v2(train: DataFrame, entity="entity_id") -> DataFrame:
 
 
 def source_reliability(dimensions: DataFrame, dims: list[str], method: str = "geometric") -> DataFrame:
-    """One score per block over its non-null dimensions, floored at 1e-4; a block whose dimensions are all 0 or absent
-    scores 0."""
-    vals = F.filter(F.array(*[F.col(d) for d in dims]), lambda x: x.isNotNull())
-    vals = F.transform(vals, lambda x: clip(x, 1e-4, 1.0))
+    """One score per block over its dimensions, each floored at 1e-4. Second generation (an `applicable` list per block):
+    exactly the listed dimensions count, so a block whose dimensions are all 0 scores 1e-4 and one without any listed 0.
+    First generation: the non-null dimensions count, and a block whose dimensions are all 0 or absent scores 0."""
+    listed = "applicable" in dimensions.columns
+    if listed:
+        vals = F.array(*[F.when(F.array_contains("applicable", d), F.coalesce(F.col(d), F.lit(0.0))) for d in dims])
+    else:
+        vals = F.array(*[F.col(d) for d in dims])
+    vals = F.transform(F.filter(vals, lambda x: x.isNotNull()), lambda x: clip(x, 1e-4, 1.0))
     n = F.size(vals).cast("double")
     total = lambda f: F.aggregate(vals, F.lit(0.0), lambda acc, x: acc + f(x))
     score = {"geometric": F.exp(total(F.log) / n), "arithmetic": total(lambda x: x) / n,
              "harmonic": n / total(lambda x: 1 / x)}[method]
-    present = sum((F.coalesce(F.col(d), F.lit(0.0)) for d in dims), F.lit(0.0))
+    present = n if listed else sum((F.coalesce(F.col(d), F.lit(0.0)) for d in dims), F.lit(0.0))
     return dimensions.select("block", F.when(present > 0, clip(score, 0.0, 1.0)).otherwise(F.lit(0.0)).alias("reliability"))
 
 

@@ -31,11 +31,11 @@ LEVELS = {"q90": 0.10, "q95": 0.05}
 
 
 def conformal_intervals(calibration: DataFrame, target: DataFrame, keys: list[str], stratum: str = "cohort", y="y_true", p="y_pred",
-                        rule: str = "textbook") -> DataFrame:
-    """Symmetric intervals by stratum. Cut-offs are one row per (keys, stratum), so joining them is a small-side join;
-    strata that are too thin, or absent from calibration, take the pooled cut-off."""
+                        rule: str = "textbook", may_pool: tuple[str, ...] = ("cold",)) -> DataFrame:
+    """Symmetric intervals by stratum. Cut-offs are one row per (keys, stratum), so joining them is a small-side join.
+    Strata of `may_pool` with too few scores, and strata absent from calibration, take the pooled cut-off."""
     score = F.abs(F.col(p) - F.col(y))
-    own = conformal_cutoff(calibration, score, LEVELS, [*keys, stratum], rule).where(F.col("n") >= MIN_STRATUM)
+    own = conformal_cutoff(calibration, score, LEVELS, [*keys, stratum], rule).where((F.col("n") >= MIN_STRATUM) | ~F.col(stratum).isin(*may_pool))
     pooled = conformal_cutoff(calibration, score, LEVELS, keys, rule)
     own = own.select(*keys, stratum, F.col("q90").alias("_s90"), F.col("q95").alias("_s95"))
     pooled = pooled.select(*keys, F.col("q90").alias("_p90"), F.col("q95").alias("_p95"))
@@ -122,12 +122,14 @@ def model_disagreement(log: DataFrame, first: str, second: str, key="row_id", mo
 
 # Right-closed bins of the evidence report.
 GAP_BINS = ([-1, 180, 365, 730, 1825, 1e9], ["0-6mo", "6mo-1yr", "1-2yr", "2-5yr", ">5yr"])
+SITE_KM_BINS = ([-0.1, 2.0, 5.0, 10.0, 20.0, 100.0], ["0-2km", "2-5km", "5-10km", "10-20km", ">20km"])
 COUNT_BINS = ([-1, 0, 5, 15, 30, 1e9], ["0", "1-5", "6-15", "16-30", ">30"])
 
 
 def evidence(df: DataFrame, signal: str, bin_col, y="y_true", p="y_pred") -> DataFrame:
     d = df.withColumn("bin", bin_col).where("bin is not null").withColumn("_ae", F.abs(F.col(p) - F.col(y)))
-    base = d.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("_ae").alias("mae"), F.avg("width_90").alias("mean_width"), F.avg("covered_90").alias("coverage"))
+    base = d.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("_ae").alias("mae"), F.avg("width_90").alias("mean_width"), F.avg("covered_90").alias("coverage"),
+                                F.avg("covered_95").alias("coverage_95"))
     return base.join(ordered.quantiles(d, "_ae", {"medae": .5}, ["bin"]), "bin").withColumn("signal", F.lit(signal))
 
 

@@ -184,6 +184,9 @@ X = {
 }
 
 
+WARM_TRAINING = "yr <= 1998 and prior_count > 0"        # scenarios are built on rows with a history
+
+
 def q(name, sql, doubles="", digits=6):
     return query(name, sql, doubles, digits, extra=X)
 
@@ -208,18 +211,18 @@ def _scen(p):
     return cols, ood
 
 
-@q("scenario_inputs", f"with q as (select {PQ}, min(temp_mean_30d) as mn_t, max(temp_mean_30d) as mx_t from ref) " + " union all ".join(
+@q("scenario_inputs", f"with q as (select {PQ}, min(temp_mean_30d) as mn_t, max(temp_mean_30d) as mx_t from ref where prior_count > 0) " + " union all ".join(
     f"""select entity_id, '{s}' as scenario, {_scen(p)[0]}, case when ({_scen(p)[1]}) or coalesce(temp_mean_30d < mn_t or temp_mean_30d > mx_t, false) then 1::bigint else 0::bigint end as extrapolative,
     case when prior_count = 0 then 'cold_start' when prev_value < 30 then 'shallow' when prev_value <= 100 then 'intermediate' else 'deep' end as depth_class from latest, q"""
     for s, p in (("S1 normal", "p50"), ("S2 dry", None), ("S3 wet", "p75"), ("S4 very wet", "p95"))), "precip_7d precip_90d precip_interval")
 def _(t):
-    d = D.scenario_inputs(_latest(t), t.response.where("yr <= 1998"), ["precip_30d", "precip_interval", "temp_mean_30d"])
+    d = D.scenario_inputs(_latest(t), t.response.where(WARM_TRAINING), ["precip_30d", "precip_interval", "temp_mean_30d"])
     return d.select("entity_id", "scenario", "precip_7d", "precip_90d", "precip_interval", "extrapolative", "depth_class")
 
 
 @q("scenario_cross_join", "select scenario, count(*) as n, count(distinct entity_id) as sites from latest, (select unnest(['S1 normal', 'S2 dry', 'S3 wet', 'S4 very wet']) as scenario) group by scenario")
 def _(t):
-    d = _latest(t).drop(*D.SCENARIO_COLUMNS).crossJoin(F.broadcast(D.scenario_table(t.response.where("yr <= 1998"))))     # four scenarios
+    d = _latest(t).drop(*D.SCENARIO_COLUMNS).crossJoin(F.broadcast(D.scenario_table(t.response.where(WARM_TRAINING))))     # four scenarios
     return d.groupBy("scenario").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("entity_id").alias("sites"))
 
 
@@ -258,6 +261,16 @@ def _(t):
     return D.risk_category(_matrix(t)).groupBy("tier", "category", "color", "recharge_potential").agg(F.count(F.lit(1)).alias("n"))
 
 
+TIER_WORDS = ["Falling level", "High-Uncertainty site", "Buffered response", "Tier 4: uncertain", "Tier 3 but Buffered", "rising"]
+
+
+@query("risk_category_words", f"""select tier, case when tier like '%Tier 3%' or tier like '%Falling%' then 'Critical' when tier like '%Tier 4%' or tier like '%High-Uncertainty%' then 'High'
+       when tier like '%Tier 2%' or tier like '%Buffered%' then 'Moderate' else 'Stable' end as category, count(*) as n from (select {TIER_WORDS}[1 + row_id % 6] as tier from readings) group by all""")
+def _(t):
+    words = F.array(*[F.lit(w) for w in TIER_WORDS])
+    return D.risk_category(t.readings.select(words[(F.col("row_id") % 6).cast("int")].alias("tier"))).groupBy("tier", "category").agg(F.count(F.lit(1)).alias("n"))
+
+
 @q("tier_distribution", "select tier, count(*) as n, round(100e0 * count(*) / (select count(*) from matrix), 1) as pct from matrix group by tier", "pct")
 def _(t):
     return D.tier_distribution(_matrix(t))

@@ -111,7 +111,7 @@ def _(t):
     return U.robust_outlier(t.model_rows, "prev_value", f.center, f.mad).select("row_id", "robust_z_prev_value", "outlier_prev_value")
 
 
-V1 = """(select *, case when prior_count > 0 then 0.4 + 0.4 * exp(-gap_days / 730) + 0.2 * greatest(0.2, least(1, prior_count / 5e0)) else 0.25e0 end as va, climate_available as vb from model_rows)"""
+V1 = """(select *, case when prior_count > 0 then greatest(0.1, least(1, 0.4 + 0.4 * exp(-least(greatest(coalesce(gap_days, 365), 0), 3650) / 730e0) + 0.2 * greatest(0.2, least(1, prior_count / 5e0)))) else 0.25e0 end as va, climate_available as vb from model_rows)"""
 
 
 @q("sample_availability_v1", f"select row_id, va as avail_a, vb as avail_b, 1e0 as avail_c, 0e0 as avail_d from {V1}", "avail_a avail_b avail_c avail_d")

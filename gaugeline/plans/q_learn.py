@@ -173,7 +173,7 @@ def _(t):
 def _(t):
     d = durable(t.response, "response")
     feats = ["prev_value", "gap_days", "density"] + PRECIP + ["precip_14d", "precip_60d"]
-    ref = d.where("yr <= 1998")
+    ref = d.where("yr <= 1998 and prior_count > 0")
     f = L.fit(ref.where("delta is not null"), feats, "delta", "forest", trees=10)
     latest = P.latest_snapshot(d, ["prior_count", *feats])
     s = f.predict(D.scenario_inputs(latest, ref, feats)).withColumnRenamed("y_pred", "predicted_delta")

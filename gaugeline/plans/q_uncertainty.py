@@ -8,6 +8,7 @@ from gaugeline.operators import splits as S
 from gaugeline.operators import uncertainty as U
 from gaugeline.functions.scalars import right_closed_bin
 from gaugeline.plans.registry import query
+from gaugeline.session import durable
 
 CAL = "(select * from plog where split = 'validation')"
 TEST = "(select * from plog where split = 'test')"
@@ -37,7 +38,7 @@ def _intervals(t):
 
 
 IV = {
-    "ci_own": f"select * from ({_cut_sql(CAL, 'model, cohort', 'textbook')}) where n >= 15",
+    "ci_own": f"select * from ({_cut_sql(CAL, 'model, cohort', 'textbook')}) where n >= 15 or cohort <> 'cold'",
     "ci_all": _cut_sql(CAL, "model", "textbook"),
     "iv": f"""select t.*, y_pred - coalesce(o.q90, a.q90) as lower_90, y_pred + coalesce(o.q90, a.q90) as upper_90, y_pred - coalesce(o.q95, a.q95) as lower_95, y_pred + coalesce(o.q95, a.q95) as upper_95,
         2 * coalesce(o.q90, a.q90) as width_90, 2 * coalesce(o.q95, a.q95) as width_95, (abs(y_true - y_pred) <= coalesce(o.q90, a.q90))::int::double as covered_90, (abs(y_true - y_pred) <= coalesce(o.q95, a.q95))::int::double as covered_95
@@ -121,7 +122,7 @@ def _(t):
 
 
 def _ev(src, signal, expr):
-    return f"""select '{signal}' as signal, {expr} as bin, count(*) as n, avg(abs(y_pred - y_true)) as mae, avg(width_90) as mean_width, avg(covered_90) as coverage, median(abs(y_pred - y_true)) as medae from {src} group by 2"""
+    return f"""select '{signal}' as signal, {expr} as bin, count(*) as n, avg(abs(y_pred - y_true)) as mae, avg(width_90) as mean_width, avg(covered_90) as coverage, avg(covered_95) as coverage_95, median(abs(y_pred - y_true)) as medae from {src} group by 2"""
 
 
 EV1 = "(select iv.* exclude (gap_days, prior_count), h.gap_days, h.prior_count, h.density, abs(iv.y_pred - p2.y_pred) as disagreement from iv join (select row_id, gap_days, prior_count, density from hist) h using (row_id) join (select row_id, y_pred from predictions where model = 'm2') p2 using (row_id) where iv.model = 'm1')"
@@ -131,10 +132,11 @@ EV1 = "(select iv.* exclude (gap_days, prior_count), h.gap_days, h.prior_count,
        {_ev('(select * from e where gap_days is not null)', 'gap_days', "case when gap_days <= 180 then '0-6mo' when gap_days <= 365 then '6mo-1yr' when gap_days <= 730 then '1-2yr' when gap_days <= 1825 then '2-5yr' else '>5yr' end")}
        union all {_ev('e', 'prior_count', "case when prior_count <= 0 then '0' when prior_count <= 5 then '1-5' when prior_count <= 15 then '6-15' when prior_count <= 30 then '16-30' else '>30' end")}
        union all {_ev('e, eq', 'density', "'Q' || (1 + (density > d1)::int + (density > d2)::int + (density > d3)::int)")}
-       union all {_ev('e, eq', 'disagreement', "'Q' || (1 + (disagreement > g1)::int + (disagreement > g2)::int + (disagreement > g3)::int)")}""", "mae mean_width coverage medae")
+       union all {_ev('e, eq', 'disagreement', "'Q' || (1 + (disagreement > g1)::int + (disagreement > g2)::int + (disagreement > g3)::int)")}""", "mae mean_width coverage coverage_95 medae")
 def _(t):
     d = _intervals(t).where("model = 'm1'").join(U.model_disagreement(t.predictions, "m1", "m2"), "row_id").join(t.history.select("row_id", "density"), "row_id")
-    cols = ["signal", "bin", "n", "mae", "mean_width", "coverage", "medae"]
+    d = durable(d, "evidence")                             # read ten times below
+    cols = ["signal", "bin", "n", "mae", "mean_width", "coverage", "coverage_95", "medae"]
     parts = [U.evidence(d.where("gap_days is not null"), "gap_days", right_closed_bin("gap_days", *U.GAP_BINS)), U.evidence(d, "prior_count", right_closed_bin("prior_count", *U.COUNT_BINS)),
              U.quantile_evidence(d, "density", 4), U.quantile_evidence(d, "disagreement", 4)]
     out = parts[0].select(cols)
@@ -143,14 +145,35 @@ def _(t):
     return out
 
 
-@q("applicability_audit", f"""with e as (select *, abs(y_true - 250) as dist from iv where model = 'm1'), eq as (select quantile_cont(dist, .2) as e1, quantile_cont(dist, .4) as e2, quantile_cont(dist, .6) as e3, quantile_cont(dist, .8) as e4 from e)
-       {_ev('e, eq', 'dist', "'Q' || (1 + (dist > e1)::int + (dist > e2)::int + (dist > e3)::int + (dist > e4)::int)")}""", "mae mean_width coverage medae")
-def _(t):
-    d = _intervals(t).where("model = 'm1'").withColumn("dist", F.abs(F.col("y_true") - 250))
-    return U.quantile_evidence(d, "dist", 5).select("signal", "bin", "n", "mae", "mean_width", "coverage", "medae")
+HAV = "2 * 6371e0 * asin(sqrt(least(1e0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
 
 
-HAV = "2 * 6371e0 * asin(sqrt(least(1e0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
+APP = f"""with e as (select iv.*, h.prior_count::double as x, h.density as z from (select * exclude (prior_count, gap_days) from iv where model = 'm1') iv join (select row_id, prior_count, density from hist) h using (row_id)),
+       tr as (select avg(prior_count::double) as mx, avg(density) as mz, var_samp(prior_count::double) as vx, var_samp(density) as vz, covar_samp(prior_count::double, density) as c from hist where yr <= 1998),
+       m as (select mx, mz, c, vx + 1e-4 * (vx + vz) as a, vz + 1e-4 * (vx + vz) as d from tr),
+       f as (select e.*, round(sqrt(greatest(0, (d * (x - mx) * (x - mx) - 2 * c * (x - mx) * (z - mz) + a * (z - mz) * (z - mz)) / (a * d - c * c))), 4) as dm from e, m),
+       eq as (select quantile_cont(dm, .2) as e1, quantile_cont(dm, .4) as e2, quantile_cont(dm, .6) as e3, quantile_cont(dm, .8) as e4 from f),
+       s as (select entity_id, row_number() over (order by md5(entity_id::varchar || '_42'), entity_id) <= ceil(0.2 * count(*) over ()) as test from (select distinct entity_id from readings)),
+       x as (select sites.*, s.test from sites join s using (entity_id)),
+       k as (select a.entity_id, round(min({HAV}), 4) as km from x a, x b where a.test and not b.test group by a.entity_id),
+       g as (select e.*, k.km from e join k using (entity_id))
+       {_ev('f, eq', 'mahalanobis', "'Q' || (1 + (dm > e1)::int + (dm > e2)::int + (dm > e3)::int + (dm > e4)::int)")}
+       union all {_ev('g', 'train_site_km', "case when km <= 2 then '0-2km' when km <= 5 then '2-5km' when km <= 10 then '5-10km' when km <= 20 then '10-20km' else '>20km' end")}"""
+
+
+@q("applicability_audit", APP, "mae mean_width coverage coverage_95 medae")
+def _(t):
+    """Error and coverage by distance to the training data: in feature space (quintiles) and on the ground (fixed bins,
+    rows of sites that the training part has never seen)."""
+    own = durable(_intervals(t).where("model = 'm1'").drop("prior_count", "gap_days", "density"), "intervals")     # read six times below
+    h = t.history.selectExpr("row_id", "yr", "cast(prior_count as double) as prior_count", "density")
+    far = U.mahalanobis_distance(h.where("yr <= 1998"), own.join(h.drop("yr"), "row_id"), ["prior_count", "density"]).withColumn("mahalanobis", F.round("mahalanobis", 4))
+    far = durable(far, "far")                              # read five times below
+    x = t.sites.join(S.split_unseen_entities(t.readings.select("entity_id").distinct()), "entity_id")
+    km = N.nearest_km(x.where("split = 'test'"), x.where("split = 'train'"), exclude_same=False).select("entity_id", F.round("nearest_km", 4).alias("km"))
+    ground = U.evidence(durable(own.join(km, "entity_id"), "ground"), "train_site_km", right_closed_bin("km", *U.SITE_KM_BINS))
+    cols = ["signal", "bin", "n", "mae", "mean_width", "coverage", "coverage_95", "medae"]
+    return U.quantile_evidence(far, "mahalanobis", 5).select(cols).unionByName(ground.select(cols))
 
 
 @query("nearest_neighbor_km", f"""with mon as (select * from sites where entity_id in (select entity_id from readings group by 1 having count(distinct ts) > 1)) select a.entity_id, min({HAV}) as nearest_km from sites a join mon b on a.entity_id <> b.entity_id group by a.entity_id""", "nearest_km")
