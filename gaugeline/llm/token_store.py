@@ -66,57 +66,60 @@ class Encoder:
         self.merge = self.tokenizer.model.tokenize
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.letter = "H" if self.width == 2 else "I"
-        self.after_blank: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        self.after_blank, self.first = Words(self.spaced), Words(self.word)
+        self.parts = Words(self.part)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
 
-    def word(self, w: str) -> bytes:
-        parts = [w] if w.isalpha() or (w[0] == " " and w[1:].isalpha()) else PATTERN.findall(w)
-        ids = [t.id for p in parts for t in self.merge(p.encode().decode("latin-1").translate(BYTE_NAMES))]
+    def part(self, p: str) -> bytes:
+        """Ids of one match of the pattern."""
+        ids = [t.id for t in self.merge(p.encode().decode("latin-1").translate(BYTE_NAMES))]
         return struct.pack(f"<{len(ids)}{self.letter}", *ids)
 
+    def word(self, w: str) -> bytes:
+        """Ids of a word with what is written onto it; its parts (the bare word, marks) are remembered on their own."""
+        return b"".join(map(self.parts.__getitem__, PATTERN.findall(w)))
+
+    def spaced(self, w: str) -> bytes:
+        return self.parts[" " + w] if w.isalpha() else self.word(" " + w)
+
     def pieces(self, text: str) -> bytes:
         """A text with unusual white space, cut only where white space follows a visible character."""
         if NOT_WHITE.search(text):
             return self.whole(text)
-        out = []
-        for p in PIECES.findall(text):
-            ids = self.first.get(p)
-            if ids is None:
-                ids = self.word(p)
-                if len(p) <= 64:
-                    self.first[p] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.first.__getitem__, PIECES.findall(text)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.after_blank) > CACHED or len(self.first) > CACHED:
-            self.after_blank.clear()
-            self.first.clear()
-        after, first, out = self.after_blank, self.first, []
-        cut = [None if not t or t[0] == " " or t[-1] == " " or "  " in t or " \n" in t or "\n " in t or ODD.search(t) else t.split(" ") for t in texts]
-        new = set()
-        for ps in cut:
-            if ps:
-                new.update(ps[1:])
-        new = [w for w in new if w not in after]
-        for w in new:
-            after[w] = self.word(" " + w)
-        for t, ps in zip(texts, cut):
-            if not ps:
-                out.append(self.pieces(t) if t else b"")
-                continue
-            if ps[0] not in first:
-                first[ps[0]] = self.word(ps[0])
-            out.append(first[ps[0]] + b"".join(map(after.__getitem__, ps[1:])))
-        for w in new:
-            if len(w) > 64:
-                del after[w]
+        for known in (self.after_blank, self.first, self.parts):
+            if len(known) > CACHED:
+                known.clear()
+        after, first, out = self.after_blank.__getitem__, self.first, []
+        for t in texts:
+            if not t:
+                out.append(b"")
+            elif t[0] == " " or t[-1] == " " or "  " in t or " \n" in t or "\n " in t or ODD.search(t):
+                out.append(self.pieces(t))
+            else:
+                head, _, rest = t.partition(" ")
+                out.append(first[head] + b"".join(map(after, rest.split(" "))) if rest else first[head])
         return out
 
 
+class Words(dict):
+    """Ids of words, made when a word is first met; very long ones are not kept."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, w: str) -> bytes:
+        ids = self.make(w)
+        if len(w) <= 64:
+            self[w] = ids
+        return ids
+
+
 def _byte_names() -> dict[int, str]:
     """The printable character that names each byte in a byte-level vocabulary: itself where it is printable and no
     blank, else the next free character from 256 on."""
