@@ -142,12 +142,3 @@ def published_metric_recheck(recomputed: DataFrame, reported: DataFrame, keys: l
     long = j.select(F.inline(F.array(*gaps)))
     return long.groupBy("metric").agg(F.count(F.lit(1)).alias("rows"), F.max("gap").alias("worst"),
                                       F.count_if(F.coalesce(F.col("gap") > F.col("tol"), F.lit(True))).alias("violations"))
-
-
-def rms(column: str):
-    """Root mean square as a built-in aggregate."""
-    return F.sqrt(F.avg(F.col(column) * F.col(column)))
-
-
-def mean_of(cols: list) -> F.Column:
-    return reduce(lambda a, b: a + b, cols) / float(len(cols))

@@ -255,7 +255,3 @@ def table_fingerprint(df: DataFrame, cols: list[str]) -> DataFrame:
 def best_per_group(df: DataFrame, keys: list[str], score, cols: list[str], tiebreak: str) -> DataFrame:
     """The row with the highest score per group, smallest tiebreak first on ties."""
     return ordered.top_k_per_group(df, 1, [F.desc_nulls_last(score), tiebreak], keys, "_k").select(*keys, *cols)
-
-
-def rank_entities(df: DataFrame, score: str, ascending: bool = False) -> DataFrame:
-    return df.orderBy(F.asc(score) if ascending else F.desc(score))

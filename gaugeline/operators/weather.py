@@ -1,8 +1,10 @@
 """Regular covariate series and leakage-safe joins of it to readings.
 
-The daily series has one row per station and calendar day, so its windows are bounded by the calendar. Windows are
-computed once per day and looked up at `date - 1`; rainfall between two readings is a difference of two running
-totals, not a range join."""
+The daily series has one row per station and calendar day. `station` names its key: windows run per station, so one
+holds no more rows than there are days, and look-ups join on station and day, left to AQE as they grow with the number
+of stations. Without a key the table is one station's, bounded by the calendar, and look-ups are broadcast. Windows are
+computed once per day and looked up at `date - 1`; rainfall between two readings is a difference of two running totals,
+not a range join."""
 
 from __future__ import annotations
 
@@ -12,6 +14,16 @@ from pyspark.sql import functions as F
 from gaugeline.config import PRECIP_WINDOWS, RAIN_THRESHOLD
 
 DAILY_VARIABLES = ["precip", "temp", "rh", "wind", "solar"]
+
+
+def _look_up(df: DataFrame, side: DataFrame, on: list[str], station: str | None) -> DataFrame:
+    return df.join(side, [station, *on], "left") if station else df.join(F.broadcast(side), on, "left")
+
+
+def _keys(station: str | None) -> list[str]:
+    return [station] if station else []
+
+
 def sentinel_to_null(df: DataFrame, cols=DAILY_VARIABLES, code: float = -990.0) -> DataFrame:
     """Missing codes (values at or below `code`) become null."""
     return df.withColumns({c: F.when(F.col(c) > code, F.col(c)) for c in cols})
@@ -42,28 +54,29 @@ def join_prior_year(df: DataFrame, annual: DataFrame, cols=("temp_mean", "precip
             .withColumn("climate_check", ok))
 
 
-def _range(fn: str, days: int) -> F.Column:
-    return F.expr(f"{fn} over (order by ts range between interval {days - 1} day preceding and current row)")
+def rolling_day_windows(daily: DataFrame, windows=PRECIP_WINDOWS, station: str | None = None) -> DataFrame:
+    """N-day windows including the day itself."""
+    part = f"partition by `{station}` " if station else ""
 
+    def over(fn: str, days: int) -> F.Column:
+        return F.expr(f"{fn} over ({part}order by ts range between interval {days - 1} day preceding and current row)")
 
-def rolling_day_windows(daily: DataFrame, windows=PRECIP_WINDOWS) -> DataFrame:
-    """N-day windows including the day itself."""
-    cols = {f"precip_{n}d": _range("sum(precip)", n) for n in windows}
+    cols = {f"precip_{n}d": over("sum(precip)", n) for n in windows}
     cols |= {
-        "rain_days_30d": _range(f"sum(case when precip > {RAIN_THRESHOLD} then 1e0 else 0e0 end)", 30),
-        "max_precip_30d": _range("max(precip)", 30),
-        "temp_mean_30d": _range("avg(temp)", 30),
-        "temp_max_30d": _range("max(temp)", 30),
-        "radiation_30d": _range("sum(solar)", 30),
-        "rh_mean_30d": _range("avg(rh)", 30),
-        "wind_mean_30d": _range("avg(wind)", 30),
+        "rain_days_30d": over(f"sum(case when precip > {RAIN_THRESHOLD} then 1e0 else 0e0 end)", 30),
+        "max_precip_30d": over("max(precip)", 30),
+        "temp_mean_30d": over("avg(temp)", 30),
+        "temp_max_30d": over("max(temp)", 30),
+        "radiation_30d": over("sum(solar)", 30),
+        "rh_mean_30d": over("avg(rh)", 30),
+        "wind_mean_30d": over("avg(wind)", 30),
     }
     return daily.withColumns(cols)
 
 
-def dry_spell_streak(daily: DataFrame, threshold: float = RAIN_THRESHOLD) -> DataFrame:
+def dry_spell_streak(daily: DataFrame, threshold: float = RAIN_THRESHOLD, station: str | None = None) -> DataFrame:
     """Consecutive days below the threshold ending today; a wet or missing day resets to 0."""
-    w = Window.orderBy("ts")
+    w = Window.partitionBy(*_keys(station)).orderBy("ts")
     n = F.row_number().over(w)
     dry = F.coalesce(F.col("precip") < threshold, F.lit(False))
     last_wet = F.max(F.when(~dry, F.col("_n"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -71,8 +84,8 @@ def dry_spell_streak(daily: DataFrame, threshold: float = RAIN_THRESHOLD) -> Dat
             .withColumn("dry_spell_days", (F.col("_n") - F.coalesce(last_wet, F.lit(0))).cast("double")).drop("_n"))
 
 
-def cumulative_precip(daily: DataFrame) -> DataFrame:
-    w = Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+def cumulative_precip(daily: DataFrame, station: str | None = None) -> DataFrame:
+    w = Window.partitionBy(*_keys(station)).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     return daily.withColumn("precip_cum", F.sum("precip").over(w))
 
 
@@ -81,25 +94,26 @@ WINDOW_COLUMNS = [f"precip_{n}d" for n in PRECIP_WINDOWS] + [
     "rh_mean_30d", "wind_mean_30d"]
 
 
-def join_prior_day_windows(df: DataFrame, windows: DataFrame, cols=WINDOW_COLUMNS) -> DataFrame:
-    """Windows as of the day before the reading (`cutoff` = date - 1). One row per day: calendar-bounded broadcast."""
-    side = windows.select(F.date_add("ts", 1).alias("ts"), F.col("ts").alias("cutoff"), *cols)
-    return df.join(F.broadcast(side), "ts", "left").withColumn("cutoff", F.date_sub("ts", 1))
+def join_prior_day_windows(df: DataFrame, windows: DataFrame, cols=WINDOW_COLUMNS, station: str | None = None) -> DataFrame:
+    """Windows as of the day before the reading (`cutoff` = date - 1), of the reading's own station."""
+    side = windows.select(*_keys(station), F.date_add("ts", 1).alias("ts"), F.col("ts").alias("cutoff"), *cols)
+    return _look_up(df, side, ["ts"], station).withColumn("cutoff", F.date_sub("ts", 1))
 
 
-def every_day(daily: DataFrame) -> DataFrame:
-    """The series with a row for every calendar day of its span; days without data hold nulls."""
-    span = daily.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    return span.select(F.explode(F.sequence("a", "b")).alias("ts")).join(daily, "ts", "left")
+def every_day(daily: DataFrame, station: str | None = None) -> DataFrame:
+    """The series with a row for every calendar day of each station's span; days without data hold nulls."""
+    span = daily.groupBy(*_keys(station)).agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return span.select(*_keys(station), F.explode(F.sequence("a", "b")).alias("ts")).join(daily, [*_keys(station), "ts"], "left")
 
 
-def interval_sum_between_readings(df: DataFrame, daily: DataFrame, prev_ts="prev_ts") -> DataFrame:
+def interval_sum_between_readings(df: DataFrame, daily: DataFrame, prev_ts="prev_ts", station: str | None = None) -> DataFrame:
     """Precipitation over [previous + 1, date - 1]: running total at date-1 minus running total at the previous
     reading. Consecutive days give 0; a first reading, or an interval reaching outside the series, gives null."""
-    c = cumulative_precip(every_day(daily)).select("ts", F.coalesce("precip_cum", F.lit(0.0)).alias("precip_cum"))
-    hi = c.select(F.date_add("ts", 1).alias("ts"), F.col("precip_cum").alias("_hi"))
-    lo = c.select(F.col("ts").alias(prev_ts), F.col("precip_cum").alias("_lo"))
-    out = df.join(F.broadcast(hi), "ts", "left").join(F.broadcast(lo), prev_ts, "left")
+    k = _keys(station)
+    c = cumulative_precip(every_day(daily, station), station).select(*k, "ts", F.coalesce("precip_cum", F.lit(0.0)).alias("precip_cum"))
+    hi = c.select(*k, F.date_add("ts", 1).alias("ts"), F.col("precip_cum").alias("_hi"))
+    lo = c.select(*k, F.col("ts").alias(prev_ts), F.col("precip_cum").alias("_lo"))
+    out = _look_up(_look_up(df, hi, ["ts"], station), lo, [prev_ts], station)
     total = F.when(F.datediff("ts", prev_ts) <= 1, F.lit(0.0)).otherwise(F.col("_hi") - F.col("_lo"))
     return out.withColumn("precip_interval", F.when(F.col(prev_ts).isNotNull(), total)).drop("_hi", "_lo")
 

@@ -128,6 +128,42 @@ def _(t):
     return weather.join_prior_day_windows(t.readings, t.windows).select("row_id", "cutoff", *ALLWIN)
 
 
+# Several stations: the line numbers of `lineitem`; a reading belongs to station 1 + row_id % 7.
+STATIONS = """(select l_linenumber::bigint as station, cast(l_shipdate as date) as ts, greatest(cast(sum(l_quantity) as bigint) % 10 - 5, 0) * 1e0 as precip,
+       floor(sum(floor(l_extendedprice)) / count(*) / 800e0) / 4e0 as temp from lineitem group by 1, 2)"""
+
+
+def _at_station(df):
+    return df.withColumn("station", F.col("row_id") % 7 + 1)
+
+
+@query("rolling_day_windows_by_station", f"""select station, ts, sum(precip) over (w range between interval 6 day preceding and current row) as precip_7d, sum(precip) over (w range between interval 179 day preceding and current row) as precip_180d,
+       avg(temp) over (w range between interval 29 day preceding and current row) as temp_mean_30d from {STATIONS} window w as (partition by station order by ts)""", "precip_7d precip_180d temp_mean_30d")
+def _(t):
+    return weather.rolling_day_windows(t.station_daily, station="station").select("station", "ts", "precip_7d", "precip_180d", "temp_mean_30d")
+
+
+@query("dry_spell_by_station", f"""select station, ts, cast(row_number() over (partition by station, wet order by ts) - case when wet > 0 then 1 else 0 end as double) as dry_spell_days from
+       (select *, count(*) filter (not precip < 1) over (partition by station order by ts) as wet from {STATIONS})""", "dry_spell_days")
+def _(t):
+    return weather.dry_spell_streak(t.station_daily, station="station").select("station", "ts", "dry_spell_days")
+
+
+@query("join_prior_day_windows_by_station", f"""with w as (select station, ts, sum(precip) over (partition by station order by ts range between interval 29 day preceding and current row) as precip_30d from {STATIONS})
+       select r.row_id, r.ts - 1 as cutoff, w.precip_30d from readings r left join w on w.ts = r.ts - 1 and w.station = r.row_id % 7 + 1""", "precip_30d")
+def _(t):
+    return weather.join_prior_day_windows(_at_station(t.readings), weather.rolling_day_windows(t.station_daily, station="station"), ["precip_30d"], station="station").select("row_id", "cutoff", "precip_30d")
+
+
+@query("interval_sum_by_station", f"""with s as {STATIONS}, e as (select station, min(ts) as a, max(ts) as b from s group by 1),
+       p as (select r.row_id, r.row_id % 7 + 1 as station, r.ts, (select max(q.ts) from readings q where q.entity_id = r.entity_id and q.ts < r.ts) as prev_ts from readings r)
+       select p.row_id, case when prev_ts is null then null when p.ts - prev_ts <= 1 then 0e0 when prev_ts < e.a or p.ts - 1 > e.b then null
+       else (select coalesce(sum(precip), 0) from s where s.station = p.station and s.ts > p.prev_ts and s.ts <= p.ts - 1) end as precip_interval from p join e using (station)""", "precip_interval")
+def _(t):
+    d = _at_station(weather.previous_date(t.readings))
+    return weather.interval_sum_between_readings(d, t.station_daily, station="station").select("row_id", "precip_interval")
+
+
 @query("annual_weather", "select * from annual", "temp_mean precip_total rh_mean wind_mean solar_mean")
 def _(t):
     return t.annual

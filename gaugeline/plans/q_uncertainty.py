@@ -6,7 +6,8 @@ from gaugeline.operators import proximity as N
 from gaugeline.operators import raster as G
 from gaugeline.operators import splits as S
 from gaugeline.operators import uncertainty as U
-from gaugeline.functions.scalars import right_closed_bin
+from gaugeline.functions.scalars import close_to, haversine_km, haversine_km_atan2, right_closed_bin
+from gaugeline.operators import gates as T
 from gaugeline.plans.registry import query
 from gaugeline.session import durable
 
@@ -189,6 +190,33 @@ def _(t):
     return N.nearest_km(x.where("split = 'test'"), x.where("split = 'train'"), exclude_same=False)
 
 
+HAV2 = "2 * 6371e0 * atan2(sqrt(least(1e0, h)), sqrt(1 - least(1e0, h)))"
+
+
+@query("geo_distance_forms", f"""select entity_id, {HAV2} as km, 1::bigint as agree from
+       (select entity_id, pow(sin(radians(40.5e0 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(40.5e0)) * pow(sin(radians(-99.4e0 - lon) / 2), 2) as h from sites)""", "km")
+def _(t):
+    """Distance of every site to one point by the atan2 form, and whether the arcsine form agrees."""
+    to = (F.lit(40.5), F.lit(-99.4))
+    km = haversine_km_atan2("lat", "lon", *to)
+    return t.sites.select("entity_id", km.alias("km"), close_to(haversine_km("lat", "lon", *to), km, 1e-9, 1e-9).cast("bigint").alias("agree"))
+
+
+@q("interval_gates", """select 'bounds_ordered' as gate, count(*) filter (lower_90 > upper_90) as violations from iv union all
+       select 'bounds_nested', count(*) filter (lower_95 > lower_90 + 1e-9 or upper_95 < upper_90 - 1e-9) from iv""")
+def _(t):
+    return T.interval_gates(_intervals(t)).select("gate", "violations")
+
+
+@q("interval_gates_faults", """select 'bounds_ordered' as gate, count(*) filter (row_id % 5 = 0 and upper_90 > lower_90) as violations from iv union all
+       select 'bounds_nested', count(*) filter (case when row_id % 5 = 0 then lower_95 > upper_90 + 1e-9 or upper_95 < lower_90 - 1e-9 else lower_95 > lower_90 + 1e-9 or upper_95 < upper_90 - 1e-9 end) from iv""")
+def _(t):
+    """Every fifth row has its bounds exchanged, which the gates must report."""
+    d, bad = _intervals(t), F.col("row_id") % 5 == 0
+    swapped = d.withColumns({"lower_90": F.when(bad, F.col("upper_90")).otherwise(F.col("lower_90")), "upper_90": F.when(bad, F.col("lower_90")).otherwise(F.col("upper_90"))})
+    return T.interval_gates(swapped).select("gate", "violations")
+
+
 # rasters --------------------------------------------------------------------------------------------------------------
 
 GRID = dict(left=-99.65, top=40.69, res_x=0.0157, res_y=0.0116)

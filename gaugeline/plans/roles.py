@@ -50,6 +50,16 @@ class Tables:
             F.expr("floor(sum(floor(l_tax * 100 + 0.5d)) / count(*) * 4d) / 4d").alias("wind"),
             F.expr("case when count(*) % 23 = 0 then -999d else floor(sum(l_quantity) / count(*) * 2d) / 4d end").alias("solar"))
 
+    @cached_property
+    def station_daily(self) -> DataFrame:
+        """Daily series of seven stations: the line numbers."""
+        return self.raw("lineitem").groupBy(F.col("l_linenumber").cast("bigint").alias("station"), F.expr("cast(l_shipdate as date)").alias("ts")).agg(
+            F.expr("greatest(cast(sum(l_quantity) as bigint) % 10 - 5, 0) * 1d").alias("precip"),
+            F.expr("floor(sum(floor(l_extendedprice)) / count(*) / 800d) / 4d").alias("temp"),
+            F.expr("floor(sum(floor(l_discount * 100 + 0.5d)) / count(*) * 32d) / 2d").alias("rh"),
+            F.expr("floor(sum(floor(l_tax * 100 + 0.5d)) / count(*) * 4d) / 4d").alias("wind"),
+            F.expr("floor(sum(l_quantity) / count(*) * 2d) / 4d").alias("solar"))
+
     @cached_property
     def daily(self) -> DataFrame:
         return weather.sentinel_to_null(self.daily_raw)

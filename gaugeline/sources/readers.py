@@ -91,11 +91,9 @@ def write_json_payload(df: DataFrame, path: str) -> None:
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, fmt: str = "parquet",
                 mode: str = "overwrite") -> None:
-    """Write a result table. With partition columns, rows are first spread by those columns plus a salt, so one large
-    partition value is still written by many tasks."""
-    out = df
-    if partition_by:
-        out = df.repartition(*[F.col(c) for c in partition_by], F.abs(F.hash(*df.columns)) % 16)
+    """Write a result table. With partition columns, rows are gathered by those columns and AQE splits a value that is
+    larger than its advisory partition size, so the number of writing tasks follows the data."""
+    out = df.hint("rebalance", *partition_by) if partition_by else df
     w = out.write.mode(mode).format(fmt)
     if fmt == "csv":
         w = w.option("header", True)

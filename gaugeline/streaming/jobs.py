@@ -51,14 +51,21 @@ def table_sink(stream: DataFrame, out: str, checkpoint: str):
     return stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def snapshot_sink(stream: DataFrame, out: str, checkpoint: str):
-    """Complete-mode aggregates: every batch replaces the snapshot under its own batch folder; readers take the last."""
+def state_sink(stream: DataFrame, out: str, checkpoint: str):
+    """Update-mode aggregates: a batch writes the keys it changed, under its own batch folder (a replayed batch overwrites
+    itself). `merged` reads the newest version of every key, open windows included."""
     def write(batch: DataFrame, batch_id: int):
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id:08d}")
-    return stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def last_snapshot(spark: SparkSession, out: str) -> DataFrame:
+def merged(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """The state table behind `state_sink`: per key the row of its last batch, map-side combined."""
     d = spark.read.parquet(out)
-    last = d.agg(F.max("batch").alias("batch"))                                       # one row
-    return d.join(F.broadcast(last), "batch").drop("batch")
+    rest = [c for c in d.columns if c not in (*keys, "batch")]
+    return d.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
+
+
+def compact(spark: SparkSession, out: str, keys: list[str], into: str) -> None:
+    """Rewrite the state table with one row per key, as batch 0 of a new folder."""
+    merged(spark, out, keys).write.mode("overwrite").parquet(f"{into}/batch=00000000")
