@@ -40,17 +40,22 @@ def _(t):
     return A.by_block(t.attributions)
 
 
-@query("attribution_warm_cold", """select feature::bigint as feature, avg(abs(shap)) filter (label = 1) as mean_abs_warm, avg(abs(shap)) filter (label = 0) as mean_abs_cold,
-       100 * (avg(abs(shap)) filter (label = 0) - avg(abs(shap)) filter (label = 1)) / avg(abs(shap)) filter (label = 1) as shift_pct from attributions group by feature""", "mean_abs_warm mean_abs_cold shift_pct")
+def _halves(t):
+    """All labels in two cohorts."""
+    return t.attributions.withColumn("half", (F.col("label") >= 5).cast("int"))
+
+
+@query("attribution_warm_cold", """select feature::bigint as feature, avg(abs(shap)) filter (label >= 5) as mean_abs_warm, avg(abs(shap)) filter (label < 5) as mean_abs_cold,
+       100 * (avg(abs(shap)) filter (label < 5) - avg(abs(shap)) filter (label >= 5)) / avg(abs(shap)) filter (label >= 5) as shift_pct from attributions group by feature""", "mean_abs_warm mean_abs_cold shift_pct")
 def _(t):
-    return A.warm_cold(t.attributions, "label", (1, 0))
+    return A.warm_cold(_halves(t), "half", (1, 0))
 
 
-@query("cohort_table_join", """select a.feature::bigint as feature, a.m as warm, b.m as cold, 100 * (b.m - a.m) / a.m as shift_pct from (select feature, avg(abs(shap)) as m from attributions where label = 1 group by 1) a
-       join (select feature, avg(abs(shap)) as m from attributions where label = 0 group by 1) b using (feature)""", "warm cold shift_pct")
+@query("cohort_table_join", """select a.feature::bigint as feature, a.m as warm, b.m as cold, 100 * (b.m - a.m) / a.m as shift_pct from (select feature, avg(abs(shap)) as m from attributions where label >= 5 group by 1) a
+       join (select feature, avg(abs(shap)) as m from attributions where label < 5 group by 1) b using (feature)""", "warm cold shift_pct")
 def _(t):
     def imp(lbl, name):
-        return t.attributions.where(F.col("label") == lbl).groupBy("feature").agg(F.avg(F.abs("shap")).alias(name))
+        return _halves(t).where(F.col("half") == lbl).groupBy("feature").agg(F.avg(F.abs("shap")).alias(name))
     return imp(1, "warm").join(imp(0, "cold"), "feature").withColumn("shift_pct", 100 * (F.col("cold") - F.col("warm")) / F.col("warm"))
 
 
@@ -86,14 +91,21 @@ def _(t):
     return A.dominant_feature(t.attributions.withColumn("site", F.col("vec_id") % 40), "site")
 
 
-@query("attribution_model_compare", """select feature::bigint as feature, avg(abs(shap)) filter (label = 0) as "0", avg(abs(shap)) filter (label = 1) as "1", avg(abs(shap)) filter (label = 2) as "2" from attributions group by feature""", '"0" "1" "2"')
+LABELS = list(range(10))
+
+
+@query("attribution_model_compare", "select feature::bigint as feature, " + ", ".join(f'avg(abs(shap)) filter (label = {k}) as "{k}"' for k in LABELS) + " from attributions group by feature", " ".join(f'"{k}"' for k in LABELS))
 def _(t):
-    return A.model_compare(t.attributions, "label", [0, 1, 2])
+    return A.model_compare(t.attributions, "label", LABELS)
+
+
+EXPECTED = {f: -1 if f % 4 == 1 else 1 for f in range(64)}
+SIGN = "case when feature % 4 = 1 then -1 else 1 end"
 
 
-@query("attribution_consistency", f"""select feature::bigint as feature, n, rho, case when feature = 1 then -1::bigint else 1::bigint end as expected, case when sign(rho) = case when feature = 1 then -1 else 1 end then 1::bigint else 0::bigint end as consistent from {RK} where feature <= 3""", "rho")
+@query("attribution_consistency", f"""select feature::bigint as feature, n, rho, {SIGN}::bigint as expected, case when sign(rho) = {SIGN} then 1::bigint else 0::bigint end as consistent from {RK}""", "rho")
 def _(t):
-    return A.consistency(t.attributions, {0: 1, 1: -1, 2: 1, 3: 1})
+    return A.consistency(t.attributions, EXPECTED)
 
 
 @query("feature_rank_stability", """with r as (select label, feature, rank() over (partition by label order by m) + (count(*) over (partition by label, m) - 1) / 2e0 as rk from (select label, feature, avg(abs(shap)) as m from attributions group by all)),
