@@ -43,7 +43,7 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link:
     members: written table of (key, node, n, rank, lead, far): `lead` marks those that may be the smaller side of a pair
     met here, `far` is smallest in the middle of a family, where pivots are taken. verify: (a, b) -> those pairs that link. may_link(x, y): SQL condition under which rows x (smaller) and y of
     one key can link and meet here first."""
-    found, comp = None, None
+    comp = None
     for turn in range(ROUNDS + 1):
         m = members
         if comp is None:
@@ -52,6 +52,8 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link:
             m = m.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         open_ = m.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("lead").alias("lead")).where("c0 <> c1 and lead").select("key")
         m = durable(m.join(open_, "key", "left_semi"), "open")
+        if m.isEmpty():                            # every group lies within one class
+            break
         before = F.expr("x.n < y.n or (x.n = y.n and x.node < y.node)")
         if turn < ROUNDS:
             middle = F.struct("far", F.xxhash64("node"), "node")
@@ -67,6 +69,8 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link:
             pairs = m.where("lead").alias("x").join(m.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & before & F.expr(may_link("x", "y")))
             pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         new = durable(verify(pairs.distinct()), "links")
-        found = new if found is None else found.unionByName(new)
-        comp = durable(components(found), "components")
-    return comp
+        if comp is None:
+            comp = durable(components(new), "components")
+        elif not new.isEmpty():                    # what is joined already enters as a star, so few turns are left
+            comp = durable(components(new.unionByName(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")))), "components")
+    return comp if comp is not None else members.select("node", F.col("node").alias("comp")).limit(0)
