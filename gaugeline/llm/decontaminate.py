@@ -28,7 +28,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from gaugeline.llm.common import small_batches
 from gaugeline.llm.textarrays import mix, shingle_hashes, word_hashes
 
-SEED, COVERAGE = 5, 0.8
+SEED, COVERAGE = 5, 0.6
 BITS = 1 << 23
 
 
