@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.llm import bpe, decontaminate, ngram_join, pii, rule_ensemble
+from gaugeline.llm.common import fresh
 from gaugeline.session import durable
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. It learns from `labels` and the given documents."""
     model = rule_ensemble.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return rule_ensemble.apply(model, docs, score="_score").where(F.col("_score") >= rule_ensemble.THRESHOLD).drop("_score")
+    score = fresh(docs, "_score")
+    return rule_ensemble.apply(model, docs, score=score).where(F.col(score) >= rule_ensemble.THRESHOLD).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +28,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     classes = ngram_join.classify(docs.select("doc_id", "text"))
     gone = classes.where("doc_id is not null and component_id < doc_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_k"), F.min("text").alias("_t")).where("_k > 1")
+    k, t = fresh(docs, "_k"), fresh(docs, "_t")
+    twice = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(k), F.min("text").alias(t)).where(F.col(k) > 1)
     single = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
-    least = kept.join(twice, "doc_id").where(F.col("text").eqNullSafe(F.col("_t"))).select(*docs.columns).dropDuplicates(["doc_id"])
+    least = kept.join(twice, "doc_id").where(F.col("text").eqNullSafe(F.col(t))).select(*docs.columns).dropDuplicates(["doc_id"])
     return single.unionByName(least)
 
 
@@ -39,7 +42,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gives way to marks; n_chars follows the text."""
-    done = pii.mask(pii.find(docs, out="_spans"), spans="_spans").drop("_spans")
+    spans = fresh(docs, "_spans")
+    done = pii.mask(pii.find(docs, out=spans), spans=spans).drop(spans)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
     return done.select(*docs.columns)
@@ -48,10 +52,11 @@ def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit integers) instead of the text, and whether they decode to it."""
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    own = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    sha, raw = fresh(docs, "_sha"), fresh(docs, "_raw")
+    own = docs.withColumn(sha, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     ids = bpe.encode(own, ranks, pattern).drop("text")
-    back = bpe.decode(ids, ranks, pattern)
-    return back.withColumn("round_trip", F.sha2("decoded", 256) == F.col("_sha")).drop("decoded", "_sha")
+    back = bpe.decode(ids, ranks, pattern, out=raw)
+    return back.withColumn("round_trip", F.sha2(raw, 256) == F.col(sha)).drop(raw, sha)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminated", decontaminated), ("masked", masked), ("encoded", encoded)]

@@ -57,3 +57,10 @@ def packed(df: DataFrame, kept: list[str], /, **own: Column) -> DataFrame:
 def unpacked(df: DataFrame, kept: list[str], /, **own: Column) -> DataFrame:
     """The columns of `packed` rows, and new ones."""
     return df.select(*(F.col("_row").getField(c).alias(c) for c in kept), *(c.alias(n) for n, c in own.items()))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from gaugeline.llm.common import small_batches
+from gaugeline.llm.common import fresh, small_batches
 from gaugeline.llm.textarrays import mix, shingle_hashes, word_hashes
 
 SEED, COVERAGE = 5, 0.6
@@ -153,11 +153,13 @@ def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     id only those with benchmark text go; a null id is an id here."""
     bad = matches(docs, items, doc_id=doc_id, text=text, **kw).select(F.col(doc_id).alias("_id"), F.col("dprint").alias("_p")).distinct()
 
+    name = fresh(docs, "_print")
+
     def run(batches):
         for b in batches:
             prints = np.array([x[2] for x in windows(b.column(text))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints)], [*b.schema.names, "_print"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints)], [*b.schema.names, name])
 
     small_batches(docs.sparkSession)
-    own = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_print", LongType())]))
-    return own.join(bad, own[doc_id].eqNullSafe(bad["_id"]) & (own["_print"] == bad["_p"]), "left_anti").drop("_print")
+    own = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+    return own.join(bad, own[doc_id].eqNullSafe(bad["_id"]) & (own[name] == bad["_p"]), "left_anti").drop(name)
