@@ -37,15 +37,16 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link: Callable[[str, str], str]) -> DataFrame:
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link: Callable[[str, str], str], rest: DataFrame | None = None) -> DataFrame:
     """(node, comp) of all nodes that have a link.
 
     members: written table of (key, node, n, rank, lead, far): `lead` marks those that may be the smaller side of a pair
     met here, `far` is smallest in the middle of a family, where pivots are taken. verify: (a, b) -> those pairs that link. may_link(x, y): SQL condition under which rows x (smaller) and y of
-    one key can link and meet here first."""
+    one key can link and meet here first. rest: groups for the last turn, if others than `members` (every link must
+    have its two nodes together in one of them)."""
     comp = None
     for turn in range(ROUNDS + 1):
-        m = members
+        m = members if rest is None or turn < ROUNDS else rest
         if comp is None:
             m = m.withColumn("comp", F.col("node"))
         else:
@@ -53,7 +54,9 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link:
         open_ = m.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("lead").alias("lead")).where("c0 <> c1 and lead").select("key")
         m = durable(m.join(open_, "key", "left_semi"), "open")
         if m.isEmpty():                            # every group lies within one class
-            break
+            if rest is None or turn == ROUNDS:
+                break
+            continue
         before = F.expr("x.n < y.n or (x.n = y.n and x.node < y.node)")
         if turn < ROUNDS:
             middle = F.struct("far", F.xxhash64("node"), "node")

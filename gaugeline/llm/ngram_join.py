@@ -207,28 +207,15 @@ def _multiply(rows: DataFrame, share: int, finish) -> DataFrame:
 ENTRY = "key bigint, node binary, n bigint, rank bigint, lead boolean, far bigint"
 
 
-def _alone(left: pa.Table, right: pa.Table, share: int) -> pa.Table:
-    """One entry per set instead: its rank is the number of shingles no other set has."""
-    order = np.argsort(right.column("block").to_numpy()) if len(right) else []
-    levels = right.column("levels").to_pylist()
-    level = np.concatenate([np.empty(0, np.uint8), *(np.frombuffer(levels[i], np.uint8) for i in order)])
-    nodes, sizes, own = [], [], []
-    if len(left):
-        tokens, at = np.frombuffer(left.column("tokens")[0].as_py(), "<u8"), 0
-        of_token = level[np.searchsorted(np.unique(tokens), tokens)] if len(tokens) else level
-        for d, c in zip(left.column("docs")[0].as_py(), np.frombuffer(left.column("counts")[0].as_py(), "<i4")):
-            nodes.append(d["cls"])
-            sizes.append(d["n"])
-            own.append(int((of_token[at:at + c] == 1).sum()))
-            at += c
-    n, r = np.array(sizes, np.int64), np.array(own, np.int64)
-    return pa.table({"key": pa.array(np.zeros(len(n), np.int64)), "node": pa.array(nodes, pa.binary()), "n": pa.array(n), "rank": pa.array(r), "lead": pa.array(9 * (n - r) >= 8 * n),
-                     "far": pa.array(r * 1000 // np.maximum(n, 1))})
+def meeting(entries: DataFrame) -> DataFrame:
+    """The entries of shingles at which two sets can meet."""
+    met = entries.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.max("lead").alias("lead")).where("a <> b and lead").select("key")
+    return entries.join(met, "key", "left_semi")
 
 
-def own_shingles(sets: DataFrame) -> DataFrame:
-    """(node, n, rank, lead, far) of every set of a written table (node, set)."""
-    return _multiply(durable(_set_rows(sets), "rows"), ALL, _alone).drop("key")
+def whole_entries(sets: DataFrame) -> DataFrame:
+    """Entries of a written table of whole sets (node, set), ordered over all shingles."""
+    return durable(_multiply(durable(_set_rows(sets), "rows"), ALL, _entries), "entries")
 
 
 def _may_link(x: str, y: str) -> str:
@@ -299,13 +286,12 @@ def _verifier(sets: DataFrame):
 def classify(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id reachable by links, itself included)."""
     rows = durable(_block_rows(docs, id, text), "blocks")
-    meeting = lambda e: e.join(e.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.max("lead").alias("lead")).where("a <> b and lead").select("key"), "key", "left_semi")
     some = meeting(durable(_multiply(rows, SHARE, _entries).select("key", "node", "lead"), "entries"))
     active = durable(some.select("node").distinct(), "active")
     flat = rows.select(F.explode("docs").alias("d")).select(F.col("d.id").alias(id), F.col("d.n").alias("n_shingles"), F.col("d.cls").alias("cls"))
     classes = flat.where("n_shingles > 0").groupBy("cls").agg(F.min(id).alias("first"))
     sets = _sets(docs, active, classes, id, text)
-    members = durable(meeting(durable(_multiply(durable(_set_rows(sets), "rows"), ALL, _entries), "entries")), "members")
+    members = durable(meeting(whole_entries(sets)), "members")
     comp = linking.link(members, _verifier(sets), _may_link)
     least = classes.join(comp, classes["cls"] == comp["node"], "left").select("cls", "first", F.coalesce("comp", "cls").alias("comp"))
     smallest = least.groupBy("comp").agg(F.min("first").alias("component_id"))

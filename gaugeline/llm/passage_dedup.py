@@ -3,8 +3,8 @@
 Paragraphs are the lines of a text with at least `MIN_WORDS` words. Equal word-shingle sets are one class from the
 start. For the rest MinHash signatures are cut into `BANDS` bands of `ROWS` rows: at a similarity of 0.8 the chance of
 no common band is (1 - 0.8**4)**14 = 0.06 %. Paragraphs of a common band are compared on their whole shingle sets
-(Jaccard of 0.8 or more, five words), pivots first, then pairs still in different classes; linked paragraphs form
-components, of which the first occurrence (smallest document, then place) stays and all others are removed.
+(Jaccard of 0.8 or more, five words): first with the middle of the band's family, then those still in different classes
+that share a shingle among their rarest, without which two sets cannot link. Linked paragraphs form components, of which the first occurrence (smallest document, then place) stays and all others are removed.
 
 Hot passages: copies meet as one class before any join; a band of k near copies is compared with its pivot, not in
 pairs (see `linking`). Occurrences are counted by partial sums, and the join back is one that Spark splits by rows.
@@ -101,9 +101,11 @@ def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     shared = entries.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
     met = durable(entries.join(shared, "key", "left_semi").distinct(), "met")
     sets = _sets(docs, met.select("node").distinct(), classes, id, text)
-    # A paragraph with too many shingles of its own cannot reach the similarity with any other.
-    members = durable(met.join(ngram_join.own_shingles(sets), "node"), "members")
-    comp = linking.link(members, ngram_join._verifier(sets), ngram_join._may_link)
+    # A paragraph with too many shingles of its own cannot reach the similarity with any other: it has no entry.
+    entries = ngram_join.whole_entries(sets)
+    own = entries.groupBy("node").agg(F.max("n").alias("n"), F.min("rank").alias("rank"), F.max("lead").alias("lead"), F.min("far").alias("far"))
+    members = durable(met.join(own, "node"), "members")
+    comp = linking.link(members, ngram_join._verifier(sets), ngram_join._may_link, durable(ngram_join.meeting(entries), "meeting"))
     flat = rows.join(comp, rows["cls"] == comp["node"], "left").select(id, "place", "n_words", F.coalesce("comp", "cls").alias("comp"))
     groups = flat.groupBy("comp").agg(F.count("*").alias("occurrences"), F.min(F.struct(F.col(id).isNull(), F.col(id), "place")).alias("main")).where("occurrences > 1")
     out = flat.join(groups, "comp").select(id, "place", "n_words", "occurrences", F.col(f"main.{id}").alias("kept_id"), F.col("main.place").alias("kept_place"))
