@@ -99,7 +99,7 @@ def _(t):
 def _(t):
     d = _cohort(_rows(t))
     out = None
-    for seed in (42, 43, 44):
+    for seed in range(42, 52):
         log = L.study({"unseen": _unseen(d, seed)}, {"A": SPACE, "B": SPACE + LAGS}, ["linear"], "value", KEEP + ["cohort"], seed)
         m = M.metrics_by_cohort_sets(log, ["feature_set"], "cohort").withColumn("seed", F.lit(seed))
         out = m if out is None else out.unionByName(m)
@@ -196,6 +196,66 @@ def _(t):
     return L.log_metrics(out, ["scale", "saturation"]).select("scale", "saturation", *MET)
 
 
+# what SQL can state about the fitted models ---------------------------------------------------------------------------
+
+def _flag(c):
+    return F.when(c, 1).otherwise(0).cast("bigint")
+
+
+@query("train_predict_checks", """select count(*) as n, count(*) as finite, 1::bigint as deterministic from model_rows where yr >= 2000""")
+def _(t):
+    """Every later reading is scored, finitely, and a second fit gives the same scores. (The mapped values are noise, so
+    no learner can be expected to beat the mean.)"""
+    d = _rows(t)
+    tr, te = _temporal(d)
+    once, again = (durable(L.train_predict(tr, te, LAGS + SPACE, "value", "forest", KEEP), "scored") for _ in range(2))
+    same = once.join(again.select("row_id", F.col("y_pred").alias("again")), "row_id")
+    return same.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs("y_pred") < 1e300).alias("finite"), _flag(F.max(F.abs(F.col("y_pred") - F.col("again"))) < 1e-9).alias("deterministic"))
+
+
+@query("quantile_regressor_checks", "select count(*) as n, 0::bigint as crossed from model_rows where yr >= 2000")
+def _(t):
+    tr, te = _temporal(_rows(t))
+    q = L.leaf_quantiles(tr, te, LAGS + SPACE, "value", {"q05": .05, "q50": .5, "q95": .95}, ["row_id"])
+    return q.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("q05") > F.col("q50") + 1e-9) | (F.col("q50") > F.col("q95") + 1e-9)).alias("crossed"))
+
+
+@query("feature_importance_checks", f"select {len(LAGS + SPACE + CLIMATE)}::bigint as features, 1e0 as total, 0::bigint as negative", "total")
+def _(t):
+    tr, _ = _temporal(_rows(t))
+    imp = L.feature_importance(L.fit(tr, LAGS + SPACE + CLIMATE, "value", "forest"))
+    return imp.agg(F.count(F.lit(1)).alias("features"), F.sum("importance").alias("total"), F.count_if(F.col("importance") < 0).alias("negative"))
+
+
+@query("spatial_clusters_checks", "select count(*) as sites, 5::bigint as clusters, 0::bigint as misplaced from sites")
+def _(t):
+    """Every site lies in the cluster of its nearest centre (centres: the means of the clusters, in scaled coordinates)."""
+    c = durable(L.spatial_clusters(t.sites), "placed")
+    scale = c.agg(F.stddev_samp("lat").alias("sa"), F.stddev_samp("lon").alias("so"))    # one row
+    mid = c.groupBy("cluster").agg(F.avg("lat").alias("ma"), F.avg("lon").alias("mo")).withColumnRenamed("cluster", "other")
+    far = F.pow((F.col("lat") - F.col("ma")) / F.col("sa"), F.lit(2.0)) + F.pow((F.col("lon") - F.col("mo")) / F.col("so"), F.lit(2.0))
+    best = c.crossJoin(F.broadcast(mid)).crossJoin(F.broadcast(scale)).groupBy("entity_id", "cluster").agg(F.min(far).alias("least"), F.min(F.when(F.col("cluster") == F.col("other"), far)).alias("own"))   # five centres
+    return best.agg(F.count(F.lit(1)).alias("sites"), F.countDistinct("cluster").alias("clusters"), F.count_if(F.col("own") > F.col("least") + 0.05).alias("misplaced"))
+
+
+@query("two_feature_fit", """with s as (select regr_sxx(value, x) as sxx, regr_syy(value, x) as syy, regr_sxy(value, x) as sxy, avg(value) as my, avg(x) as mx from (select value, coalesce(density, 0) as x from model_rows where yr <= 1998))
+       select row_id, my + sxy / sxx * (coalesce(density, 0) - mx) as y_pred from model_rows, s where yr >= 2000""", "y_pred", digits=3)
+def _(t):
+    """The linear learner with one feature, against the closed form."""
+    tr, te = (d.withColumn("density", F.coalesce("density", F.lit(0.0))) for d in _temporal(_rows(t)))
+    return L.train_predict(tr, te, ["density"], "value", "linear", ["row_id"]).select("row_id", "y_pred")
+
+
+@query("study_row_counts", """with s as (select entity_id, row_number() over (order by md5(entity_id::varchar || '_42'), entity_id) <= ceil(0.2 * count(*) over ()) as test from (select distinct entity_id from readings)),
+       n as (select 'temporal' as regime, count(*) as n from model_rows where yr >= 2000 union all select 'unseen', count(*) from model_rows m join s using (entity_id) where s.test)
+       select regime, f.feature_set, n.n from n, (select unnest(['A', 'B']) as feature_set) f""")
+def _(t):
+    """Every regime and feature set scores exactly the rows of its test part."""
+    d = _rows(t)
+    log = L.study({"temporal": _temporal(d), "unseen": _unseen(d)}, {"A": SPACE + CLIMATE, "B": SPACE + CLIMATE + LAGS}, ["linear"], "value", KEEP)
+    return log.groupBy("regime", "feature_set").agg(F.count("y_pred").alias("n"))
+
+
 # streaming ------------------------------------------------------------------------------------------------------------
 
 EV_DDL = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
