@@ -87,6 +87,16 @@ def op7_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.classify(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+SQL["op7_ngram_jaccard"] = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i : i + 4], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+l as (select x.doc_id as a, y.doc_id as b from s x join s y on x.g = y.g and x.doc_id <> y.doc_id join n nx on nx.doc_id = x.doc_id join n ny on ny.doc_id = y.doc_id
+      group by x.doc_id, y.doc_id, nx.n, ny.n having 100 * count(*) >= 80 * (nx.n + ny.n - count(*))),
+r as (select doc_id as a, doc_id as b from d union select r.a, l.b from r join l on r.b = l.a)
+select d.doc_id, coalesce(max(n.n), 0)::bigint as n_shingles, min(r.b) as component_id from d left join n on n.doc_id = d.doc_id join r on r.a = d.doc_id group by d.doc_id"""
+
+
 @query
 def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
