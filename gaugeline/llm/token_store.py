@@ -195,22 +195,25 @@ def perfect_hash(keys: np.ndarray) -> np.ndarray:
     order = np.argsort(g, kind="stable")
     bounds = np.searchsorted(g[order], np.arange(groups + 1))
     size = np.diff(bounds)
-    seeds, taken, tries = np.zeros(groups, np.int64), np.zeros(m, bool), np.arange(64, dtype=np.int64)
-    for i in np.argsort(-size, kind="stable"):
-        if size[i] < 2:
-            break
-        k, first = keys[order[bounds[i]:bounds[i + 1]]], 0
-        while True:
-            s = _slots(k[None, :], np.repeat((first + tries)[:, None], len(k), axis=1), m)
-            good = ~taken[s].any(axis=1) & (np.diff(np.sort(s, axis=1), axis=1) != 0).all(axis=1)
-            if good.any():
-                j = int(good.argmax())
-                seeds[i] = first + j
-                taken[s[j]] = True
+    seeds, taken = np.zeros(groups, np.int64), np.zeros(m, bool)
+    for k in range(int(size.max(initial=0)), 1, -1):
+        left = np.flatnonzero(size == k)                              # groups of this size that have no seed yet
+        own = keys[order[bounds[left][:, None] + np.arange(k)]]
+        for seed in range(1 << 24):
+            if not len(left):
                 break
-            first += 64
-            if first > 1 << 30:
-                raise ValueError("two keys of one bucket have the same hash")
+            s = _slots(own, np.full((len(left), 1), seed, np.int64), m)
+            fits = np.flatnonzero(~taken[s].any(axis=1) & (np.diff(np.sort(s, axis=1), axis=1) != 0).all(axis=1))
+            first = np.zeros(len(fits) * k, bool)                     # of groups that want the same slot the first has it
+            first[np.unique(s[fits].ravel(), return_index=True)[1]] = True
+            fits = fits[first.reshape(-1, k).all(axis=1)]
+            seeds[left[fits]] = seed
+            taken[s[fits].ravel()] = True
+            rest = np.ones(len(left), bool)
+            rest[fits] = False
+            left, own = left[rest], own[rest]
+        if len(left):
+            raise ValueError("two keys of one bucket have the same hash")
     single = np.flatnonzero(size == 1)
     seeds[single] = -np.flatnonzero(~taken) - 1
     return seeds
