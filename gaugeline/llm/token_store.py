@@ -40,7 +40,7 @@ from gaugeline.llm.textarrays import mix
 
 HEAD, HEAD_BYTES, MAGIC = "<8sII", 16, b"GLTOKENS"
 INDEX_HEAD = "<8sII"
-BUCKET_KEYS, GROUP = 40_000, 4
+BUCKET_KEYS, GROUP, FEW = 40_000, 4, 200
 #: How byte-level tokenizers split a text before merging (a fixed value of this vocabulary's format).
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 PIECES, NOT_WHITE = re.compile(r"\s*\S+|\s+"), re.compile(r"[\x1c-\x1f]")
@@ -199,9 +199,8 @@ def perfect_hash(keys: np.ndarray) -> np.ndarray:
     for k in range(int(size.max(initial=0)), 1, -1):
         left = np.flatnonzero(size == k)                              # groups of this size that have no seed yet
         own = keys[order[bounds[left][:, None] + np.arange(k)]]
-        for seed in range(1 << 24):
-            if not len(left):
-                break
+        seed = 0
+        while len(left) > FEW:                                        # one seed for all groups
             s = _slots(own, np.full((len(left), 1), seed, np.int64), m)
             fits = np.flatnonzero(~taken[s].any(axis=1) & (np.diff(np.sort(s, axis=1), axis=1) != 0).all(axis=1))
             first = np.zeros(len(fits) * k, bool)                     # of groups that want the same slot the first has it
@@ -211,9 +210,17 @@ def perfect_hash(keys: np.ndarray) -> np.ndarray:
             taken[s[fits].ravel()] = True
             rest = np.ones(len(left), bool)
             rest[fits] = False
-            left, own = left[rest], own[rest]
-        if len(left):
-            raise ValueError("two keys of one bucket have the same hash")
+            left, own, seed = left[rest], own[rest], seed + 1
+        for i, group in zip(left, own):                               # many seeds for one group
+            for start in range(seed, 1 << 24, 1024):
+                s = _slots(group[None, :], np.arange(start, start + 1024, dtype=np.int64)[:, None], m)
+                good = np.flatnonzero(~taken[s].any(axis=1) & (np.diff(np.sort(s, axis=1), axis=1) != 0).all(axis=1))
+                if len(good):
+                    seeds[i] = start + good[0]
+                    taken[s[good[0]]] = True
+                    break
+            else:
+                raise ValueError("two keys of one bucket have the same hash")
     single = np.flatnonzero(size == 1)
     seeds[single] = -np.flatnonzero(~taken) - 1
     return seeds
