@@ -40,7 +40,7 @@ from gaugeline.llm.textarrays import mix
 
 HEAD, HEAD_BYTES, MAGIC = "<8sII", 16, b"GLTOKENS"
 INDEX_HEAD = "<8sII"
-BUCKET_KEYS, GROUP, FEW = 40_000, 4, 200
+BUCKET_KEYS, GROUP, FEW = 40_000, 3, 60
 #: How byte-level tokenizers split a text before merging (a fixed value of this vocabulary's format).
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 PIECES, NOT_WHITE = re.compile(r"\s*\S+|\s+"), re.compile(r"[\x1c-\x1f]")
