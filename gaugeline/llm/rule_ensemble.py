@@ -136,6 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
 
 
 def apply(model: Model, docs: DataFrame, text: str = "text", score: str = "score") -> DataFrame:
-    """Append the score."""
+    """Append the score. It leaves through a one-element generator: a filter on it then stays above, where it reads the
+    number, and is not pushed below with every feature written out again in every rule."""
     kept = [c for c in docs.columns if c != score]
-    return unpacked(statistics(packed(docs, kept, text=F.col(f"`{text}`"))), kept, **{score: model.score()})
+    scored = statistics(packed(docs, kept, text=F.col(f"`{text}`"))).select("_row", F.explode(F.array(model.score())).alias("_s"))
+    return unpacked(scored, kept, **{score: F.col("_s")})
