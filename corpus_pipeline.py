@@ -24,15 +24,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every class of near duplicates the document with the smallest id stays; rows that repeat an id count as one
-    document, of which one row (the least text) stays. A class without any id keeps its rows without one."""
+    document, of which one row (the least text by hash) stays. A class without any id keeps its rows without one."""
     classes = ngram_join.classify(docs.select("doc_id", "text"))
     gone = classes.where("doc_id is not null and component_id < doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    k, t = fresh(docs, "_k"), fresh(docs, "_t")
-    twice = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(k), F.min("text").alias(t)).where(F.col(k) > 1)
-    single = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
-    least = kept.join(twice, "doc_id").where(F.col("text").eqNullSafe(F.col(t))).select(*docs.columns).dropDuplicates(["doc_id"])
-    return single.unionByName(least)
+    own = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(F.struct(F.xxhash64("text").alias("h"), F.length("text").alias("n"))).alias("least"))
+    twice = durable(own.where("rows > 1").join(gone, "doc_id", "left_anti").select("doc_id", "least"), "twice")
+    # Whole texts are shuffled once; again only for the rows of repeated ids, where there are any.
+    kept = docs.join(gone.unionByName(twice.select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    if twice.isEmpty():
+        return kept
+    least = fresh(docs, "least")
+    rows = docs.join(twice.withColumnRenamed("least", least), "doc_id")
+    first = rows.where(F.xxhash64("text") == F.col(f"{least}.h")).select(*docs.columns).dropDuplicates(["doc_id"])
+    return kept.unionByName(first)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
