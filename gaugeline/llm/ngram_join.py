@@ -41,7 +41,7 @@ from gaugeline.session import durable
 
 N, PERCENT = 5, 80
 SHARE, ALL = int(0.35 * 2**64), 2**64      # hashes below take part in the counting: first a third, then all
-ROW_TOKENS, BLOCK_TOKENS = 300_000, 1_500_000
+ROW_TOKENS, BLOCK_TOKENS = 150_000, 750_000
 BITS = 1 << 23                             # of the filter for documents that are read again: 1 MB whatever the input
 
 
