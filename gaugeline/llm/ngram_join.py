@@ -224,9 +224,10 @@ def _may_link(x: str, y: str) -> str:
     return f"(9 * ({x}.n - {x}.rank) >= {need} and 9 * ({y}.n - {y}.rank) >= {need})"
 
 
-def bit_table(ids: DataFrame, bits: int = BITS) -> bytes:
-    """A bit per hashed id, `bits` in all: what comes to the driver and goes to the tasks has that size at most."""
-    h = ids.select((F.pmod(F.xxhash64(ids.columns[0]), F.lit(bits)) + 1).alias("h"))     # the bitmap functions count from 1
+def bit_table(ids: DataFrame, bits: int = BITS, hashed: bool = False) -> bytes:
+    """A bit per hashed id, `bits` in all: what comes to the driver and goes to the tasks has that size at most. hashed:
+    the ids are 64-bit hashes already."""
+    h = ids.select((F.pmod(F.col(ids.columns[0]) if hashed else F.xxhash64(ids.columns[0]), F.lit(bits)) + 1).alias("h"))     # the bitmap functions count from 1
     parts = h.groupBy(F.bitmap_bucket_number("h").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("m")).collect()
     out = bytearray(bits // 8 + 4096)
     for r in parts:

@@ -1,10 +1,19 @@
-"""Repeated passages: paragraphs that occur again, exactly or nearly, in this or another document.
+"""Repeated passages: lines that occur again, exactly or nearly, and runs of words that occur again wherever they stand.
 
-Paragraphs are the lines of a text with at least `MIN_WORDS` words. Equal word-shingle sets are one class from the
-start. For the rest MinHash signatures are cut into `BANDS` bands of `ROWS` rows: at a similarity of 0.8 the chance of
-no common band is (1 - 0.8**4)**14 = 0.06 %. Paragraphs of a common band are compared on their whole shingle sets
-(Jaccard of 0.8 or more, five words): first with the middle of the band's family, then those still in different classes
-that share a shingle among their rarest, without which two sets cannot link. Linked paragraphs form components, of which the first occurrence (smallest document, then place) stays and all others are removed.
+Paragraphs are the lines of a text with at least `N` words (shorter ones have no shingle; they count inside runs of words).
+Equal word-shingle sets are one class from the start. For the rest MinHash signatures are cut into `BANDS` bands of `ROWS`
+rows: at a similarity of 0.8 the chance of no common band is (1 - 0.8**4)**14 = 0.06 %. Sets of up to `FEW` shingles meet at
+their least hashes instead, so many that two similar sets have one in common; sizes near the limit have both. Paragraphs of
+a common key are compared on their whole shingle sets (Jaccard of 0.8 or more, five words): first with the middle of the
+key's family, then those still in different classes that share a shingle among their rarest, without which two sets cannot
+link. Linked paragraphs form components, of which the first occurrence (smallest document, then place) stays and all others
+are removed.
+
+Runs of words: every window of `LONG` words that occurs twice is found, inside lines and across them. The least hash of
+every `LONG` - `SEED` + 1 neighbouring windows of `SEED` words is an anchor, so two equal long windows have an equal anchor; long
+windows around repeated anchors are then counted by their own hashes, which needs no pairs. The first occurrence of a window
+(smallest document, then word) stays; neighbouring windows whose first occurrence is in the same document are one passage.
+A window that overlaps the first one like it in its document is no occurrence, nor is one whose words all go with lines.
 
 Hot passages: copies meet as one class before any join; a band of k near copies is compared with its pivot, not in
 pairs (see `linking`). Occurrences are counted by partial sums, and the join back is one that Spark splits by rows.
@@ -17,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -26,23 +35,72 @@ from gaugeline.llm.common import small_batches
 from gaugeline.llm.textarrays import mix, set_print, shingle_hashes, word_hashes
 from gaugeline.session import durable
 
-MIN_WORDS, N, BANDS, ROWS = 40, 5, 14, 4
+N, BANDS, ROWS = 5, 14, 4
+LEAST = 4                  # shingles below which two different sets cannot reach the similarity
+FEW, MANY = 45, 36         # sets of up to FEW shingles meet at the least of them, those of MANY or more in bands; 0.8 * (FEW + 1) > MANY
+LONG, SEED = 50, 25        # words of the shortest run that counts, and of an anchor
 _TIMES = mix(np.arange(BANDS * ROWS, dtype=np.uint64), 31) | np.uint64(1)
 _PLUS = mix(np.arange(BANDS * ROWS, dtype=np.uint64), 32)
 
 
-def paragraphs(col: pa.Array):
-    """(row, place of the line, words, sorted distinct shingles) of every paragraph."""
+def split_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of all texts, word offsets of their lines, line offsets of the texts."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     lines = pc.split_pattern(col.cast(pa.large_string()).fill_null(""), "\n")
     off = lines.offsets.to_numpy()
     words, at, _ = word_hashes(lines.flatten())
+    return words, at, off - off[0]
+
+
+def paragraphs(words: np.ndarray, at: np.ndarray, off: np.ndarray):
+    """(row, place of the line, its first word, words, sorted distinct shingles) of every paragraph of `split_words`."""
     sizes = np.diff(at)
-    row = np.repeat(np.arange(len(col)), np.diff(off))
-    place = np.arange(len(sizes)) - (off - off[0])[row]
-    for i in np.flatnonzero(sizes >= MIN_WORDS):
-        yield int(row[i]), int(place[i]), int(sizes[i]), np.unique(shingle_hashes(words[at[i]:at[i + 1]], N))
+    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    place = np.arange(len(sizes)) - off[row]
+    word = at[:-1] - at[off[row]]
+    for i in np.flatnonzero(sizes >= N):
+        yield int(row[i]), int(place[i]), int(word[i]), int(sizes[i]), np.unique(shingle_hashes(words[at[i]:at[i + 1]], N))
+
+
+def _over(pick, x: np.ndarray, width: int) -> np.ndarray:
+    """`pick` (minimum or maximum) of every `width` neighbours."""
+    size = 1
+    while 2 * size <= width:
+        x, size = pick(x[:-size], x[size:]), 2 * size
+    return pick(x[:len(x) - (width - size)], x[width - size:])
+
+
+def anchors(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the anchors, and the hash of every window of `SEED` words. ends: word offsets of the texts."""
+    n, more = len(words), LONG - SEED
+    if n < LONG:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    x, text = shingle_hashes(words, SEED), np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    low = _over(np.minimum, x, more + 1)
+    low[text[:n - LONG + 1] != text[LONG - 1:]] = 0                    # long windows end with their text
+    none = np.zeros(more, np.uint64)
+    return np.flatnonzero(_over(np.maximum, np.concatenate([none, low, none]), more + 1) == x), x
+
+
+def long_windows(words: np.ndarray, ends: np.ndarray, wanted) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the windows of `LONG` words that hold an anchor whose hash is `wanted`."""
+    at, x = anchors(words, ends)
+    at = at[wanted(x[at])]
+    text = np.searchsorted(ends, at, "right") - 1
+    low, high = np.maximum(at - (LONG - SEED), ends[text]), np.minimum(at, ends[text + 1] - LONG)
+    some = low <= high
+    step = np.bincount(low[some], minlength=len(words) + 1) - np.bincount(high[some] + 1, minlength=len(words) + 1)
+    at = np.flatnonzero(np.cumsum(step) > 0)
+    return at, mix(x[at] * _TIMES[0] + x[at + SEED], 33)
+
+
+def _covered(gone: list[dict] | None, n: int) -> np.ndarray:
+    """How many of the first k words of a text go with lines, for k = 0 to n."""
+    mark = np.zeros(n + 1, np.int64)
+    for g in gone or []:
+        mark[g["word"] + 1:g["word"] + g["n_words"] + 1] = 1
+    return np.cumsum(mark)
 
 
 def bands(sets: list[np.ndarray]) -> np.ndarray:
@@ -56,22 +114,55 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
     return keys
 
 
+def meeting_keys(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Keys of each set; similar sets that differ have one in common (see above)."""
+    out = [mix(s[:len(s) - ngram_join.least_overlap(len(s)) + 1], 34) if LEAST <= len(s) <= FEW else s[:0] for s in sets]
+    many = [i for i, s in enumerate(sets) if len(s) >= MANY]
+    for i, k in zip(many, bands([sets[i] for i in many]) if many else []):
+        out[i] = np.concatenate([out[i], k])
+    return out
+
+
+def _doc(id: str, text: str):
+    """What tells rows apart: a hash of id and text."""
+    return F.xxhash64(F.col(id), F.col(f"`{text}`"))
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
+
+
+SIGNED = "_doc bigint, place bigint, word bigint, n_words bigint, n bigint, cls binary, keys array<bigint>, anchors array<bigint>, at array<int>"
+
+
 def _signed(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """A row for every paragraph, and one with the anchors (and the number of words) of every text that has some."""
+    out = StructType([StructField(id, docs.schema[id].dataType), *StructType.fromDDL(SIGNED).fields])
+
     def run(batches):
         for b in batches:
-            found = list(paragraphs(b.column(text)))
-            if not found:
-                continue
-            k = bands([f[3] for f in found]).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(id).take(pa.array([f[0] for f in found])), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64()),
-                 pa.array([len(f[3]) for f in found], pa.int64()), pa.array([set_print(f[3]) for f in found], pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(np.arange(0, k.size + 1, BANDS, dtype=np.int32)), pa.array(k.ravel()))],
-                names=[id, "place", "n_words", "n", "cls", "bands"])
+            words, at, off = split_words(b.column(text))
+            found = list(paragraphs(words, at, off))
+            take = lambda c, rows: b.column(c).take(pa.array(rows, pa.int64()))
+            if found:
+                row = [f[0] for f in found]
+                keys = meeting_keys([f[4] for f in found])
+                none = [pa.nulls(len(found), t) for t in (pa.list_(pa.int64()), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(
+                    [take(id, row), take("_doc", row), *(pa.array([f[i] for f in found], pa.int64()) for i in (1, 2, 3)), pa.array([len(f[4]) for f in found], pa.int64()),
+                     pa.array([set_print(f[4]) for f in found], pa.binary()), _lists(np.concatenate(keys).view(np.int64), [len(k) for k in keys]), *none], names=out.names)
+            ends = at[off]
+            pos, x = anchors(words, ends)
+            if len(pos):
+                of = np.searchsorted(ends, pos, "right") - 1
+                row, sizes = np.unique(of, return_counts=True)
+                none = [pa.nulls(len(row), t) for t in (pa.int64(), pa.int64())]
+                yield pa.RecordBatch.from_arrays(
+                    [take(id, row), take("_doc", row), *none, pa.array(np.diff(ends)[row]), none[0], pa.nulls(len(row), pa.binary()), pa.nulls(len(row), pa.list_(pa.int64())),
+                     _lists(x[pos].view(np.int64), sizes), _lists((pos - ends[of]).astype(np.int32), sizes)], names=out.names)
 
     small_batches(docs.sparkSession)
-    out = StructType([StructField(id, docs.schema[id].dataType), *StructType.fromDDL("place bigint, n_words bigint, n bigint, cls binary, bands array<bigint>").fields])
-    return docs.select(F.col(id), F.col(f"`{text}`").alias(text)).mapInArrow(run, out)
+    return docs.select(F.col(id), _doc(id, text).alias("_doc"), F.col(f"`{text}`").alias(text)).mapInArrow(run, out)
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame, id: str, text: str) -> DataFrame:
@@ -83,7 +174,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame, id: str, text:
             h = b.column("_h")
             keep = ngram_join.marked(filt.value, h.fill_null(0).to_numpy(zero_copy_only=False)) | h.is_null().to_numpy(zero_copy_only=False)
             t = b.column(text).filter(pa.array(keep))
-            own = list({set_print(s): s for _, _, _, s in paragraphs(t)}.items()) if len(t) else []
+            own = list({set_print(s): s for *_, s in paragraphs(*split_words(t))}.items()) if len(t) else []
             if own:
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in own], pa.binary()), pa.array([s.astype("<u8").tobytes() for _, s in own], pa.binary())], names=["node", "set"])
 
@@ -92,13 +183,110 @@ def _sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame, id: str, text:
     return durable(own.groupBy("node").agg(F.first("set").alias("set")), "sets")
 
 
+def _marked(keyed: DataFrame, table: bytes) -> DataFrame:
+    """(key, node) of the keys that are marked, so that the others are not shuffled again."""
+    filt, low = keyed.sparkSession.sparkContext.broadcast(table), np.int64(ngram_join.BITS - 1)
+
+    def run(batches):
+        for b in batches:
+            keys = b.column("keys")
+            flat = keys.flatten().to_numpy()
+            keep = np.flatnonzero(ngram_join.marked(filt.value, flat & low))
+            row = np.repeat(np.arange(len(b)), np.diff(keys.offsets.to_numpy()))[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), b.column("cls").take(pa.array(row))], names=["key", "node"])
+
+    return keyed.mapInArrow(run, "key bigint, node binary")
+
+
+def _repeated_anchors(marks: DataFrame, gone: DataFrame) -> tuple[bytes, bytes]:
+    """Bit tables of the anchors that occur twice around words that do not go with lines, and of the texts that have them."""
+    def run(batches):
+        for b in batches:
+            hashes, docs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for doc, n, h, at, g in zip(*(b.column(c).to_pylist() for c in ("_doc", "n_words", "anchors", "at", "gone"))):
+                h, at, upto = np.array(h, np.int64), np.array(at, np.int64), _covered(g, n)
+                low, high = np.maximum(at - (LONG - SEED), 0), np.minimum(at + LONG, n)
+                h = np.unique(h[upto[high] - upto[low] < high - low], return_counts=True)
+                hashes.append(np.repeat(h[0], np.minimum(h[1], 2)))
+                docs.append(np.full(len(hashes[-1]), doc))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(docs))], names=["h", "_doc"])
+
+    flat = durable(marks.select("_doc", "n_words", "anchors", "at").join(gone, "_doc", "left").mapInArrow(run, "h bigint, _doc bigint"), "anchors")
+    twice = durable(flat.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1").select("h"), "twice")
+    table = ngram_join.bit_table(twice, hashed=True)
+    filt, low = marks.sparkSession.sparkContext.broadcast(table), np.int64(ngram_join.BITS - 1)
+
+    def docs_of(batches):
+        for b in batches:
+            keep = ngram_join.marked(filt.value, b.column("h").to_numpy() & low)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(b.column("_doc").to_numpy()[keep]))], names=["_doc"])
+
+    return table, ngram_join.bit_table(flat.mapInArrow(docs_of, "_doc bigint"), hashed=True)
+
+
+def _long_runs(docs: DataFrame, marks: DataFrame, gone: DataFrame, id: str, text: str) -> DataFrame:
+    """Passages of `LONG` words or more, a row per occurrence."""
+    filt = docs.sparkSession.sparkContext.broadcast(_repeated_anchors(marks, gone))
+    key, low = StructField(id, docs.schema[id].dataType), np.int64(ngram_join.BITS - 1)
+
+    def find(batches):
+        for b in batches:
+            mine = np.flatnonzero(ngram_join.marked(filt.value[1], b.column("_doc").to_numpy() & low))
+            if not len(mine):
+                continue
+            b = b.take(pa.array(mine))
+            words, at, off = split_words(b.column(text))
+            ends = at[off]
+            pos, h = long_windows(words, ends, lambda x: ngram_join.marked(filt.value[0], x.view(np.int64) & low))
+            of = np.searchsorted(ends, pos, "right") - 1
+            row, sizes = np.unique(of, return_counts=True)
+            place = np.searchsorted(at, pos, "right") - 1 - off[of]
+            take = lambda c: b.column(c).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays(
+                [take(id), take("_doc"), pa.array(np.diff(ends)[row]), *(_lists(v, sizes) for v in (pos - ends[of], place, h.view(np.int64)))], names=[id, "_doc", "n", "word", "place", "h"])
+
+    def flatten(batches):
+        for b in batches:
+            for i, (n, g, *lists) in enumerate(zip(*(b.column(c).to_pylist() for c in ("n", "gone", "word", "place", "h")))):
+                word, place, h = (np.array(x, np.int64) for x in lists)
+                upto = _covered(g, n)
+                keep = upto[word + LONG] - upto[word] < LONG
+                word, place, h = word[keep], place[keep], h[keep]
+                _, first, same = np.unique(h, return_index=True, return_inverse=True)
+                ahead = word - word[first[same]]
+                keep = (ahead == 0) | (ahead >= LONG)
+                k = int(keep.sum())
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(np.full(k, i))) for c in (id, "_doc", "copies")), *(pa.array(x[keep]) for x in (word, place, h))],
+                                                 names=[id, "_doc", "copies", "word", "place", "h"])
+
+    small_batches(docs.sparkSession)
+    found = docs.select(F.col(id), _doc(id, text).alias("_doc"), F.col(f"`{text}`").alias(text)).mapInArrow(
+        find, StructType([key, *StructType.fromDDL("_doc bigint, n bigint, word array<bigint>, place array<bigint>, h array<bigint>").fields]))
+    found = found.groupBy("_doc").agg(F.first(F.struct(id, "n", "word", "place", "h")).alias("x"), F.count("*").alias("copies")).select("_doc", "copies", "x.*")
+    flat = durable(found.join(gone, "_doc", "left").mapInArrow(flatten, StructType([key, *StructType.fromDDL("_doc bigint, copies bigint, word bigint, place bigint, h bigint").fields])), "windows")
+    groups = flat.groupBy("h").agg(F.sum("copies").alias("occurrences"), F.min(F.struct(F.col(id).isNull(), F.col(id), "_doc", "word", "place")).alias("main")).where("occurrences > 1")
+    here = flat.join(groups, "h").withColumn("removed", ~((F.col("_doc") == F.col("main._doc")) & (F.col("word") == F.col("main.word"))))
+    run = F.col("word") - F.row_number().over(Window.partitionBy("_doc", "main._doc", "removed").orderBy("word"))
+    here = here.withColumn("kept", F.col("main._doc")).withColumn("run", run)
+    out = here.groupBy("_doc", "kept", "removed", "run").agg(
+        F.first(id).alias(id), F.min("word").alias("word"), F.min_by("place", "word").alias("place"), (F.max("word") + LONG - F.min("word")).alias("n_words"),
+        F.max("occurrences").alias("occurrences"), F.min_by("main", "word").alias("main"), F.first("copies").alias("copies"))
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return out.select(id, "place", "n_words", "occurrences", F.col(f"main.{id}").alias("kept_id"), F.col("main.place").alias("kept_place"), "removed", "word", F.col("main.word").alias("kept_word"))
+
+
 def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per occurrence of a passage that occurs more than once: id, place (line), n_words, occurrences, kept_id and
-    kept_place (the occurrence that stays), removed."""
-    rows = durable(_signed(docs, id, text), "paragraphs")
+    kept_place (the occurrence that stays), removed, word and kept_word (the first word, counted from the start of the text).
+    A passage that runs across lines has the place of its first word. Of a run of words `occurrences` is the most that one
+    of its windows has, and the kept place is that of its first window."""
+    signed = durable(_signed(docs, id, text), "paragraphs")
+    rows = signed.where("cls is not null")
     classes = rows.groupBy("cls").agg(F.min(id).alias("first"))
-    entries = rows.select(F.posexplode("bands").alias("band", "h"), F.col("cls").alias("node")).select(F.xxhash64("band", "h").alias("key"), "node")
-    shared = entries.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
+    keyed = rows.select("cls", "keys")
+    shared = keyed.select(F.explode("keys").alias("key"), F.xxhash64("cls").alias("c")).groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("key")
+    shared = durable(shared, "shared")
+    entries = _marked(keyed, ngram_join.bit_table(shared, hashed=True))
     met = durable(entries.join(shared, "key", "left_semi").distinct(), "met")
     sets = _sets(docs, met.select("node").distinct(), classes, id, text)
     # A paragraph with too many shingles of its own cannot reach the similarity with any other: it has no entry.
@@ -106,7 +294,10 @@ def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     own = entries.groupBy("node").agg(F.max("n").alias("n"), F.min("rank").alias("rank"), F.max("lead").alias("lead"), F.min("far").alias("far"))
     members = durable(met.join(own, "node"), "members")
     comp = linking.link(members, ngram_join._verifier(sets), ngram_join._may_link, durable(ngram_join.meeting(entries), "meeting"))
-    flat = rows.join(comp, rows["cls"] == comp["node"], "left").select(id, "place", "n_words", F.coalesce("comp", "cls").alias("comp"))
-    groups = flat.groupBy("comp").agg(F.count("*").alias("occurrences"), F.min(F.struct(F.col(id).isNull(), F.col(id), "place")).alias("main")).where("occurrences > 1")
-    out = flat.join(groups, "comp").select(id, "place", "n_words", "occurrences", F.col(f"main.{id}").alias("kept_id"), F.col("main.place").alias("kept_place"))
-    return out.withColumn("removed", ~(F.col(id).eqNullSafe(F.col("kept_id")) & (F.col("place") == F.col("kept_place"))))
+    flat = rows.join(comp, rows["cls"] == comp["node"], "left").select(id, "_doc", "place", "word", "n_words", F.coalesce("comp", "cls").alias("comp"))
+    groups = flat.groupBy("comp").agg(F.count("*").alias("occurrences"), F.min(F.struct(F.col(id).isNull(), F.col(id), "place", "word")).alias("main")).where("occurrences > 1")
+    lines = flat.join(groups, "comp").withColumn("removed", ~(F.col(id).eqNullSafe(F.col(f"main.{id}")) & (F.col("place") == F.col("main.place"))))
+    lines = durable(lines.select(id, "_doc", "place", "n_words", "occurrences", F.col(f"main.{id}").alias("kept_id"), F.col("main.place").alias("kept_place"), "removed",
+                                 "word", F.col("main.word").alias("kept_word")), "lines")
+    gone = durable(lines.where("removed").groupBy("_doc").agg(F.collect_set(F.struct("word", "n_words")).alias("gone")), "gone")
+    return lines.drop("_doc").unionByName(_long_runs(docs, signed.where("at is not null"), gone, id, text))

@@ -141,6 +141,43 @@ def test_repeated_passages(spark):
     assert passage_dedup.repeated(empty(spark)).collect() == []
 
 
+def test_passages_inside_and_across_lines(spark):
+    """Passages inside longer lines, across lines and in short lines."""
+    p, licence, short = prose(31, 53), prose(32, 12), prose(33, 56).split()
+    rows = [(1, f"{prose(600, 20)} {p} {prose(601, 30)}"), (2, f"{prose(602, 6)}\n{prose(603, 31)} {p} {prose(604, 3)}"), (3, f"{prose(605, 45)}\n{licence}"), (4, f"{licence}\n{prose(606, 70)}"),
+            (5, "\n".join(" ".join(short[i:i + 4]) for i in range(0, 56, 4))), (6, prose(607, 9) + " " + " ".join(short)), (7, " ".join(["on"] * 400))]
+    got = sorted((r.doc_id, r.place, r.word, r.n_words, r.occurrences, r.kept_id, r.kept_place, r.kept_word, r.removed)
+                 for r in passage_dedup.repeated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(1, 0, 20, 53, 2, 1, 0, 20, False), (2, 1, 37, 53, 2, 1, 0, 20, True), (3, 1, 45, 12, 2, 3, 1, 45, False), (4, 0, 0, 12, 2, 3, 1, 45, True),
+                   (5, 0, 0, 56, 2, 5, 0, 0, False), (6, 0, 9, 56, 2, 5, 0, 0, True), (7, 0, 0, 50, 302, 7, 0, 0, False), (7, 0, 50, 350, 302, 7, 0, 0, True)]
+
+
+def test_similar_sets_of_any_size_meet():
+    r = np.random.default_rng(2)
+    for n in range(4, 60):
+        for gone in range(n // 5 + 1):
+            x = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+            y = np.sort(r.permutation(x)[gone:])
+            kx, ky = passage_dedup.meeting_keys([x, y])
+            assert n > 45 or set(kx) & set(ky), (n, gone)
+            assert len(kx) and len(ky) or len(y) < 4
+
+
+def test_all_long_repeats_are_found(spark):
+    """Of every window of 50 words at most one occurrence is left."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    gone, left = defaultdict(set), defaultdict(list)
+    for r in passage_dedup.repeated(docs).collect():
+        if r.removed:
+            gone[r.doc_id].update(range(r.word, r.word + r.n_words))
+    for r in docs.collect():
+        w = words(r.text)
+        for i in range(len(w) - 49):
+            if not gone[r.doc_id].issuperset(range(i, i + 50)):
+                left[tuple(w[i:i + 50])].append((r.doc_id, i))
+    assert all(d == v[0][0] and i < v[0][1] + 50 for v in left.values() for d, i in v)
+
+
 def test_bands_recall():
     """At a similarity just above 0.8 nearly all pairs share a band."""
     r, hit = np.random.default_rng(1), 0
