@@ -313,6 +313,18 @@ def test_pii_more_kinds_and_mask(spark):
     assert got[5] == (["email", "ip"], "x <EMAIL>, <IP>") and got[6] == ([], None) and got[7] == ([], "")
 
 
+def test_iban_beside_capitals(spark):
+    de, fr, odd = "DE89 3704 0044 0532 0130 00", "FR14 2004 1010 0505 0001 3M02 606", "XX89 2222 3333 4444 555"
+    body = lambda x: int("".join(str(int(c, 36)) for c in (x[4:] + x[:4]).replace(" ", "")))
+    odd = next(o for k in range(2, 99) if body((o := f"XX{k:02d}" + odd[4:]).replace(" ", "")) % 97 == 1)
+    cases = [(f"{de} BIC COBADEFFXXX", [de]), (f"IBAN {de} {fr} 12", [de, fr]), (f"AB12 {de}", [de]), (f"{odd} EUR", [odd]), (f"x {de.replace(' ', '')} 2024 OK.", [de.replace(" ", "")]),
+             (f"{de[:-1]}1 BIC", []), ("AB12 " * 20_000, [])]
+    rows = pii.find(spark.createDataFrame(list(enumerate(c[0] for c in cases)), "doc_id int, text string")).collect()
+    for r in rows:
+        assert [r.text[s.start:s.end] for s in r.spans if s.kind == "iban"] == cases[r.doc_id][1]
+    assert len(rows) == len(cases)
+
+
 # --- tokens --------------------------------------------------------------------------------------------------------
 
 ODD = ["a\t\n b", "a  b \n c  ", "", "   ", "x\x1c y\n\n z 'll don't\r\n 12 34", "é ü 　x", "<|endoftext|> a<|endoftext|>", "!?  ..  a" * 50, " lead", "a\x85b c", "it's 'twas foo'll 3.5% x\nnext  line\n", "日本語 テスト 12３", "y" * 70_000,
