@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import bpe, decontaminate, ngram_join, passage_dedup, pii, quality_rules, rule_ensemble, token_store, url_filter, warc
-from gaugeline.llm.common import table
+from gaugeline.llm import bpe, decontaminate, ngram_join, passage_dedup, period_runs, pii, quality_rules, rule_ensemble, token_store, url_filter, warc
+from gaugeline.llm.common import table, words
 from gaugeline.session import scratch_path
 
 QUERIES: dict[str, callable] = {}
@@ -119,3 +119,21 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     model = rule_ensemble.train(docs, table(spark, folder, "labels"))
     return rule_ensemble.apply(model, docs).select(
         "doc_id", rule_ensemble.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= rule_ensemble.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    h = F.crc32(F.col("doc_id").cast("string"))
+    docs = table(spark, folder, "documents").select("doc_id", words("text").alias("w"), h.alias("h"), F.floor(h / 10).alias("g"))
+    n = F.size("w")
+    again = docs.withColumn("a", F.expr("int(g % greatest(size(w), 1))")).withColumn("p", F.expr("int(1 + (size(w) - a) div (3 + g % 8))"))
+    # Words of a text that is made periodic are read through their places; other texts stay as they are.
+    own = F.when((F.col("h") % 10 == 0) & (n > 0), F.expr("transform(sequence(0, size(w) - 1), i -> w[if(i < a, i, a + (i - a) % p)])")).otherwise(F.col("w"))
+    found = period_runs.find(again.select("doc_id", own.alias("w")), words="w").drop("w")
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("short"))))
+    written = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    top = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(written, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    start, length, period = -F.col("b.before"), F.col("b.length"), -F.col("b.short")
+    return top.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"),
+                      F.expr("(1000 * b.length) div (-b.short)").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
