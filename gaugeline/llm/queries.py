@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import bpe, decontaminate, ngram_join, passage_dedup, period_runs, pii, quality_rules, rule_ensemble, token_store, url_filter, warc
+from gaugeline.llm import bpe, decontaminate, ngram_join, passage_dedup, period_runs, pii, quality_rules, rule_ensemble, shard_shuffle, token_store, url_filter, warc
 from gaugeline.llm.common import table, words
 from gaugeline.session import scratch_path
 
@@ -121,6 +121,14 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", rule_ensemble.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= rule_ensemble.THRESHOLD).cast("int").alias("predicted"))
 
 
+@query
+def op11_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    done = shard_shuffle.write(spark, f"{folder}/documents.parquet", scratch_path(spark, "shards"), shards=16, columns=["doc_id", "text"])
+    body = F.coalesce("text", F.lit("")).cast("binary")
+    return done.select("doc_id", (F.length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     h = F.crc32(F.col("doc_id").cast("string"))
