@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import bpe, decontaminate, ngram_join, passage_dedup, period_runs, pii, quality_rules, rule_ensemble, shard_shuffle, token_store, url_filter, warc
+from gaugeline.llm import bpe, decontaminate, ngram_join, passage_dedup, period_runs, pii, quality_rules, ranked_search, rule_ensemble, shard_shuffle, token_store, url_filter, warc
 from gaugeline.llm.common import table, words
 from gaugeline.session import scratch_path
 
@@ -129,6 +129,22 @@ def op11_sharding(spark: SparkSession, folder: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+
+
+SQL["op12_ranked_search"] = r"""
+with a as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+d as (select doc_id, w, len(w) as n from a where len(w) > 0),
+s as (select count(*) as docs, sum(n)::bigint as total from d),
+q as (select item_id, t, count(*) as c from (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark) group by all),
+p as (select doc_id, n, t, count(*) as tf from (select doc_id, n, unnest(w) as t from d) where t in (select t from q) group by all),
+f as (select t, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint as w from (select t, count(*) as df from p group by t), s),
+x as (select item_id, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total))))::bigint as score from q join p using (t) join f using (t), s group by item_id, doc_id)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from x where score > 0 qualify rank <= 10"""
+
+
 @query
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     h = F.crc32(F.col("doc_id").cast("string"))

@@ -36,8 +36,9 @@ def raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def word_hashes(col: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of every word, word offsets per row, byte position of every word's start within the column's bytes)."""
+def word_hashes(col: pa.Array, lower: bool = True, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of every word, word offsets per row, byte position of every word's start within the column's bytes). `space`
+    marks the bytes that separate words."""
     data, off = raw(col)
     n = len(data)
     edge = np.zeros(n + 1, bool)
@@ -45,11 +46,11 @@ def word_hashes(col: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarr
     hashes, starts, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
     while at < n:
         end = min(at + CHUNK, n)
-        while end < n and not (edge[end] or _SPACE[data[end]]):
-            nxt = np.flatnonzero(edge[end:end + CHUNK] | np.append(_SPACE[data[end:end + CHUNK]], True)[:len(edge[end:end + CHUNK])])
+        while end < n and not (edge[end] or space[data[end]]):
+            nxt = np.flatnonzero(edge[end:end + CHUNK] | np.append(space[data[end:end + CHUNK]], True)[:len(edge[end:end + CHUNK])])
             end = end + int(nxt[0]) if len(nxt) else min(end + CHUNK, n)
         b = data[at:end]
-        word = ~_SPACE[b]
+        word = ~space[b]
         start = word.copy()
         start[1:] &= ~word[:-1] | edge[at + 1:end]
         s = np.flatnonzero(start)
