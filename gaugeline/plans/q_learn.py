@@ -95,17 +95,6 @@ def _(t):
     return L.log_metrics(L.study({"temporal": _temporal(_rows(t))}, sets, ["linear"], "value", KEEP), ["feature_set", "learner"]).select("feature_set", "learner", *MET)
 
 
-@query("repeated_evaluation")
-def _(t):
-    d = _cohort(_rows(t))
-    out = None
-    for seed in range(42, 52):
-        log = L.study({"unseen": _unseen(d, seed)}, {"A": SPACE, "B": SPACE + LAGS}, ["linear"], "value", KEEP + ["cohort"], seed)
-        m = M.metrics_by_cohort_sets(log, ["feature_set"], "cohort").withColumn("seed", F.lit(seed))
-        out = m if out is None else out.unionByName(m)
-    return out.select("seed", "feature_set", "cohort", *MET)
-
-
 @query("response_modelling")
 def _(t):
     d = durable(t.response.where("delta is not null"), "response")
@@ -155,8 +144,9 @@ def _(t):
     return C.interval_metrics(r, [], lower="cqr_lower_90", upper="cqr_upper_90")
 
 
-@query("attribution_trees")
+@query("attribution_occlusion")
 def _(t):
+    """Importance by occlusion: what the prediction loses when a feature is set to its training median."""
     tr, te = _temporal(_rows(t))
     f = L.fit(tr, LAGS, "value", "forest", trees=10)
     return A.global_importance(L.occlusion_attribution(f, te, ["row_id"]))

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from gaugeline.operators import history, weather
 
+#: A target with signal, in SQL that both engines read.
+SIGNAL = "coalesce(prev_value, 150e0) / 2 + 25 * least(coalesce(density, 0e0), 2e0) + case when elev > 2350 then 40e0 else 0e0 end + value / 8"
 TRAIN_END, VALID_END = 1998, 1999      # temporal split of the mapped readings: <=1998, 1999, later
 
 
@@ -78,6 +80,12 @@ class Tables:
         d = weather.join_prior_year(self.history, self.annual)
         return d.join(self.sites.drop("county"), "entity_id", "left")
 
+    @cached_property
+    def signal_rows(self) -> DataFrame:
+        """Model rows with a target that follows their features: half the last level, steps by density and elevation, and the
+        reading itself as noise."""
+        return self.model_rows.withColumn("level", F.expr(SIGNAL))
+
     @cached_property
     def windows(self) -> DataFrame:
         return weather.dry_spell_streak(weather.rolling_day_windows(self.daily))
@@ -172,6 +180,7 @@ ORACLE = {
         case when a.yr is null then 0e0 else 1e0 end as climate_available,
         case when a.yr is null then 'missing' when a.yr < h.yr then 'prior_year' else 'violation' end as climate_check,
         s.lat, s.lon, s.elev from hist h left join annual a on a.yr = h.yr - 1 left join sites s using (entity_id)""",
+    "signal_rows": f"select *, {SIGNAL} as level from model_rows",
     "windows": """select a.ts, """ + ", ".join(
         f"sum(b.precip) filter (b.ts > a.ts - {n}) as precip_{n}d" for n in (7, 14, 30, 60, 90, 180)) + """,
         sum(case when b.precip > 1 then 1e0 else 0e0 end) filter (b.ts > a.ts - 30) as rain_days_30d,
