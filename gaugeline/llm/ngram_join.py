@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from gaugeline.llm import linking
-from gaugeline.llm.common import small_batches
+from gaugeline.llm.common import add_columns, small_batches
 from gaugeline.llm.textarrays import set_print, shingle_hashes, word_hashes
 from gaugeline.session import durable
 
@@ -284,8 +284,18 @@ def _verifier(sets: DataFrame):
     return verify
 
 
-def classify(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, component_id (the smallest id reachable by links, itself included)."""
+def with_print(df: DataFrame, text: str = "text", out: str = "print") -> DataFrame:
+    """Append the print of every row's shingle set, null for an empty set."""
+
+    def fn(b):
+        return {out: pa.array([set_print(s) if len(s) else None for s in shingle_sets(b.column(text))], pa.binary())}
+
+    return add_columns(df, fn, f"`{out}` binary")
+
+
+def classify(docs: DataFrame, id: str = "doc_id", text: str = "text", detail: bool = False) -> DataFrame:
+    """Per row: id, n_shingles, component_id (the smallest id reachable by links, itself included). detail: also `print` (of the
+    row's set) and `component` (the print that names its class), both null for an empty set."""
     rows = durable(_block_rows(docs, id, text), "blocks")
     some = meeting(durable(_multiply(rows, SHARE, _entries).select("key", "node", "lead"), "entries"))
     active = durable(some.select("node").distinct(), "active")
@@ -296,6 +306,9 @@ def classify(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     comp = linking.link(members, _verifier(sets), _may_link)
     least = classes.join(comp, classes["cls"] == comp["node"], "left").select("cls", "first", F.coalesce("comp", "cls").alias("comp"))
     smallest = least.groupBy("comp").agg(F.min("first").alias("component_id"))
-    by_class = least.join(smallest, "comp").select("cls", "component_id")
-    linked = flat.where("n_shingles > 0").join(by_class, "cls").select(id, "n_shingles", "component_id")
-    return linked.unionByName(flat.where("n_shingles = 0").select(id, "n_shingles", F.col(id).alias("component_id")))
+    by_class = least.join(smallest, "comp").select("cls", "component_id", "comp")
+    linked = flat.where("n_shingles > 0").join(by_class, "cls")
+    alone = flat.where("n_shingles = 0").withColumn("component_id", F.col(id))
+    own = [F.col("cls").alias("print"), F.col("comp").alias("component")] if detail else []
+    none = [F.lit(None).cast("binary").alias(c) for c in ("print", "component")] if detail else []
+    return linked.select(id, "n_shingles", "component_id", *own).unionByName(alone.select(id, "n_shingles", "component_id", *none))
