@@ -23,20 +23,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every class of near duplicates the document with the smallest id stays; rows that repeat an id count as one
-    document, of which one row (the least text by hash) stays. A class without any id keeps its rows without one."""
-    classes = ngram_join.classify(docs.select("doc_id", "text"))
-    gone = classes.where("doc_id is not null and component_id < doc_id").select("doc_id").distinct()
-    own = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(F.struct(F.xxhash64("text").alias("h"), F.length("text").alias("n"))).alias("least"))
-    twice = durable(own.where("rows > 1").join(gone, "doc_id", "left_anti").select("doc_id", "least"), "twice")
-    # Whole texts are shuffled once; again only for the rows of repeated ids, where there are any.
-    kept = docs.join(gone.unionByName(twice.select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
-    if twice.isEmpty():
+    """Of every class of near duplicates one row stays: of its smallest id (null if it has no other), and where that id has several
+    rows in the class, the one of the least print. Rows are told apart by id and text, so a text without a near duplicate stays
+    whatever its id; so do all rows without words."""
+    classes = durable(ngram_join.classify(docs.select("doc_id", "text"), detail=True), "classes")
+    other = F.col("print").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = classes.groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if(other).alias("gone"), F.count("print").alias("sets"))
+    # Ids of one row, or whose rows all go, are decided by id: whole texts are shuffled once.
+    ids = durable(ids.where("gone > 0 or (rows > 1 and sets > 0)"), "ids")
+    own, mark = fresh(docs, "_id"), fresh(docs, "_print")
+    same = F.col("doc_id").eqNullSafe(F.col(own))
+    kept = docs.join(ids.select(F.col("doc_id").alias(own)), same, "left_anti").select(*docs.columns)
+    mixed = ids.where("gone < rows").select(F.col("doc_id").alias(own))
+    if mixed.isEmpty():
         return kept
-    least = fresh(docs, "least")
-    rows = docs.join(twice.withColumnRenamed("least", least), "doc_id")
-    first = rows.where(F.xxhash64("text") == F.col(f"{least}.h")).select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.unionByName(first)
+    # Of ids with several rows the texts are looked at again.
+    rows = ngram_join.with_print(docs.join(mixed, same, "left_semi"), out=mark)
+    first = classes.where(F.col("print").isNotNull() & ~other).groupBy("component").agg(F.min_by(F.struct("doc_id", "print"), "print").alias("s")).select(F.col("s.doc_id").alias(own), F.col("s.print").alias(f"{mark}_"))
+    stay = rows.join(first, same & (F.col(mark) == F.col(f"{mark}_")), "left_semi").dropDuplicates(["doc_id", mark])
+    return kept.unionByName(rows.where(F.col(mark).isNull()).unionByName(stay).select(*docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
