@@ -110,3 +110,17 @@ def test_odd_rows(spark, tmp_path):
         assert f(spark, docs.limit(0), str(tmp_path)).collect() == []
     assert C.quality(spark, docs, str(tmp_path)).count() <= len(rows) and rule_ensemble.THRESHOLD == 0.3
     assert C.encoded(spark, docs, str(tmp_path)).where("not round_trip").count() == 0
+
+
+def test_texts_that_share_an_id_are_told_apart(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (2, a), (2, b), (3, a + " more"), (4, "zz zz zz"), (4, b + a), (None, a), (None, "no id here"), (None, "no id here"), (None, "no  ID here"), (5, ""), (5, None), (5, ""), (6, "w " * 40), (6, "w " * 40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for c in ("_id", "_print", "print", "component", "rows"):
+        df = df.withColumn(c, F.lit("clash"))
+    after = C.near_duplicates(spark, df.repartition(3), "")
+    got = Counter((r.doc_id, r.text) for r in after.collect())
+    assert after.columns == df.columns
+    no_id = [t for (d, t) in got if d is None]
+    assert len(no_id) == 1 and no_id[0].split()[0] == "no"
+    assert Counter({k: v for k, v in got.items() if k[0] is not None}) == Counter([(1, a), (2, b), (4, "zz zz zz"), (4, b + a), (5, ""), (5, ""), (5, None), (6, "w " * 40)])
