@@ -65,11 +65,12 @@ def write(spark: SparkSession, source: str, target: str, shards: int = 16, seed:
     counts = durable(bucket_sizes(table.select(bucket)), "buckets")
     widest = max(1, counts.agg(F.max("n")).first()[0] or 1)
     # The bucket's own numbers, in the order drawn, without those it has no rows for.
-    drawn = counts.join(draws(spark, buckets, widest, seed), "bucket").select(
+    drawn = counts.join(draws(spark, buckets, widest, seed).hint("merge"), "bucket").select(
         "bucket", "before", F.expr(f"transform(filter(order, x -> x - bucket * {widest} < n), x -> int(x - bucket * {widest}))").alias("order"))
     scattered = table.select(bucket, file.alias("file"), place.alias("place"), row).repartition(buckets, "bucket")
     ranked = scattered.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("file", "place")))
-    at = ranked.join(drawn, "bucket").select("row", (F.col("before") + F.element_at("order", F.col("rank"))).alias("at"))
+    # The draws grow with the rows: never a broadcast.
+    at = ranked.join(drawn.hint("merge"), "bucket").select("row", (F.col("before") + F.element_at("order", F.col("rank"))).alias("at"))
     n, k = max(rows, 1), fresh(table, "_shard")
     dealt = at.select("row", "at", F.expr(f"at * {shards} div {n}").alias("shard"))
     out = dealt.select(*(F.col("row").getField(c).alias(c) for c in own), F.expr(f"at - (shard * {n} + {shards - 1}) div {shards}").alias(slot), F.col("shard").cast("int").alias(k))
