@@ -15,6 +15,7 @@ from gaugeline.operators import attribution as A
 from gaugeline.plans.registry import query
 from gaugeline.session import durable, scratch_path
 from gaugeline.streaming import jobs as J
+from gaugeline.streaming import stateful as K
 
 SPACE = ["lat", "lon", "elev"]
 CLIMATE = BLOCKS["b"]
@@ -266,15 +267,26 @@ def _event_files(t, order_key: str, repeat: bool = False):
     return path
 
 
+def _ordered_files(t, rows, order: str, name: str, least: int = 7):
+    """A table as a folder of files that arrive one after the other, each holding a range of `order`: as many micro-batches."""
+    path, files = scratch_path(t.spark, name), least + rows.count() // ROWS_PER_FILE
+    parts = durable(rows.repartitionByRange(files, order).withColumn("_part", F.spark_partition_id()), name)
+    for i in range(files):
+        parts.where(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def _drain(q):
     q.awaitTermination()
 
 
 @query("stream_ingest_readings", "select event_id, ts, user_id, value from events where user_id is not null and value is not null", "value")
 def _(t):
-    """Files hold ranges of event time, so two days of keys are all that the de-duplication remembers."""
-    src, out, ck = _event_files(t, "ts", repeat=True), scratch_path(t.spark, "ingested"), scratch_path(t.spark, "ck")
-    _drain(J.append_sink(J.ingest_readings(J.file_stream(t.spark, src, EV_DDL, files_per_trigger=1000), delay="2 days"), out, ck))
+    """Files hold ranges of event time and come one a micro-batch, a tenth of the rows twice, so state is kept across batches: two days
+    of keys are all that the de-duplication remembers."""
+    e = t.raw("events")
+    src, out, ck = _ordered_files(t, e.unionByName(e.where("event_id % 10 = 3")), "ts", "events"), scratch_path(t.spark, "ingested"), scratch_path(t.spark, "ck")
+    _drain(J.append_sink(J.ingest_readings(J.file_stream(t.spark, src, EV_DDL), delay="2 days"), out, ck))
     return t.spark.read.parquet(out).select("event_id", "ts", "user_id", "value")
 
 
@@ -288,12 +300,39 @@ def _(t):
 
 @query("stream_daily_rollup", """select cast(ts as date) as day, count(*) as n, sum(value) as total, min(value) as v_min, max(value) as v_max from events group by 1""", "total v_min v_max", digits=4)
 def _(t):
-    """Closed and open days: update mode, merged on reading."""
-    src, out, ck = _event_files(t, "ts"), scratch_path(t.spark, "daily"), scratch_path(t.spark, "ck")
-    _drain(J.state_sink(J.daily_rollup(J.file_stream(t.spark, src, EV_DDL, files_per_trigger=1000)), out, ck))
+    """Closed and open days over several micro-batches: update mode, merged on reading."""
+    src, out, ck = _ordered_files(t, t.raw("events"), "ts", "events"), scratch_path(t.spark, "daily"), scratch_path(t.spark, "ck")
+    _drain(J.state_sink(J.daily_rollup(J.file_stream(t.spark, src, EV_DDL)), out, ck))
     return J.merged(t.spark, out, ["day"])
 
 
+@query("stream_site_watch", """select user_id, arg_max(value, (ts, event_id)) as latest_value, max(ts) as latest_ts, count(*) as n,
+       case when max(ts) + interval 36 hour <= (select max(ts) from events where user_id is not null) then 1::bigint else 0::bigint end as stale from events where user_id is not null and ts is not null group by user_id""", "latest_value")
+def _(t):
+    """Keyed state with timers: a site turns stale when the watermark passes 36 hours of silence."""
+    src, out, ck = _ordered_files(t, t.raw("events"), "ts", "events"), scratch_path(t.spark, "watch"), scratch_path(t.spark, "ck")
+    with K.keyed_store(t.spark):
+        _drain(J.state_sink(K.watch_sites(J.file_stream(t.spark, src, EV_DDL), 1.5), out, ck))
+    return J.merged(t.spark, out, ["user_id"])
+
+
+@query("stream_weather_join", """with r as (select o_orderkey as row_id, o_custkey % 7 + 1 as station, cast(o_orderdate as date) as ts from orders),
+       w as (select l_linenumber::bigint as station, cast(l_shipdate as date) as ts, greatest(cast(sum(l_quantity) as bigint) % 10 - 5, 0) * 1e0 as precip from lineitem group by 1, 2)
+       select r.row_id, w.ts as weather_ts, w.precip from r left join w on w.station = r.station and w.ts >= r.ts - interval 2 day and w.ts < r.ts""", "precip")
+def _(t):
+    """Readings and the weather of the two days before, both as streams; readings without any are there too. A heartbeat at the end
+    of each stream moves the watermark past the last reading."""
+    readings = t.readings.select("row_id", (F.col("entity_id") % 7 + 1).alias("station"), F.col("ts").cast("timestamp").alias("ts"))
+    weather = t.station_daily.select("station", F.col("ts").cast("timestamp").alias("ts"), "precip")
+    beat = lambda d, *cols: d.agg(F.max("ts").alias("m")).select(*[F.lit(None).cast(d.schema[c].dataType).alias(c) for c in cols], F.expr("m + interval 1000 days").alias("ts"))
+    a = _ordered_files(t, readings.unionByName(beat(readings, "row_id", "station")), "ts", "readings")
+    b = _ordered_files(t, weather.unionByName(beat(weather, "station", "precip")), "ts", "weather")
+    out, ck = scratch_path(t.spark, "joined"), scratch_path(t.spark, "ck")
+    left, right = J.file_stream(t.spark, a, "row_id bigint, station bigint, ts timestamp"), J.file_stream(t.spark, b, "station bigint, ts timestamp, precip double")
+    _drain(J.append_sink(K.with_weather(left, right, 2, ["row_id"], ["precip"]), out, ck))
+    return t.spark.read.parquet(out).where("row_id is not null").select("row_id", F.to_date("weather_ts").alias("weather_ts"), "precip")
+
+
 @query("history_incremental", "select row_id, prev_value, prior_count from hist where yr >= 2000", "prev_value")
 def _(t):
     """Features of newly arrived readings from the day table of the old ones plus the new days: the old readings are
