@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gaugeline.config import BANNED
@@ -35,17 +35,30 @@ def schema_gates(df: DataFrame, features: list[str], target: str) -> DataFrame:
         F.struct(F.lit(k).alias("gate"), F.lit(v).cast("bigint").alias("violations")) for k, v in checks.items()])))
 
 
-def history_gates(rows: DataFrame, entity="entity_id", ts="ts", value="value") -> DataFrame:
+def write_checked(df: DataFrame, path: str, checks: list[tuple[str, F.Column]]) -> DataFrame:
+    """Write a table and count its gates in the same job, on the rows as they pass: the report of `counted`, without a scan of its own.
+    The counts are an `Observation`, a row whatever the table."""
+    seen = Observation("gates")
+    df.observe(seen, F.count(F.lit(1)).alias("_rows"), *[c for _, c in checks]).write.parquet(path)
+    got = seen.get
+    return df.sparkSession.createDataFrame([(n, int(got[n] or 0)) for n, _ in checks], "gate string, violations bigint")
+
+
+def history_gates(rows: DataFrame) -> DataFrame:
     """Row-level gates of a history table."""
+    return counted(rows, history_checks())
+
+
+def history_checks() -> list[tuple[str, F.Column]]:
     c = F.col
-    return counted(rows, [
+    return [
         _count("gap_positive", c("gap_days") <= 0),
         _count("cold_start_nulls", (c("prior_count") == 0) & (c("prev_value").isNotNull() | c("gap_days").isNotNull() | c("hist_mean").isNotNull())),
         _count("warm_has_previous", (c("prior_count") > 0) & c("prev_value").isNull()),
         _count("history_bounds", (c("hist_min") > c("prev_value")) | (c("hist_max") < c("prev_value"))),
         _count("density_bounds", (c("density") < 0) | (c("density") * 3 > c("prior_count") + 1e-9)),
         _count("flag_order", c("very_long_gap") > c("long_gap")),
-    ])
+    ]
 
 
 def fidelity_gates(rows: DataFrame, readings: DataFrame, entity="entity_id", ts="ts", value="value") -> DataFrame:
@@ -68,13 +81,17 @@ def fidelity_gates(rows: DataFrame, readings: DataFrame, entity="entity_id", ts=
 
 
 def covariate_gates(rows: DataFrame) -> DataFrame:
+    return counted(rows, covariate_checks(rows.columns))
+
+
+def covariate_checks(columns: list[str]) -> list[tuple[str, F.Column]]:
     c = F.col
     checks = []
-    if "climate_year" in rows.columns:
+    if "climate_year" in columns:
         checks += [_count("climate_prior_year", c("climate_year") != c("yr") - 1)]
-    if "cutoff" in rows.columns:
+    if "cutoff" in columns:
         checks += [_count("cutoff_before_date", c("cutoff") >= c("ts"))]
-    return counted(rows, checks)
+    return checks
 
 
 def split_gates(assignment: DataFrame, entity="entity_id", split="split", keys: list[str] | None = None) -> DataFrame:
@@ -92,14 +109,41 @@ def temporal_gate(rows: DataFrame, split="split", ts="ts") -> DataFrame:
 
 
 def weight_gates(rows: DataFrame) -> DataFrame:
+    return counted(rows, weight_checks())
+
+
+def weight_checks() -> list[tuple[str, F.Column]]:
     w = [F.col(f"w_{b}") for b in "abcd"]
     total = reduce(lambda a, b: a + b, w)
-    return counted(rows, [
+    return [
         _count("weights_sum_to_one", F.abs(total - 1) > 1e-9),
         _count("empty_block_weight_zero", F.col("w_d") != 0),
         _count("weights_in_unit_interval", reduce(lambda a, b: a | b, [(x < 0) | (x > 1) | x.isNull() for x in w])),
         _count("availability_in_unit_interval", reduce(lambda a, b: a | b, [(F.col(f"avail_{b}") < 0) | (F.col(f"avail_{b}") > 1) for b in "abcd"])),
-    ])
+    ]
+
+
+def partition_gates(split: DataFrame, entity="entity_id", part="split") -> DataFrame:
+    """Calibration and test share no entity, and no part lacks one."""
+    per = split.groupBy(entity).agg(F.count_if(F.col(part) == "calibration").alias("_c"), F.count_if(F.col(part) == "test").alias("_t"))
+    both = counted(per, [_count("calibration_test_disjoint", (F.col("_c") > 0) & (F.col("_t") > 0))])
+    n = split.agg(*[F.countDistinct(F.when(F.col(part) == p, F.col(entity))).alias(p) for p in ("train", "calibration", "test")])
+    return both.unionByName(_rows(n.select(sum(F.when(F.col(p) == 0, 1).otherwise(0) for p in ("train", "calibration", "test")).alias("parts_filled")), ["parts_filled"]))
+
+
+def cluster_gates(rows: DataFrame, entity="entity_id", cluster="cluster") -> DataFrame:
+    """Every entity lies in one cluster, so holding out a cluster holds out whole entities."""
+    per = rows.groupBy(entity).agg(F.min(cluster).alias("_a"), F.max(cluster).alias("_b"), F.count_if(F.col(cluster).isNull()).alias("_n"))
+    return counted(per, [_count("cluster_isolation", (F.col("_a") != F.col("_b")) | (F.col("_n") > 0))])
+
+
+def second_lag_gates(rows: DataFrame, readings: DataFrame, entity="entity_id", ts="ts", value="value") -> DataFrame:
+    """The claimed second-last level is the mean of the day before the previous day: found again by the previous day's own claim."""
+    per_day = rows.groupBy(entity, ts).agg(F.max("prev_value").alias("_p1"), F.max("prev2_value").alias("_p2"), F.max("gap_days").alias("_g"))
+    claim = per_day.withColumn("_pt", F.date_sub(ts, F.col("_g").cast("int")))
+    earlier = per_day.select(entity, F.col(ts).alias("_pt"), F.col("_p1").alias("_expected"))
+    j = claim.join(earlier, [entity, "_pt"], "left")
+    return counted(j, [_count("second_lag_matches", F.col("_g").isNotNull() & (~F.col("_p2").eqNullSafe(F.col("_expected"))) & (F.coalesce(F.abs(F.col("_p2") - F.col("_expected")), F.lit(1.0)) > 1e-9))])
 
 
 def interval_gates(rows: DataFrame, low="lower_90", high="upper_90", wide_low="lower_95", wide_high="upper_95") -> DataFrame:

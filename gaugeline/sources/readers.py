@@ -49,6 +49,34 @@ def coerce_date(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).try_cast("date") for c in cols})
 
 
+#: What makes a line or a cell bad.
+BAD_LINE, BAD_CELL = "number of fields", "not a {}"
+
+
+def scan_csv_quarantine(spark: SparkSession, path: str, ddl: str) -> tuple[DataFrame, DataFrame]:
+    """Headered CSV read line by line: (rows, quarantine). A line with another number of fields than the schema goes to the quarantine
+    whole; a cell that is not of its column's type becomes null in its row, and goes there by itself. The quarantine tells
+    file, block, line, column (null for a whole line), cell and reason. Rows and quarantined lines add up to all data lines. Lines
+    are told apart by shape, so files stay splittable; the header is the line of the column names. Empty cells are missing, not bad;
+    blank lines are no lines. Quoted fields may hold commas, not line breaks."""
+    kinds = spark.createDataFrame([], ddl).schema
+    names = [f.name for f in kinds]
+    text = spark.read.text(path)
+    lines = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    data = lines.where((F.trim("value") != "") & (F.trim(F.translate("value", '" ', "")) != F.lit(",".join(names))))
+    # As many commas outside quotes as the schema has, so the line parses into its fields.
+    fields = F.regexp_count(F.regexp_replace("value", r'"([^"]|"")*"', ""), F.lit(",")) + 1
+    cells = F.from_csv("value", ", ".join(f"`{n}` string" for n in names), {"mode": "PERMISSIVE", "escape": '"', "emptyValue": ""})
+    whole = data.where(fields == len(names)).select("value", "file", "block", cells.alias("c"))
+    given = lambda f: F.when(F.trim(F.col(f"c.`{f.name}`")) != "", F.trim(F.col(f"c.`{f.name}`")))
+    typed = lambda f: given(f) if f.dataType.typeName() == "string" else given(f).try_cast(f.dataType)
+    rows = whole.select(*[typed(f).alias(f.name) for f in kinds])
+    bad = F.filter(F.array(*[F.struct(F.lit(f.name).alias("column"), given(f).alias("cell"), F.lit(BAD_CELL.format(f.dataType.simpleString())).alias("reason"), (given(f).isNotNull() & typed(f).isNull()).alias("is")) for f in kinds]), lambda x: x["is"])
+    wrong = whole.select("file", "block", F.col("value").alias("line"), F.inline(bad)).drop("is")
+    short = data.where(fields != len(names)).select("file", "block", F.col("value").alias("line"), F.lit(None).cast("string").alias("column"), F.lit(None).cast("string").alias("cell"), F.lit(BAD_LINE).alias("reason"))
+    return rows, short.unionByName(wrong)
+
+
 def year_doy_to_date(year, doy) -> F.Column:
     return F.date_add(F.make_date(year, F.lit(1), F.lit(1)), F.col(doy) - 1)
 
