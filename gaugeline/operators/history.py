@@ -97,20 +97,21 @@ def row_lag_features(readings: DataFrame, entity="entity_id", ts="ts", value="va
                      long_days: float = 365.0) -> DataFrame:
     """Row-grain lags ordered by (day, row id) and kept inside the entity.
 
-    Readings are cut into segments (entity, day, slice of row ids). Each segment is windowed alone; its row count and
-    its last three readings are carried to the following segments over a table with one row per segment. So neither a
-    hot entity nor a hot day is ever sorted in one task."""
-    seg = [entity, ts, "_s"]
-    rows = ordered.id_slices(readings, row_id, "_s")
+    The order (entity, day, row id) is cut into ranges of counted size; a segment is an entity's part of a range. Each segment
+    is windowed alone; its row count and its last three readings are carried to the entity's following segments over a table with
+    one row per segment: a row an entity, and one more for each cut inside it. So neither a hot entity nor a hot day is ever
+    sorted in one task, wherever its ids lie."""
+    seg = [entity, "_s"]
+    rows = ordered.counted_segments(readings, [entity, ts, row_id], "_s")
     cell = F.struct(F.col(ts).alias("d"), F.col(value).alias("v"))
-    w = Window.partitionBy(*seg).orderBy(row_id)
+    w = Window.partitionBy(*seg).orderBy(ts, row_id)
     rows = (rows.withColumn("_rn", F.row_number().over(w))
             .withColumn("_near", F.filter(F.array(*[F.lag(cell, k).over(w) for k in (3, 2, 1)]), lambda x: x.isNotNull())))
     # the tail of a segment: its last row plus that row's up to two predecessors
     top = (rows.groupBy(*seg)
-           .agg(F.count(F.lit(1)).alias("_sn"), F.max_by(F.struct("_near", cell.alias("_cur")), F.col(row_id)).alias("_x"))
+           .agg(F.count(F.lit(1)).alias("_sn"), F.max_by(F.struct("_near", cell.alias("_cur")), F.struct(ts, row_id)).alias("_x"))
            .withColumn("_tail", F.concat("_x._near", F.array("_x._cur"))).drop("_x"))
-    o = Window.partitionBy(entity).orderBy(ts, "_s")
+    o = Window.partitionBy(entity).orderBy("_s")
     empty = F.slice(F.col("_tail"), 1, 0)
     carry = top.select(
         *seg, F.coalesce(F.sum("_sn").over(o.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from gaugeline.functions.scalars import col, keyed_text, portable_hash
 from gaugeline.session import durable
 
-IDS_PER_SLICE = 1 << 20
+SEGMENT_ROWS = 1 << 20         # rows of an ordered cut
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -41,12 +41,26 @@ def value_counts(df: DataFrame, value, keys: list[str]) -> DataFrame:
     return df.where(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
 
 
+def _coarse(f: Column) -> Column:
+    """An order-preserving whole number of a single-precision value: its sign, power of two and the top four bits of its mantissa;
+    some ten thousand values at most."""
+    size = F.abs(f.cast("double"))
+    e = F.floor(F.log2(size))
+    place = F.lit(16) * e + F.floor(size / F.pow(F.lit(2.0), e.cast("double")) * 16) + 2984
+    return F.when(size == 0, F.lit(0)).when(size == float("inf"), F.signum(f) * 9000).otherwise(F.signum(f) * place).cast("int")
+
+
 def _buckets(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, _f (bucket), _st (rows before it), _c (rows in it), n (rows of the group)."""
-    cells = counts.groupBy(*keys, F.col("_v").cast("float").alias("_f")).agg(F.sum("_n").alias("_c"))
-    w = Window.partitionBy(*keys)
-    before = w.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
-    return cells.select(*keys, "_f", "_c", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_st"), F.sum("_c").over(w).alias("n"))
+    """keys, _f (bucket), _st (rows before it), _c (rows in it), n (rows of the group). Running counts go over coarse buckets first, a
+    few thousand a group, and then over the buckets of each coarse one, so no task runs over all buckets of a group."""
+    cells = counts.groupBy(*keys, F.col("_v").cast("float").alias("_f")).agg(F.sum("_n").alias("_c")).withColumn("_g", _coarse(F.col("_f")))
+    every = Window.partitionBy(*keys)
+    upto = Window.unboundedPreceding
+    outer = cells.groupBy(*keys, "_g").agg(F.sum("_c").alias("_oc"))
+    outer = outer.select(*keys, "_g", F.coalesce(F.sum("_oc").over(every.orderBy("_g").rowsBetween(upto, -1)), F.lit(0)).alias("_ost"), F.sum("_oc").over(every).alias("n"))
+    inner = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys, "_g").orderBy("_f").rowsBetween(upto, -1)), F.lit(0))
+    both = null_safe_join(cells.withColumn("_ist", inner), outer, [*keys, "_g"])
+    return both.select(*keys, "_f", "_c", (F.col("_ost") + F.col("_ist")).alias("_st"), "n")
 
 
 def _select(df: DataFrame, value, targets: dict[str, str], keys: list[str]) -> DataFrame:
@@ -106,9 +120,11 @@ def average_rank(df: DataFrame, value: str, out: str, keys: list[str] | None = N
     return null_safe_join(df.withColumn("_rv", number(value)), table, [*keys, "_rv"], "left").drop("_rv")
 
 
-def id_slices(df: DataFrame, row_id: str, out: str) -> DataFrame:
-    """Order-preserving cut of an integer key into slices of at most IDS_PER_SLICE ids, wherever the ids lie."""
-    return df.withColumn(out, F.floor(F.col(row_id) / F.lit(IDS_PER_SLICE)).cast("bigint"))
+def counted_segments(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Cut the rows, in the given order, into ranges of about SEGMENT_ROWS, numbered in `out`: however the values lie, a range holds a
+    counted share of the rows. Written, so that the cut stays the same for every later pass."""
+    ranges = max(1, -(-df.count() // SEGMENT_ROWS))
+    return durable(df.repartitionByRange(ranges, *order).withColumn(out, F.spark_partition_id()), "segments")
 
 
 def hash_rank(ids: DataFrame, key: str, salt: Column | str, keys: list[str] | None = None,

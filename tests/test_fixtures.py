@@ -159,13 +159,14 @@ def test_row_lags_keep_null_keys(spark):
     assert {r.row_id: (r.lag1, r.prior_rows) for r in got.collect()} == want
 
 
-def test_row_lags_hot_day(spark):
+def test_row_lags_hot_day(spark, monkeypatch):
     """One entity and one day hold a third of the rows."""
     rnd = random.Random(3)
     rows = [("H", D(2001, 1, 1), float(rnd.randrange(50))) for _ in range(700)] + [
         (f"E{rnd.randrange(20)}", D(2001, 1, 1) + dt.timedelta(rnd.randrange(90)), float(rnd.randrange(50))) for _ in range(1400)]
     r = readings(spark, rows)
     cols = ("lag1", "lag2", "gap_days", "prior_rows", "roll3_rows_mean")
+    monkeypatch.setattr(ordered, "SEGMENT_ROWS", 100)
     a = by_row(history.row_lag_features(r), *cols)
     seen, want = {}, {}
     for i, (e, d, v) in sorted(enumerate(rows), key=lambda x: (x[1][0], x[1][1], x[0])):
@@ -178,6 +179,30 @@ def test_row_lags_hot_day(spark):
         assert a[i] == pytest.approx(w)
 
 
+def test_segments_of_one_entity_with_spread_ids(spark, monkeypatch):
+    """Ids far apart on thirty days: ranges of counted size, not one per row."""
+    monkeypatch.setattr(ordered, "SEGMENT_ROWS", 500)
+    d = spark.range(5000).selectExpr("xxhash64(id) as row_id", "'e' as entity_id", "date_add(date'2001-01-01', cast(id % 30 as int)) as ts", "id * 1d as value")
+    cut = ordered.counted_segments(d, ["entity_id", "ts", "row_id"], "s").groupBy("s").agg(F.count("*").alias("n"), F.min(F.struct("ts", "row_id")).alias("a"), F.max(F.struct("ts", "row_id")).alias("b")).orderBy("s").collect()
+    assert 5 <= len(cut) <= 10 and max(r.n for r in cut) < 1500 and sum(r.n for r in cut) == 5000 and all(x.b < y.a for x, y in zip(cut, cut[1:]))
+    got = history.row_lag_features(d).select("row_id", "prior_rows", "lag1").collect()
+    order = sorted(got, key=lambda r: r.prior_rows)
+    value = {r.row_id: r.value for r in d.collect()}
+    assert [r.prior_rows for r in order] == list(range(5000)) and all(y.lag1 == value[x.row_id] for x, y in zip(order, order[1:]))
+
+
+def test_coarse_buckets_keep_the_order(spark):
+    rnd = random.Random(4)
+    vs = sorted({0.0, -0.0, 1.0, 2.0, -2.0, 1e-45, -1e-45, 3.4e38, -3.4e38, float("inf"), float("-inf"), *(s * 2.0 ** e * (1 + k / 16) for s in (1, -1) for e in range(-149, 128, 9) for k in (0, 1, 15)), *(rnd.gauss(0, 10 ** rnd.randrange(-30, 30)) for _ in range(500))})
+    g = [r.g for r in spark.createDataFrame([(v,) for v in vs], "v double").coalesce(1).select(F.col("v"), ordered._coarse(F.col("v").cast("float")).alias("g")).orderBy("v").collect()]
+    assert g == sorted(g) and None not in g
+    d = spark.createDataFrame([(v, i % 3) for i, v in enumerate(vs)], "v double, k int")
+    for keys in ([], ["k"]):
+        for r in ordered.value_at_rank(d, "v", {f"r{i}": str(i) for i in (1, 50, 150, 200)}, keys).collect():
+            own = [v for i, v in enumerate(vs) if not keys or i % 3 == r.k]
+            assert [r[f"r{i}"] for i in (1, 50, 150, 200)] == [own[i - 1] if i <= len(own) else None for i in (1, 50, 150, 200)]
+
+
 def _hav(a, b):
     la1, lo1, la2, lo2 = map(math.radians, (*a, *b))
     h = math.sin((la2 - la1) / 2) ** 2 + math.cos(la1) * math.cos(la2) * math.sin((lo2 - lo1) / 2) ** 2
