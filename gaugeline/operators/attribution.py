@@ -120,6 +120,10 @@ def rows_at_positions(df: DataFrame, order: str, key: str, positions: dict[str,
     out = None
     for name, rank in positions.items():
         n, v = vals["n"], vals[name]
+        if v is None:                          # no rows
+            none = df.limit(0).withColumn("prototype", F.lit(name))
+            out = none if out is None else out.unionByName(none)
+            continue
         r = df.sparkSession.range(1).select(F.expr(rank.replace("n", str(n))).cast("bigint")).first()[0]
         below = df.where(F.col(order) < F.lit(v)).count()
         ties = df.where(F.col(order) == F.lit(v))
@@ -137,3 +141,15 @@ def positional_prototypes(df: DataFrame, error: str, level: str, key: str) -> Da
         d = df.orderBy(o, key).limit(1).withColumn("prototype", F.lit(name))
         ends = d if ends is None else ends.unionByName(d)
     return mid.unionByName(ends)
+
+
+def regime_prototypes(df: DataFrame, error: str, level: str, key: str, cohort: str, values: tuple = ("warm", "cold")) -> DataFrame:
+    """The middle and the 95 % row by error of every cohort, and the shallowest and deepest row of all; a cohort without rows has
+    none."""
+    out = None
+    for v in values:
+        own = rows_at_positions(df.where(F.col(cohort) == v), error, key, {f"median_{v}": "floor(n / 2) + 1", f"p95_{v}": "floor(n * 0.95) + 1"})
+        out = own if out is None else out.unionByName(own)
+    for name, o in (("shallowest", F.asc(level)), ("deepest", F.desc(level))):
+        out = out.unionByName(df.orderBy(o, key).limit(1).withColumn("prototype", F.lit(name)))
+    return out

@@ -33,22 +33,22 @@ def sentinel_counts(df: DataFrame, cols=DAILY_VARIABLES, code: float = -990.0) -
     return df.agg(*[F.count_if(F.col(c) <= code).alias(f"{c}_codes") for c in cols])
 
 
-def annual_weather(daily: DataFrame) -> DataFrame:
-    """Yearly means and the yearly precipitation total; a year of nulls totals 0."""
-    return daily.groupBy(F.year("ts").alias("yr")).agg(
+def annual_weather(daily: DataFrame, station: str | None = None) -> DataFrame:
+    """Yearly means and the yearly precipitation total, of each station; a year of nulls totals 0."""
+    return daily.groupBy(*_keys(station), F.year("ts").alias("yr")).agg(
         F.avg("temp").alias("temp_mean"), F.coalesce(F.sum("precip"), F.lit(0.0)).alias("precip_total"),
         F.avg("rh").alias("rh_mean"), F.avg("wind").alias("wind_mean"), F.avg("solar").alias("solar_mean"))
 
 
-def join_year(df: DataFrame, annual: DataFrame) -> DataFrame:
-    """Same-year covariates. One row per year: bounded by the calendar, so broadcast is safe at any data size."""
-    return df.join(F.broadcast(annual), "yr", "left")
+def join_year(df: DataFrame, annual: DataFrame, station: str | None = None) -> DataFrame:
+    """Same-year covariates, of the row's own station."""
+    return _look_up(df, annual, ["yr"], station)
 
 
-def join_prior_year(df: DataFrame, annual: DataFrame, cols=("temp_mean", "precip_total", "rh_mean", "wind_mean", "solar_mean")) -> DataFrame:
-    """Strictly year Y-1; absent years give nulls and `climate_available` 0."""
-    lagged = annual.select((F.col("yr") + 1).alias("yr"), F.col("yr").alias("climate_year"), *cols)
-    out = df.join(F.broadcast(lagged), "yr", "left")
+def join_prior_year(df: DataFrame, annual: DataFrame, cols=("temp_mean", "precip_total", "rh_mean", "wind_mean", "solar_mean"), station: str | None = None) -> DataFrame:
+    """Strictly year Y-1, of the row's own station; absent years give nulls and `climate_available` 0."""
+    lagged = annual.select(*_keys(station), (F.col("yr") + 1).alias("yr"), F.col("yr").alias("climate_year"), *cols)
+    out = _look_up(df, lagged, ["yr"], station)
     ok = F.when(F.col("climate_year").isNull(), "missing").when(F.col("climate_year") < F.col("yr"), "prior_year").otherwise("violation")
     return (out.withColumn("climate_available", F.when(F.col("climate_year").isNotNull(), 1.0).otherwise(0.0))
             .withColumn("climate_check", ok))
@@ -125,21 +125,23 @@ def previous_date(df: DataFrame, entity="entity_id", ts="ts") -> DataFrame:
     return df.join(days, [entity, ts], "left")
 
 
-def weather_variable_audit(daily: DataFrame, cols=DAILY_VARIABLES, code: float = -990.0) -> DataFrame:
-    """Per variable: row, code and null counts and the range of the valid values. Median comes from `quantiles`."""
-    long = daily.unpivot([], cols, "variable", "v")
+def weather_variable_audit(daily: DataFrame, cols=DAILY_VARIABLES, code: float = -990.0, station: str | None = None) -> DataFrame:
+    """Per variable, and station: row, code and null counts and the range of the valid values. Median comes from `quantiles`."""
+    k = _keys(station)
+    long = daily.unpivot(k, cols, "variable", "v")
     ok = F.when(F.col("v") > code, F.col("v"))
-    return long.groupBy("variable").agg(
+    return long.groupBy(*k, "variable").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") <= code).alias("codes"),
         F.count_if(F.col("v").isNull()).alias("nulls"), F.min(ok).alias("v_min"), F.avg(ok).alias("v_mean"),
         F.median(ok).alias("v_median"), F.max(ok).alias("v_max"))
 
 
-def weather_coverage(readings: DataFrame, daily: DataFrame) -> DataFrame:
-    """Share of distinct reading dates that have a weather row."""
-    dates = readings.select("ts").distinct()
-    side = daily.select("ts", F.lit(1.0).alias("hit"))
-    return dates.join(F.broadcast(side), "ts", "left").agg(
+def weather_coverage(readings: DataFrame, daily: DataFrame, station: str | None = None) -> DataFrame:
+    """Share of distinct reading dates, of each station, that have a weather row; a date counts once however many rows it has."""
+    k = _keys(station)
+    dates = readings.select(*k, "ts").distinct()
+    side = daily.select(*k, "ts").distinct().withColumn("hit", F.lit(1.0))
+    return _look_up(dates, side, ["ts"], station).groupBy(*k).agg(
         F.count(F.lit(1)).alias("dates"), F.sum(F.coalesce("hit", F.lit(0.0))).cast("bigint").alias("covered"),
         (100 * F.avg(F.coalesce("hit", F.lit(0.0)))).alias("covered_pct"))
 

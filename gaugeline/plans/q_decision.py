@@ -3,11 +3,13 @@
 from pyspark.sql import functions as F
 
 from gaugeline.operators import attribution as A
+from gaugeline.operators import clusters as K
 from gaugeline.operators import decision as D
 from gaugeline.operators import ordered
 from gaugeline.operators import profile as P
 from gaugeline.operators import proximity as N
 from gaugeline.operators import uncertainty as U
+from gaugeline.plans.q_models import KMEANS_SQL
 from gaugeline.plans.registry import query
 from gaugeline.session import durable
 
@@ -155,6 +157,34 @@ def _(t):
     return back.select("prototype", "row_id", names("positive"), names("negative"))
 
 
+SIX = """with o as (select row_id, y_true, cohort, abs(y_pred - y_true) as ae from plog where model = 'm1'),
+       c as (select *, row_number() over (partition by cohort order by ae, row_id) as k, count(*) over (partition by cohort) as n from o),
+       x as (select 'median_' || cohort as prototype, row_id, ae, y_true, cohort from c where k = n // 2 + 1 union all select 'p95_' || cohort, row_id, ae, y_true, cohort from c where k = floor(n * 0.95) + 1
+             union all (select 'shallowest', row_id, ae, y_true, cohort from o order by y_true, row_id limit 1) union all (select 'deepest', row_id, ae, y_true, cohort from o order by y_true desc, row_id limit 1))"""
+
+
+def _six(t):
+    d = t.prediction_log.where("model = 'm1'").select("row_id", "y_true", "cohort", F.abs(F.col("y_pred") - F.col("y_true")).alias("ae"))
+    return A.regime_prototypes(durable(d, "errors"), "ae", "y_true", "row_id", "cohort")
+
+
+@query("regime_prototypes", SIX + " select * from x", "ae y_true")
+def _(t):
+    """Six cases: middle and hard rows of warm and of cold sites, the two extreme levels."""
+    return _six(t).select("prototype", "row_id", "ae", "y_true", "cohort")
+
+
+@query("regime_explanations", SIX + f""", l as (select prototype, cohort, x.row_id, unnest(['prior_count', 'density', 'long_gap']) as feature, unnest([a, b, c]) as shap from x join {LIN} l on l.row_id = x.row_id)
+       select prototype, cohort, row_id, coalesce(array_to_string(list(feature order by shap desc, feature) filter (shap > 0), ','), '') as positive, coalesce(array_to_string(list(feature order by shap, feature) filter (shap < 0), ','), '') as negative from l group by all""")
+def _(t):
+    """The six cases with their ordered contributions."""
+    p = _six(t).select("prototype", "cohort", "row_id")
+    a = A.linear_attribution(t.history, COEF, 10.0, ["row_id"])
+    top = A.top_contributors(a.join(F.broadcast(p.select("row_id").distinct()), "row_id", "left_semi"), 5, "row_id")     # six rows
+    named = lambda k: F.concat_ws(",", F.transform(k, lambda x: x["feature"])).alias(k)
+    return p.join(top, "row_id").select("prototype", "cohort", "row_id", named("positive"), named("negative"))
+
+
 # index, scenarios, tiers ----------------------------------------------------------------------------------------------
 
 MO, DE = D.MOISTURE_INPUTS, D.DEMAND_INPUTS
@@ -238,14 +268,14 @@ def _(t):
     return d.groupBy("scenario").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("entity_id").alias("sites"))
 
 
-def _matrix(t):
+def _matrix(t, width_limit=1000.0):
     ref = t.response.where("yr <= 1998")
     latest = durable(D.potential_index(_latest(t), ref), "latest")      # one row per site, read five times below
     cal = t.prediction_log.where("split = 'validation' and model = 'm1'")
     cut = U.conformal_cutoff(cal, F.abs(F.col("y_pred") - F.col("y_true")), {"q90": .1})
     near = N.nearest_km(latest, latest.where("prior_count > 0"))
     med = ordered.quantiles(latest.where("prior_count = 0"), "rrpi", {"rrpi_median": .5})
-    return D.decision_tiers(latest, cut, near, med, width_limit=1000.0)
+    return D.decision_tiers(latest, cut, near, med, width_limit=width_limit)
 
 
 MD = "lat lon elev gap_days predicted_delta lower_90 upper_90 width_90 rrpi nearest_km"
@@ -256,6 +286,22 @@ def _(t):
     return _matrix(t).drop("action")
 
 
+def _action(c):
+    return "case " + " ".join(f"when {c} = '{name}' then '{what}'" for name, what in D.TIERS.values()) + " end"
+
+
+@query("decision_actions", f"select entity_id, cluster, tier, {_action('tier')} as action from matrix join clustered using (entity_id)", extra={**X, **KMEANS_SQL})
+def _(t):
+    """Tier, action and spatial cluster of every site."""
+    return _matrix(t).join(K.kmeans(t.sites), "entity_id").select("entity_id", "cluster", "tier", "action")
+
+
+@q("decision_tiers_wide", f"select entity_id, status, width_90, case when status = 'warm' then '{D.TIERS[4][0]}' else tier end as tier from matrix", "width_90", digits=3)
+def _(t):
+    """A width limit that the intervals exceed: every warm site is uncertain."""
+    return _matrix(t, 10.0).select("entity_id", "status", "width_90", "tier")
+
+
 def _view(t):
     return D.well_decision_view(_matrix(t), t.readings, t.predictions, ["m1", "m2", "m3"])
 

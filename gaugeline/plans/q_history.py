@@ -155,6 +155,31 @@ def _(t):
     return weather.join_prior_day_windows(_at_station(t.readings), weather.rolling_day_windows(t.station_daily, station="station"), ["precip_30d"], station="station").select("row_id", "cutoff", "precip_30d")
 
 
+@query("annual_weather_by_station", f"select station, year(ts)::bigint as yr, avg(temp) as temp_mean, sum(precip) as precip_total from {STATIONS} group by 1, 2", "temp_mean precip_total")
+def _(t):
+    return weather.annual_weather(t.station_daily, station="station").select("station", "yr", "temp_mean", "precip_total")
+
+
+@query("join_prior_year_by_station", f"""with a as (select station, year(ts) as yr, sum(precip) as precip_total from {STATIONS} group by 1, 2)
+       select r.row_id, a.precip_total, case when a.yr is null then 0e0 else 1e0 end as climate_available from readings r left join a on a.station = r.row_id % 7 + 1 and a.yr = r.yr - 1""", "precip_total")
+def _(t):
+    """Last year's total of the reading's own station: not added up over stations."""
+    annual = weather.annual_weather(t.station_daily, station="station")
+    return weather.join_prior_year(_at_station(t.readings), annual, ["precip_total"], station="station").select("row_id", "precip_total", "climate_available")
+
+
+@query("weather_coverage_by_station", f"""select station, count(*) as dates, count(d) as covered, 100e0 * count(d) / count(*) as covered_pct from (select distinct row_id % 7 + 1 as station, ts from readings) r
+       left join (select distinct station, ts, 1 as d from {STATIONS}) s using (station, ts) group by 1""", "covered_pct")
+def _(t):
+    return weather.weather_coverage(_at_station(t.readings), t.station_daily, station="station")
+
+
+@query("weather_audit_by_station", f"""select station, 'precip' as variable, count(*) as n, 0::bigint as nulls, min(precip) as v_min, median(precip) as v_median, max(precip) as v_max from {STATIONS} group by 1
+       union all select station, 'temp', count(*), 0, min(temp), median(temp), max(temp) from {STATIONS} group by 1""", "v_min v_median v_max")
+def _(t):
+    return weather.weather_variable_audit(t.station_daily, ["precip", "temp"], station="station").select("station", "variable", "n", "nulls", "v_min", "v_median", "v_max")
+
+
 @query("interval_sum_by_station", f"""with s as {STATIONS}, e as (select station, min(ts) as a, max(ts) as b from s group by 1),
        p as (select r.row_id, r.row_id % 7 + 1 as station, r.ts, (select max(q.ts) from readings q where q.entity_id = r.entity_id and q.ts < r.ts) as prev_ts from readings r)
        select p.row_id, case when prev_ts is null then null when p.ts - prev_ts <= 1 then 0e0 when prev_ts < e.a or p.ts - 1 > e.b then null

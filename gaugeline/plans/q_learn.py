@@ -73,7 +73,7 @@ def _(t):
 @query("baseline_learners")
 def _(t):
     d = _rows(t)
-    log = L.study({"temporal": _temporal(d), "unseen": _unseen(d)}, {"spatial": SPACE + ["yr"], "environmental": SPACE + ["yr"] + CLIMATE}, ["linear", "forest"], "value", KEEP)
+    log = L.study({"temporal": _temporal(d), "unseen": _unseen(d)}, {"spatial": SPACE + ["yr"], "environmental": SPACE + ["yr"] + CLIMATE}, ["linear", "forest", "boosted"], "value", KEEP, rounds=5)
     return L.log_metrics(log, ["regime", "feature_set", "learner"]).select("regime", "feature_set", "learner", *MET)
 
 
@@ -86,7 +86,7 @@ def _(t):
 @query("feature_set_comparison")
 def _(t):
     d = _cohort(_rows(t))
-    log = L.study({"temporal": _temporal(d), "unseen": _unseen(d)}, {"A": SPACE + CLIMATE, "B": SPACE + CLIMATE + LAGS}, ["linear", "boosted"], "value", KEEP + ["cohort"], rounds=5)
+    log = L.study({"temporal": _temporal(d), "unseen": _unseen(d)}, {"A": SPACE + CLIMATE, "B": SPACE + CLIMATE + BLOCKS["a"][:12], "C": SPACE + CLIMATE + BLOCKS["a"]}, ["linear", "boosted"], "value", KEEP + ["cohort"], rounds=5)
     return M.metrics_by_cohort_sets(log, ["regime", "feature_set", "learner"], "cohort").select("regime", "feature_set", "learner", "cohort", *MET)
 
 

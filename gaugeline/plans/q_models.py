@@ -84,6 +84,34 @@ def _(t):
     return m.join(ref, ["seed", "cohort"]).select("seed", "feature_set", "cohort", "n", flag(better).alias("learned"))
 
 
+#: Nested sets of the ablation: places, elevation, climate, history, and what tells of the monitoring itself.
+NESTED = {"A0": ["lat", "lon"], "A1": SET_A[:3], "A2": SET_A, "A3": SET_B, "A4": SETS["C"]}
+
+
+def _ablation(t):
+    """Nested feature sets over ten splits, fifty models from one scan: metrics by cohort and the change from each set to the next."""
+    d = _held(t, _rows(t))
+    models = durable(ST.linear_models(d, SEEDS, NESTED, "level"), "models")
+    m = durable(M.metrics_by_cohort_sets(ST.linear_log(d, models, NESTED, "level", KEEP), ["split", "feature_set"], "cohort").select("split", "feature_set", "cohort", *MET), "ablation")
+    ahead = F.concat(F.lit("A"), (F.substring("feature_set", 2, 1).cast("int") + 1).cast("string"))
+    before = m.select("split", "cohort", ahead.alias("feature_set"), F.col("mae").alias("mae_before"), F.col("r2").alias("r2_before"))
+    j = m.join(before, ["split", "cohort", "feature_set"], "left")
+    return j.groupBy("feature_set", "cohort").agg(F.count(F.lit(1)).alias("runs"), F.avg("mae").alias("mae"), F.stddev_samp("mae").alias("mae_std"), F.avg("r2").alias("r2"),
+                                                 F.avg((F.col("mae") - F.col("mae_before")) / F.col("mae_before") * 100).alias("mae_change_pct"), F.avg(F.col("r2") - F.col("r2_before")).alias("r2_gain"))
+
+
+query("ablation_repeated")(_ablation)
+
+
+@query("ablation_repeated_checks", """select f.feature_set, c.cohort, 10::bigint as runs, case when f.feature_set = 'A0' then 0::bigint when f.feature_set = 'A3' and c.cohort <> 'cold' then 1::bigint end as helps
+    from (select unnest(['A0', 'A1', 'A2', 'A3', 'A4']) as feature_set) f, (select unnest(['overall', 'warm', 'cold']) as cohort) c""")
+def _(t):
+    """Every set is run on every split; adding the history lowers the error of all and of warm rows."""
+    m = _ablation(t)
+    helps = F.when(F.col("feature_set") == "A0", F.when(F.col("mae_change_pct").isNull(), 0)).when((F.col("feature_set") == "A3") & (F.col("cohort") != "cold"), flag(F.col("mae_change_pct") < -5))
+    return m.select("feature_set", "cohort", "runs", helps.cast("bigint").alias("helps"))
+
+
 # clusters and folds ----------------------------------------------------------------------------------------------------
 
 RESTARTS, STEPS, CENTRES = 10, 20, 5

@@ -351,13 +351,13 @@ SPAIR = "(select a.seed, a.entity_id, a.y_true, a.y_pred as base_pred, b.y_pred
 
 
 @query("paired_effect_summary", "select 'base_vs_gated' as comparison, count(*) as seeds, avg(base_rmse) as base_rmse, avg(cand_rmse) as cand_rmse, avg(d_rmse) as d_rmse, avg(d_rmse_low) as d_rmse_low, "
-       "avg(d_rmse_high) as d_rmse_high, avg(pct_rmse) as pct_rmse, avg(p_value) as p_value from (" + _boot_sql(SPAIR, "seed").replace("range(250)", "range(50)") + ")",
+       "avg(d_rmse_high) as d_rmse_high, avg(pct_rmse) as pct_rmse, avg(p_value) as p_value from (" + _boot_sql(SPAIR, "seed") + ")",
        "base_rmse cand_rmse d_rmse d_rmse_low d_rmse_high pct_rmse p_value")
 def _(t):
     s = t.seeded_log
     d = s.where("config = 'base'").withColumnRenamed("y_pred", "base_pred").drop("config").join(
         s.where("config = 'gated'").select("seed", "row_id", F.col("y_pred").alias("cand_pred")), ["seed", "row_id"])
-    per = B.cluster_bootstrap(d, 200, keys=["seed"]).withColumn("comparison", F.lit("base_vs_gated"))
+    per = B.cluster_bootstrap(d, 1000, keys=["seed"]).withColumn("comparison", F.lit("base_vs_gated"))
     return B.paired_effect_summary(per, ["comparison"])
 
 
