@@ -32,7 +32,7 @@ from pyspark.sql.types import StructField, StructType
 
 from gaugeline.llm import linking, ngram_join
 from gaugeline.llm.common import small_batches
-from gaugeline.llm.textarrays import mix, set_print, shingle_hashes, word_hashes
+from gaugeline.llm.textarrays import mix, shingle_hashes, word_hashes
 from gaugeline.session import durable
 
 N, BANDS, ROWS = 5, 14, 4
@@ -53,14 +53,38 @@ def split_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, at, off - off[0]
 
 
-def paragraphs(words: np.ndarray, at: np.ndarray, off: np.ndarray):
-    """(row, place of the line, its first word, words, sorted distinct shingles) of every paragraph of `split_words`."""
-    sizes = np.diff(at)
-    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    place = np.arange(len(sizes)) - off[row]
-    word = at[:-1] - at[off[row]]
-    for i in np.flatnonzero(sizes >= N):
-        yield int(row[i]), int(place[i]), int(word[i]), int(sizes[i]), np.unique(shingle_hashes(words[at[i]:at[i + 1]], N))
+class Paragraphs:
+    """The paragraphs of a batch, all at once: row, place of the line, its first word, words, and the sorted distinct shingles of all of
+    them behind one another (`flat`; those of paragraph i are `flat[start[i]:start[i + 1]]`)."""
+
+    def __init__(self, words: np.ndarray, at: np.ndarray, off: np.ndarray):
+        sizes = np.diff(at)
+        own = np.flatnonzero(sizes >= N)
+        row = np.repeat(np.arange(len(off) - 1), np.diff(off))[own]
+        self.row, self.place, self.word, self.words = row, own - off[row], at[own] - at[off[row]], sizes[own]
+        count = self.words - N + 1
+        line = np.repeat(np.arange(len(own)), count)
+        every = shingle_hashes(words, N) if len(own) else np.empty(0, np.uint64)
+        first = np.cumsum(count) - count
+        values = every[np.repeat(at[own] - first, count) + np.arange(len(line))]
+        order = np.lexsort((values, line))
+        values = values[order]                              # lines stay where they are
+        new = np.ones(len(values), bool)
+        new[1:] = (values[1:] != values[:-1]) | (line[1:] != line[:-1])
+        self.flat = values[new]
+        self.n = np.bincount(line[new], minlength=len(own))
+        self.start = np.concatenate([[0], np.cumsum(self.n)])
+
+    def __len__(self) -> int:
+        return len(self.row)
+
+    def prints(self) -> np.ndarray:
+        """`set_print` of every paragraph's set, as 16-byte values."""
+        parts = [np.add.reduceat(mix(self.flat, salt), self.start[:-1]) for salt in (21, 22)]
+        return np.stack(parts, axis=1).astype(">u8").view([("a", ">u8"), ("b", ">u8")]).ravel()
+
+    def sets(self, which: np.ndarray) -> list[np.ndarray]:
+        return [self.flat[self.start[i]:self.start[i + 1]] for i in which.tolist()]
 
 
 def _over(pick, x: np.ndarray, width: int) -> np.ndarray:
@@ -103,24 +127,49 @@ def _covered(gone: list[dict] | None, n: int) -> np.ndarray:
     return np.cumsum(mark)
 
 
+def band_keys(flat: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Band keys of the non-empty sets that begin at `start` in `flat`, one row each; some ten thousand shingles at a time."""
+    ends, keys, i = np.append(start, len(flat)), np.zeros((len(start), BANDS), np.uint64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + (1 << 15), "right")) - 1)
+        own, at = flat[ends[i]:ends[j]], ends[i:j] - ends[i]
+        for k in range(BANDS * ROWS):
+            b = k // ROWS
+            keys[i:j, b] = mix(keys[i:j, b] + np.minimum.reduceat(own * _TIMES[k] + _PLUS[k], at), b + 1)
+        i = j
+    return keys
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of all ranges behind one another."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def flat_keys(flat: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the sets of n shingles that begin at `start`, behind one another, and how many each has; similar sets that differ
+    have one in common (see above)."""
+    few = np.where((n >= LEAST) & (n <= FEW), n + 1 + (-ngram_join.PERCENT * n // 100), 0)
+    many = np.flatnonzero(n >= MANY)
+    row = np.concatenate([np.repeat(np.arange(len(n)), few), np.repeat(many, BANDS)])
+    size = n[many]
+    banded = band_keys(flat[_ranges(start[many], size)], np.cumsum(size) - size) if len(many) else np.empty((0, BANDS), np.uint64)
+    keys = np.concatenate([mix(flat[_ranges(start, few)], 34), banded.ravel()])
+    return keys[np.argsort(row, kind="stable")], np.bincount(row, minlength=len(n))
+
+
+def _ends(sets: list[np.ndarray]) -> np.ndarray:
+    return np.cumsum([0, *map(len, sets)])
+
+
 def bands(sets: list[np.ndarray]) -> np.ndarray:
     """Band keys of non-empty sets, one row each."""
-    flat, start = np.concatenate(sets), np.cumsum([0, *map(len, sets)])[:-1]
-    keys = np.zeros((len(sets), BANDS), np.uint64)
-    for i in range(BANDS * ROWS):
-        low = np.minimum.reduceat(flat * _TIMES[i] + _PLUS[i], start)
-        b = i // ROWS
-        keys[:, b] = mix(keys[:, b] + low, b + 1)
-    return keys
+    return band_keys(np.concatenate(sets), _ends(sets)[:-1])
 
 
 def meeting_keys(sets: list[np.ndarray]) -> list[np.ndarray]:
-    """Keys of each set; similar sets that differ have one in common (see above)."""
-    out = [mix(s[:len(s) - ngram_join.least_overlap(len(s)) + 1], 34) if LEAST <= len(s) <= FEW else s[:0] for s in sets]
-    many = [i for i, s in enumerate(sets) if len(s) >= MANY]
-    for i, k in zip(many, bands([sets[i] for i in many]) if many else []):
-        out[i] = np.concatenate([out[i], k])
-    return out
+    """Keys of each set."""
+    keys, own = flat_keys(np.concatenate(sets), _ends(sets)[:-1], np.array([len(x) for x in sets]))
+    return np.split(keys, np.cumsum(own)[:-1])
 
 
 def _doc(id: str, text: str):
@@ -142,15 +191,19 @@ def _signed(docs: DataFrame, id: str, text: str) -> DataFrame:
     def run(batches):
         for b in batches:
             words, at, off = split_words(b.column(text))
-            found = list(paragraphs(words, at, off))
+            found = Paragraphs(words, at, off)
             take = lambda c, rows: b.column(c).take(pa.array(rows, pa.int64()))
-            if found:
-                row = [f[0] for f in found]
-                keys = meeting_keys([f[4] for f in found])
+            if len(found):
+                prints = found.prints()
+                which = np.unique(prints, return_index=True)[1]              # a class gets its keys once a batch
+                which = np.sort(which)
+                keys, own = flat_keys(found.flat, found.start[which], found.n[which])
+                sizes = np.zeros(len(found), np.int64)
+                sizes[which] = own
                 none = [pa.nulls(len(found), t) for t in (pa.list_(pa.int64()), pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(
-                    [take(id, row), take("_doc", row), *(pa.array([f[i] for f in found], pa.int64()) for i in (1, 2, 3)), pa.array([len(f[4]) for f in found], pa.int64()),
-                     pa.array([set_print(f[4]) for f in found], pa.binary()), _lists(np.concatenate(keys).view(np.int64), [len(k) for k in keys]), *none], names=out.names)
+                    [take(id, found.row), take("_doc", found.row), *(pa.array(v, pa.int64()) for v in (found.place, found.word, found.words, found.n)),
+                     pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(found), [None, pa.py_buffer(prints.tobytes())]).cast(pa.binary()), _lists(keys.view(np.int64), sizes), *none], names=out.names)
             ends = at[off]
             pos, x = anchors(words, ends)
             if len(pos):
@@ -174,9 +227,11 @@ def _sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame, id: str, text:
             h = b.column("_h")
             keep = ngram_join.marked(filt.value, h.fill_null(0).to_numpy(zero_copy_only=False)) | h.is_null().to_numpy(zero_copy_only=False)
             t = b.column(text).filter(pa.array(keep))
-            own = list({set_print(s): s for *_, s in paragraphs(*split_words(t))}.items()) if len(t) else []
-            if own:
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in own], pa.binary()), pa.array([s.astype("<u8").tobytes() for _, s in own], pa.binary())], names=["node", "set"])
+            own = Paragraphs(*split_words(t)) if len(t) else ()
+            if len(own):
+                prints, which = np.unique(own.prints(), return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(which), [None, pa.py_buffer(prints.tobytes())]).cast(pa.binary()),
+                                                  pa.array([s.astype("<u8").tobytes() for s in own.sets(which)], pa.binary())], names=["node", "set"])
 
     read = docs.select(F.when(F.col(id).isNotNull(), F.pmod(F.xxhash64(id), F.lit(ngram_join.BITS))).alias("_h"), F.col(f"`{text}`").alias(text))
     own = read.mapInArrow(run, "node binary, set binary").join(nodes, "node", "left_semi")
@@ -271,10 +326,18 @@ def _long_runs(docs: DataFrame, marks: DataFrame, gone: DataFrame, id: str, text
     out = here.groupBy("_doc", "kept", "removed", "run").agg(
         F.first(id).alias(id), F.min("word").alias("word"), F.min_by("place", "word").alias("place"), (F.max("word") + LONG - F.min("word")).alias("n_words"),
         F.max("occurrences").alias("occurrences"), F.min_by("main", "word").alias("main"), F.first("copies").alias("copies"))
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    out = _spread(out, "copies").withColumn("removed", F.col("removed") | (F.col("_copy") > 1))
     return out.select(id, "place", "n_words", "occurrences", F.col(f"main.{id}").alias("kept_id"), F.col("main.place").alias("kept_place"), "removed", "word", F.col("main.word").alias("kept_word"))
 
 
+def _spread(rows: DataFrame, copies: str, chunk: int = 4096) -> DataFrame:
+    """Every row as often as `copies` says, numbered from 1 in `_copy`. Rows with many copies are dealt out in chunks first."""
+    one = rows.where(F.col(copies) <= chunk).withColumn("_chunk", F.lit(0).cast("bigint"))
+    many = rows.where(F.col(copies) > chunk).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"({copies} - 1) div {chunk}"))))
+    both = one.unionByName(many.hint("rebalance"))
+    return both.withColumn("_copy", F.explode(F.sequence(F.col("_chunk") * chunk + 1, F.least(F.col(copies), (F.col("_chunk") + 1) * chunk)))).drop("_chunk")
+
+
 def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per occurrence of a passage that occurs more than once: id, place (line), n_words, occurrences, kept_id and
     kept_place (the occurrence that stays), removed, word and kept_word (the first word, counted from the start of the text).
@@ -295,9 +358,13 @@ def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     members = durable(met.join(own, "node"), "members")
     comp = linking.link(members, ngram_join._verifier(sets), ngram_join._may_link, durable(ngram_join.meeting(entries), "meeting"))
     flat = rows.join(comp, rows["cls"] == comp["node"], "left").select(id, "_doc", "place", "word", "n_words", F.coalesce("comp", "cls").alias("comp"))
-    groups = flat.groupBy("comp").agg(F.count("*").alias("occurrences"), F.min(F.struct(F.col(id).isNull(), F.col(id), "place", "word")).alias("main")).where("occurrences > 1")
-    lines = flat.join(groups, "comp").withColumn("removed", ~(F.col(id).eqNullSafe(F.col(f"main.{id}")) & (F.col("place") == F.col("main.place"))))
-    lines = durable(lines.select(id, "_doc", "place", "n_words", "occurrences", F.col(f"main.{id}").alias("kept_id"), F.col("main.place").alias("kept_place"), "removed",
+    groups = flat.groupBy("comp").agg(F.count("*").alias("occurrences"), F.min(F.struct(F.col(id).isNull(), F.col(id), "place", "word", "_doc")).alias("main")).where("occurrences > 1")
+    lines = flat.join(groups, "comp").withColumn("other", (F.col("_doc") != F.col("main._doc")) | (F.col("place") != F.col("main.place")))
+    lines = durable(lines.select(id, "_doc", "place", "n_words", "occurrences", F.col(f"main.{id}").alias("kept_id"), F.col("main.place").alias("kept_place"), "other",
                                  "word", F.col("main.word").alias("kept_word")), "lines")
-    gone = durable(lines.where("removed").groupBy("_doc").agg(F.collect_set(F.struct("word", "n_words")).alias("gone")), "gone")
-    return lines.drop("_doc").unionByName(_long_runs(docs, signed.where("at is not null"), gone, id, text))
+    gone = durable(lines.where("other").groupBy("_doc").agg(F.collect_set(F.struct("word", "n_words")).alias("gone")), "gone")
+    shown = [id, "place", "n_words", "occurrences", "kept_id", "kept_place", "removed", "word", "kept_word"]
+    # Of equal rows that all hold the first occurrence, one keeps it.
+    main = lines.where("not other").groupBy(*[c for c in lines.columns if c != "other"]).agg(F.count("*").alias("copies"))
+    kept = _spread(main, "copies").withColumn("removed", F.col("_copy") > 1).select(*shown)
+    return lines.where("other").withColumnRenamed("other", "removed").select(*shown).unionByName(kept).unionByName(_long_runs(docs, signed.where("at is not null"), gone, id, text))
