@@ -64,3 +64,9 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in (c.lower() for c in df.columns):
         name += "_"
     return name
+
+
+def in_files(df: DataFrame, size: int, per: int) -> DataFrame:
+    """The rows in as few partitions as their `size` needs (`per` in each), so that a small result of many partitions is not written
+    as many tiny files. Never more partitions than there are."""
+    return df.coalesce(max(1, -(-int(size) // per)))

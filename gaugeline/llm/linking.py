@@ -11,9 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.llm.common import in_files
 from gaugeline.session import durable
 
 ROUNDS = 2
+FILE_ROWS = 100_000        # rows of nodes, edges or members that a written file holds
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = durable(small.where("u <> v").distinct(), "edges")
+        e = durable(in_files(small.where("u <> v").distinct(), 2 * now[0], FILE_ROWS), "edges")
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
@@ -44,15 +46,16 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link:
     met here, `far` is smallest in the middle of a family, where pivots are taken. verify: (a, b) -> those pairs that link. may_link(x, y): SQL condition under which rows x (smaller) and y of
     one key can link and meet here first. rest: groups for the last turn, if others than `members` (every link must
     have its two nodes together in one of them)."""
-    comp = None
+    comp, size = None, members.count()
     for turn in range(ROUNDS + 1):
         m = members if rest is None or turn < ROUNDS else rest
+        total = size if m is members else rest.count()
         if comp is None:
             m = m.withColumn("comp", F.col("node"))
         else:
             m = m.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         open_ = m.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("lead").alias("lead")).where("c0 <> c1 and lead").select("key")
-        m = durable(m.join(open_, "key", "left_semi"), "open")
+        m = durable(in_files(m.join(open_, "key", "left_semi"), total, FILE_ROWS), "open")
         if m.isEmpty():                            # every group lies within one class
             if rest is None or turn == ROUNDS:
                 break
@@ -73,7 +76,7 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link:
             pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         new = durable(verify(pairs.distinct()), "links")
         if comp is None:
-            comp = durable(components(new), "components")
+            comp = durable(in_files(components(new), size, FILE_ROWS), "components")
         elif not new.isEmpty():                    # what is joined already enters as a star, so few turns are left
-            comp = durable(components(new.unionByName(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")))), "components")
+            comp = durable(in_files(components(new.unionByName(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")))), size, FILE_ROWS), "components")
     return comp if comp is not None else members.select("node", F.col("node").alias("comp")).limit(0)

@@ -35,13 +35,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from gaugeline.llm import linking
-from gaugeline.llm.common import add_columns, small_batches
+from gaugeline.llm.common import add_columns, in_files, small_batches
 from gaugeline.llm.textarrays import set_print, shingle_hashes, word_hashes
 from gaugeline.session import durable
 
 N, PERCENT = 5, 80
 SHARE, ALL = int(0.35 * 2**64), 2**64      # hashes below take part in the counting: first a third, then all
 ROW_TOKENS, BLOCK_TOKENS = 150_000, 750_000
+#: What a written file holds at least: text behind block rows, shingles behind entries, whole sets.
+FILE_BYTES, FILE_TOKENS, FILE_SETS = 8 << 20, 1_000_000, 5_000
 BITS = 1 << 23                             # of the filter for documents that are read again: 1 MB whatever the input
 
 
@@ -201,7 +203,7 @@ def _multiply(rows: DataFrame, share: int, finish) -> DataFrame:
     total = rows.agg(F.sum("n_tokens")).first()[0] or 0
     levels = _requests(rows, max(math.ceil(total / BLOCK_TOKENS), 1), share).groupBy("block").applyInArrow(_counted, "bid bigint, block int, levels binary")
     both = rows.groupBy("bid").cogroup(levels.groupBy("bid"))
-    return both.applyInArrow(lambda left, right: finish(left, right, share), ENTRY)
+    return in_files(both.applyInArrow(lambda left, right: finish(left, right, share), ENTRY), total, FILE_TOKENS)
 
 
 ENTRY = "key bigint, node binary, n bigint, rank bigint, lead boolean, far bigint"
@@ -260,7 +262,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame, id: str, text:
 
     read = docs.select(F.when(F.col(id).isNotNull(), F.pmod(F.xxhash64(id), F.lit(BITS))).alias("_h"), F.col(f"`{text}`").alias(text))
     own = read.mapInArrow(run, "node binary, set binary").join(nodes, "node", "left_semi")
-    return durable(own.groupBy("node").agg(F.first("set").alias("set")), "sets")
+    return durable(in_files(own.groupBy("node").agg(F.first("set").alias("set")), nodes.count(), FILE_SETS), "sets")
 
 
 def _verifier(sets: DataFrame):
@@ -296,13 +298,15 @@ def with_print(df: DataFrame, text: str = "text", out: str = "print") -> DataFra
 def classify(docs: DataFrame, id: str = "doc_id", text: str = "text", detail: bool = False) -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id reachable by links, itself included). detail: also `print` (of the
     row's set) and `component` (the print that names its class), both null for an empty set."""
-    rows = durable(_block_rows(docs, id, text), "blocks")
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0))).first()
+    rows = durable(_block_rows(in_files(docs, size, FILE_BYTES), id, text), "blocks")
     some = meeting(durable(_multiply(rows, SHARE, _entries).select("key", "node", "lead"), "entries"))
-    active = durable(some.select("node").distinct(), "active")
+    active = durable(in_files(some.select("node").distinct(), n, linking.FILE_ROWS), "active")
     flat = rows.select(F.explode("docs").alias("d")).select(F.col("d.id").alias(id), F.col("d.n").alias("n_shingles"), F.col("d.cls").alias("cls"))
     classes = flat.where("n_shingles > 0").groupBy("cls").agg(F.min(id).alias("first"))
     sets = _sets(docs, active, classes, id, text)
-    members = durable(meeting(whole_entries(sets)), "members")
+    entries = whole_entries(sets)
+    members = durable(in_files(meeting(entries), entries.count(), linking.FILE_ROWS), "members")
     comp = linking.link(members, _verifier(sets), _may_link)
     least = classes.join(comp, classes["cls"] == comp["node"], "left").select("cls", "first", F.coalesce("comp", "cls").alias("comp"))
     smallest = least.groupBy("comp").agg(F.min("first").alias("component_id"))
