@@ -471,3 +471,18 @@ def test_classifier_without_labels(spark):
 def test_tree_rules():
     text = "Depth\n  If (feature 0 <= 2.5)\n   If (feature 0 <= 1.5)\n    Predict: 0\n   Else (feature 0 > 1.5)\n    Predict: 1\n  Else (feature 0 > 2.5)\n   Predict: 1\n"
     assert [r.bounds for r in rule_ensemble.tree_rules(text)] == [(("log_words", "<=", 2.5),), (("log_words", "<=", 1.5),), (("log_words", "<=", 2.5), ("log_words", ">", 1.5)), (("log_words", ">", 2.5),)]
+
+
+# --- passages: rows that share an id -------------------------------------------------------------------------------
+
+def test_repeats_under_one_id_are_told_apart(spark):
+    """The line stays in one row, whether rows share an id, are equal, or have no id."""
+    line = " ".join(f"p{i}" for i in range(20))
+    rows = [(5, line + "\nfirst"), (5, line + "\nsecond"), (5, line + "\nthird"), (8, "x\n" + line), (None, line), (None, line)]
+    got = passage_dedup.repeated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == 6 and [r.doc_id for r in got if not r.removed] == [5] and {r.occurrences for r in got} == {6}
+    same = passage_dedup.repeated(spark.createDataFrame([(None, line)] * 3 + [(None, "q " + line)], "doc_id bigint, text string")).collect()
+    assert len(same) == 4 and sum(not r.removed for r in same) == 1
+    long = " ".join(f"r{i}" for i in range(70))
+    runs = passage_dedup.repeated(spark.createDataFrame([(3, "a b " + long)] * 3 + [(4, "c d e " + long + " f" * 40)], "doc_id bigint, text string")).collect()
+    assert {r.doc_id for r in runs if not r.removed} == {3} and all(r.removed for r in runs if r.doc_id == 4) and sum(r.removed for r in runs if r.doc_id == 3) >= 2
