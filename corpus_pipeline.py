@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.llm import bpe, decontaminate, ngram_join, pii, rule_ensemble
-from gaugeline.llm.common import fresh
+from gaugeline.llm.common import fresh, in_files
+from gaugeline.llm.linking import FILE_ROWS
 from gaugeline.session import durable
 
 
@@ -26,11 +27,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of every class of near duplicates one row stays: of its smallest id (null if it has no other), and where that id has several
     rows in the class, the one of the least print. Rows are told apart by id and text, so a text without a near duplicate stays
     whatever its id; so do all rows without words."""
-    classes = durable(ngram_join.classify(docs.select("doc_id", "text"), detail=True), "classes")
+    rows = docs.count()
+    classes = durable(in_files(ngram_join.classify(docs.select("doc_id", "text"), detail=True), rows, FILE_ROWS), "classes")
     other = F.col("print").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))
     ids = classes.groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if(other).alias("gone"), F.count("print").alias("sets"))
     # Ids of one row, or whose rows all go, are decided by id: whole texts are shuffled once.
-    ids = durable(ids.where("gone > 0 or (rows > 1 and sets > 0)"), "ids")
+    ids = durable(in_files(ids.where("gone > 0 or (rows > 1 and sets > 0)"), rows, FILE_ROWS), "ids")
     own, mark = fresh(docs, "_id"), fresh(docs, "_print")
     same = F.col("doc_id").eqNullSafe(F.col(own))
     kept = docs.join(ids.select(F.col("doc_id").alias(own)), same, "left_anti").select(*docs.columns)
