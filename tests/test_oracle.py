@@ -14,7 +14,8 @@ SAMPLE = ["history_features", "row_lag_features", "stage1_feature_table", "join_
           "cluster_bootstrap", "quality_dimensions_v2", "fuse_blocks", "observability_cohorts", "split_repeated", "degrade_inputs", "leakage_gates",
           "leakage_gates_faults", "conformal_intervals", "cqr_intervals", "mahalanobis_distance", "nearest_neighbor_km", "orientation_diagnostic",
           "attribution_global", "positional_prototypes", "local_explanations", "scenario_inputs", "decision_tiers", "well_forecast_view",
-          "stream_ingest_readings", "stream_daily_rollup", "history_incremental"]
+          "stream_ingest_readings", "stream_daily_rollup", "history_incremental", "attribution_path_table", "repeated_linear_closed_form", "history_corrections",
+          "scan_csv_quarantine", "scan_csv_quarantine_report", "join_prior_year_by_station", "kmeans_restarts"]
 
 
 @pytest.fixture(scope="module")
