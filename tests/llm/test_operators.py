@@ -486,3 +486,46 @@ def test_repeats_under_one_id_are_told_apart(spark):
     long = " ".join(f"r{i}" for i in range(70))
     runs = passage_dedup.repeated(spark.createDataFrame([(3, "a b " + long)] * 3 + [(4, "c d e " + long + " f" * 40)], "doc_id bigint, text string")).collect()
     assert {r.doc_id for r in runs if not r.removed} == {3} and all(r.removed for r in runs if r.doc_id == 4) and sum(r.removed for r in runs if r.doc_id == 3) >= 2
+
+
+# --- decontamination: short items, hot phrases, equal words --------------------------------------------------------
+
+def test_short_items_are_found_word_by_word(spark):
+    docs = [(1, "we met One Two three in town"), (2, "one two and three"), (3, "x " * 30 + "one two three"), (4, "solo"), (None, "one two three one two three"), (5, None)]
+    items = [(10, "one TWO three"), (11, "solo"), (12, ""), (13, None), (14, "a b c d"), (15, "one two and three then some more words here")]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.item_words, r.covered, r.tiles) for r in decontaminate.matches(d, i).collect()}
+    assert got == {(1, 10, 3, 3, "2:0:3"), (3, 10, 3, 3, "30:0:3"), (None, 10, 3, 3, "0:0:3"), (4, 11, 1, 1, "0:0:1")}
+    assert sorted(str(r.doc_id) for r in decontaminate.clean(d, i).collect()) == ["2", "5"]
+
+
+def test_places_are_never_multiplied(spark):
+    """A text and an item of one word each, and a phrase that all items and documents hold: the same tiles, by way of the rare seeds."""
+    r = random.Random(6)
+    phrase = "this phrase is in every text"
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(12)) + " " + phrase) for i in range(15)] + [(99, "same " * 60)]
+    docs = [(i, prose(i, 30) + " " + phrase + " " + prose(i + 500, 20) + (" " + items[i % 15][1] if i % 4 == 0 else "")) for i in range(60)] + [(800, "same " * 200), (801, "same " * 35), (802, "same " * 36)]
+    r.shuffle(docs)
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(x.doc_id, x.item_id, x.covered) for x in decontaminate.matches(d, i).collect()}
+    expected = {(a, b, n) for a, x in docs for b, y in items if (n := tiling_by_brute_force(words(x), words(y), 5) if a < 800 or b == 99 else 0) >= 0.6 * len(words(y))}
+    assert got == expected and (800, 99, 60) in got and (802, 99, 36) in got and not any(a == 801 for a, _, _ in got)
+
+
+def test_diagonals_equal_all_pairs_of_places():
+    r = random.Random(9)
+    for _ in range(200):
+        x, y = [r.randrange(3) for _ in range(r.randrange(1, 40))], [r.randrange(3) for _ in range(r.randrange(1, 25))]
+        seeds = sorted(set(x) & set(y))
+        met = [([i for i, v in enumerate(x) if v == s], [j for j, v in enumerate(y) if v == s]) for s in seeds]
+        pairs = [(i, j) for ps, qs in met for i in ps for j in qs]
+        if not pairs:
+            continue
+        expected = []
+        for i, j in pairs:
+            if (i - 1, j - 1) not in pairs:
+                n = 1
+                while (i + n, j + n) in pairs:
+                    n += 1
+                expected.append((n, i, j))
+        assert sorted(decontaminate.diagonals(met)) == sorted(expected)
