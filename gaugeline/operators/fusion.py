@@ -157,18 +157,20 @@ class FusionFit:
     @staticmethod
     def fit(train: DataFrame, method: str = "geometric", observability: Observability = Observability()) -> "FusionFit":
         cols = [c for b in BLOCK_NAMES for c in BLOCKS[b]]
-        train = durable(train.select("entity_id", "yr", "climate_available", *cols), "fusion-train")   # read six times below
-        med = medians(train, cols).first().asDict()
-        fills = {c: float(med[c]) if med[c] is not None else 0.0 for c in cols}
+        train = durable(train.select("entity_id", "yr", "climate_available", *cols), "fusion-train")   # read five times below
+        # Medians, quartiles and cut points of all columns in one selection.
+        long = train.unpivot([], [F.col(c).cast("double").alias(c) for c in cols], "variable", "v")
+        q = {r["variable"]: r for r in ordered.quantiles(long, "v", {"m": .5, "lo": .33, "hi": .66, "q1": .25, "q3": .75}, ["variable"]).collect()}     # a row a column
+        at = lambda c, p: q[c][p] if c in q else None
+        fills = {c: float(at(c, "m") or 0.0) for c in cols}
         filled = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(fills[c])).alias(c) for c in cols])
         row = filled.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
         center = fills["prev_value"]
         mad = ordered.quantiles(train, F.abs(F.col("prev_value") - F.lit(center)), {"mad": .5}).first()["mad"]
-        rel = quality.source_reliability(quality.quality_dimensions_v2(train), quality.DIMENSIONS, method).collect()   # 4 rows
-        cuts_n = ordered.quantiles(train, "prior_count", {"lo": .33, "hi": .66}).first()
-        cuts_g = ordered.quantiles(train, "gap_days", {"lo": .33, "hi": .66}).first()
+        dims = quality.quality_dimensions_v2(train, quartiles=(at("prev_value", "q1"), at("prev_value", "q3")))
+        rel = quality.source_reliability(dims, quality.DIMENSIONS, method).collect()   # 4 rows
         return FusionFit(fills, {c: row[f"m_{c}"] for c in cols}, {c: row[f"s_{c}"] for c in cols}, center, mad or 0.0,
-                         {r["block"]: r["reliability"] for r in rel}, (cuts_n["lo"], cuts_n["hi"]), (cuts_g["lo"], cuts_g["hi"]), observability)
+                         {r["block"]: r["reliability"] for r in rel}, *[(at(c, "lo"), at(c, "hi")) for c in ("prior_count", "gap_days")], observability)
 
     def cohorts(self, df: DataFrame) -> DataFrame:
         n, g = F.col("prior_count"), F.col("gap_days")

@@ -66,16 +66,15 @@ def _buckets(counts: DataFrame, keys: list[str]) -> DataFrame:
 def _select(df: DataFrame, value, targets: dict[str, str], keys: list[str]) -> DataFrame:
     """keys, n, and a column per target: the value at the 0-based rank that the SQL over `n` gives."""
     counts = durable(value_counts(df, value, keys), "values")      # read three times; its input may be a long plan
-    wanted = F.array(*[F.struct(F.lit(t).alias("_t"), F.expr(r).cast("bigint").alias("_r")) for t, r in targets.items()])
+    # The first rank is always there, so every group has a row.
+    wanted = F.array(*[F.struct(F.lit(t).alias("_t"), F.expr(r).cast("bigint").alias("_r")) for t, r in {**targets, "": "0"}.items()])
     cells = _buckets(counts, keys)
     at = cells.select(*keys, "_f", "_st", "_c", "n", F.inline(wanted)).where("_r >= _st and _r < _st + _c").drop("_c")
     near = counts.withColumn("_f", F.col("_v").cast("float"))
     found = null_safe_join(near, at, [*keys, "_f"])
     upto = F.sum("_n").over(Window.partitionBy(*keys, "_t").orderBy("_v")) + F.col("_st")
     hit = found.withColumn("_upto", upto).where("_upto - _n <= _r and _r < _upto")
-    wide = hit.groupBy(*keys).agg(*[F.max(F.when(F.col("_t") == t, F.col("_v"))).alias(t) for t in targets])
-    total = counts.groupBy(*keys).agg(F.sum("_n").alias("n"))
-    return null_safe_join(total, wide, keys, "left")
+    return hit.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("_t") == t, F.col("_v"))).alias(t) for t in targets])
 
 
 def quantiles(df: DataFrame, value, probs: dict[str, float], keys: list[str] | None = None) -> DataFrame:
@@ -95,6 +94,21 @@ def quantiles(df: DataFrame, value, probs: dict[str, float], keys: list[str] | N
     return wide.select(*keys, *out)
 
 
+def many_quantiles(df: DataFrame, wanted: dict[str, tuple], keys: list[str] | None = None) -> DataFrame:
+    """Percentiles of several measures in one selection, the measure being a key: wanted maps an output column to (value, probability).
+    A row per group that has a value of any measure (without keys: one row)."""
+    keys, values = list(keys or []), []
+    for v, _ in wanted.values():
+        if not any(v is x for x in values):
+            values.append(v)
+    probs = {f"_q{i}": p for i, p in enumerate(sorted({p for _, p in wanted.values()}))}
+    name = {p: n for n, p in probs.items()}
+    long = df.select(*keys, F.inline(F.array(*[F.struct(F.lit(i).alias("_m"), number(v).alias("_x")) for i, v in enumerate(values)])))
+    q = quantiles(long, "_x", probs, [*keys, "_m"])
+    at = lambda v: next(i for i, x in enumerate(values) if x is v)
+    return q.groupBy(*keys).agg(*[F.max(F.when(F.col("_m") == at(v), F.col(name[p]))).alias(out) for out, (v, p) in wanted.items()])
+
+
 def value_at_rank(df: DataFrame, value, ranks: dict[str, str], keys: list[str] | None = None) -> DataFrame:
     """Value at 1-based ranks given as SQL over `n`, the group's count of values, for example "ceil(0.9*(n+1))"; null
     for a rank outside 1..n. The result carries `n`."""

@@ -32,9 +32,13 @@ def _share(cond) -> F.Column:
     return F.avg(F.when(cond, 1.0).otherwise(0.0))
 
 
-def _outlier_share(train: DataFrame, column: str, k: float) -> DataFrame:
-    """One row: share of all rows whose value lies beyond k inter-quartile ranges."""
-    q = F.broadcast(ordered.quantiles(train, column, {"_q1": .25, "_q3": .75}))     # one row
+def _outlier_share(train: DataFrame, column: str, k: float, quartiles: tuple | None = None) -> DataFrame:
+    """One row: share of all rows whose value lies beyond k inter-quartile ranges (`quartiles`, if they are known already)."""
+    if quartiles:
+        q = train.sparkSession.range(1).select(*[F.lit(v).cast("double").alias(n) for n, v in zip(("_q1", "_q3"), quartiles)])
+    else:
+        q = ordered.quantiles(train, column, {"_q1": .25, "_q3": .75})
+    q = F.broadcast(q)                                                              # one row
     iqr = F.col("_q3") - F.col("_q1")
     out = (F.col(column) < F.col("_q1") - k * iqr) | (F.col(column) > F.col("_q3") + k * iqr)
     return train.select(column).crossJoin(q).agg(_share(F.coalesce(out, F.lit(False))).alias("outlier_ratio"))
@@ -65,7 +69,7 @@ def quality_dimensions_v1(train: DataFrame) -> DataFrame:
         "d": dict(completeness=0.0, temporal=0.0, spatial=0.0, density=0.0, outlier_ratio=0.0)}, cols)
 
 
-def quality_dimensions_v2(train: DataFrame, entity="entity_id") -> DataFrame:
+def quality_dimensions_v2(train: DataFrame, entity="entity_id", quartiles: tuple | None = None) -> DataFrame:
     """Dimensions per block; null where a dimension does not apply, with the applicable ones listed."""
     a, b, c = BLOCKS["a"], BLOCKS["b"], BLOCKS["c"]
 
@@ -81,7 +85,7 @@ def quality_dimensions_v2(train: DataFrame, entity="entity_id") -> DataFrame:
         F.avg("climate_available").alias("avail"))
     years = train.select(entity, "yr").distinct()
     cover = years.agg((F.count(F.lit(1)) / F.countDistinct(entity) / F.countDistinct("yr")).alias("cover"))
-    one = one.crossJoin(F.broadcast(_outlier_share(train, "prev_value", 3.0))).crossJoin(F.broadcast(cover))   # one row each
+    one = one.crossJoin(F.broadcast(_outlier_share(train, "prev_value", 3.0, quartiles))).crossJoin(F.broadcast(cover))   # one row each
     rows = _rows(one, {
         "a": dict(completeness=F.col("ca"), validity=F.col("va"), duplicate=1.0, outlier_quality=1 - F.col("outlier_ratio"),
                   temporal=clip("cover", .1, 1.0), spatial=1.0),

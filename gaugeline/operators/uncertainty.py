@@ -67,9 +67,9 @@ def interval_metrics(df: DataFrame, keys: list[str], alpha: float = 0.10, lower=
     base = d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg("_c").alias("coverage"), (F.avg("_c") - F.lit(1.0 - alpha)).alias("coverage_deviation"),
         F.avg("_w").alias("mean_width"), F.avg("_ae").alias("mae"), F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"), F.avg("_e").alias("mean_error"))
-    w = ordered.quantiles(d, "_w", {"median_width": .5, "p90_width": .9, "p95_width": .95}, keys)
-    e = ordered.quantiles(d, "_ae", {"medae": .5, "p90_ae": .9, "p95_ae": .95}, keys)
-    return base.join(w, keys).join(e, keys) if keys else base.crossJoin(F.broadcast(w)).crossJoin(F.broadcast(e))
+    w, e = "_w", "_ae"
+    q = ordered.many_quantiles(d, {"median_width": (w, .5), "p90_width": (w, .9), "p95_width": (w, .95), "medae": (e, .5), "p90_ae": (e, .9), "p95_ae": (e, .95)}, keys)
+    return base.join(q, keys) if keys else base.crossJoin(F.broadcast(q))                # one row each
 
 
 def calibration_summary(calibration: DataFrame, keys: list[str], y="y_true", p="y_pred", rule: str = "textbook") -> DataFrame:

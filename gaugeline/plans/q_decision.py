@@ -269,6 +269,7 @@ def _(t):
 
 
 def _matrix(t, width_limit=1000.0):
+    t.response = durable(t.response, "response")                        # reference rows and latest rows
     ref = t.response.where("yr <= 1998")
     latest = durable(D.potential_index(_latest(t), ref), "latest")      # one row per site, read five times below
     cal = t.prediction_log.where("split = 'validation' and model = 'm1'")

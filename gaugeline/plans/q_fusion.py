@@ -12,6 +12,7 @@ from gaugeline.operators import quality as Q
 from gaugeline.operators import splits as S
 from gaugeline.plans.registry import query
 from gaugeline.plans.roles import TRAIN_END
+from gaugeline.session import durable
 from gaugeline.sources import readers as R
 
 COLS = [c for b in "abc" for c in BLOCKS[b]]
@@ -208,6 +209,7 @@ def _(t):
 @q("fusion_fit_transform", """select row_id, """ + ", ".join(f"w_{b} * z_{c} as fused_{c}" for b in "abc" for c in BLOCKS[b]) + ", ra as rel_a, rb as rel_b, rc as rel_c, avail_a, avail_b, avail_c, w_a, w_b, w_c from zs, rel",
    " ".join(f"fused_{c}" for c in COLS) + " rel_a rel_b rel_c avail_a avail_b avail_c w_a w_b w_c", digits=5)
 def _(t):
+    t.model_rows = durable(t.model_rows, "model-rows")                    # fitted on and transformed
     return fit(t).matrix(t.model_rows, "C2", ["row_id"])
 
 
@@ -320,7 +322,9 @@ GATES = ["target_absent", "banned_absent", "features_present", "gap_positive", "
 
 @q("leakage_gates", """select g as gate, 0::bigint as violations, case when (select count(*) from readings) > 0 then 'PASS' end as status from (select unnest([""" + ", ".join(f"'{g}'" for g in GATES) + "]) as g)")
 def _(t):
-    h, m = t.history, t.model_rows
+    # Written once and gated as written: the history columns are those of the model rows.
+    t.model_rows = durable(t.model_rows, "model-rows")
+    h = m = t.model_rows
     f = fit(t)
     w = f.transform(m, "C2")
     from gaugeline.operators.select import assign_temporal_split
