@@ -1,5 +1,7 @@
 """Model studies (rows-only checks unless closed form) and streaming jobs."""
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from gaugeline.config import BLOCKS
@@ -12,6 +14,7 @@ from gaugeline.operators import profile as P
 from gaugeline.operators import splits as S
 from gaugeline.operators import uncertainty as C
 from gaugeline.operators import attribution as A
+from gaugeline.plans.q_models import FAMILIES
 from gaugeline.plans.registry import query
 from gaugeline.session import durable, scratch_path
 from gaugeline.streaming import jobs as J
@@ -21,7 +24,6 @@ SPACE = ["lat", "lon", "elev"]
 CLIMATE = BLOCKS["b"]
 LAGS = ["prev_value", "gap_days", "roll3_mean", "roll3_std", "hist_mean", "prior_count", "density"]
 KEEP = ["row_id", "entity_id", "ts"]
-PRECIP = ["precip_7d", "precip_30d", "precip_90d", "precip_180d", "precip_interval"]
 MET = ["n", "r2", "mae", "rmse"]
 
 
@@ -100,7 +102,7 @@ def _(t):
 def _(t):
     d = durable(t.response.where("delta is not null"), "response")
     robust = P.within_fences(d, "delta", 1.5)
-    feats = ["prev_value", "gap_days", "density", "temp_mean_30d"] + PRECIP
+    feats = FAMILIES["S5"]
     log = L.study({"temporal_full": _temporal(d), "temporal_robust": _temporal(robust), "unseen_full": _unseen(d)}, {"R": feats}, ["linear", "forest"], "delta", KEEP, trees=10)
     return L.log_metrics(log, ["regime", "learner"]).select("regime", "learner", *MET)
 
@@ -157,16 +159,16 @@ def _(t):
 def _(t):
     tr, te = _temporal(_rows(t))
     f = L.fit(tr, LAGS, "value", "forest", trees=10)
-    return L.interaction_profile(f, te, [("prev_value", "gap_days"), ("prev_value", "hist_mean"), ("roll3_mean", "density")])
+    return L.interaction_profile(f, te, list(combinations(["prev_value", "gap_days", "roll3_mean", "hist_mean", "density"], 2)))
 
 
 @query("scenario_scoring")
 def _(t):
     d = durable(t.response, "response")
-    feats = ["prev_value", "gap_days", "density"] + PRECIP + ["precip_14d", "precip_60d"]
+    feats = FAMILIES["S5"]
     ref = d.where("yr <= 1998 and prior_count > 0")
     f = L.fit(ref.where("delta is not null"), feats, "delta", "forest", trees=10)
-    latest = P.latest_snapshot(d, ["prior_count", *feats])
+    latest = P.latest_snapshot(d, feats)
     s = f.predict(D.scenario_inputs(latest, ref, feats)).withColumnRenamed("y_pred", "predicted_delta")
     return D.scenario_summary(s)
 

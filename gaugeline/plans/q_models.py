@@ -174,6 +174,53 @@ def _(t):
     return per.agg(F.count(F.lit(1)).alias("entities"), F.countDistinct("cluster").alias("folds"), F.count_if(F.col("c") > 1).alias("shared"))
 
 
+# response studies ------------------------------------------------------------------------------------------------------
+
+H13 = ["prev_value", "prev2_value", "gap_days", "gap_years", "prior_count", "roll3_mean", "roll3_std", "prev_change", "recent_trend", "hist_mean", "hist_std", "hist_min", "hist_max"]
+RAIN = [f"precip_{n}d" for n in (7, 14, 30, 60, 90, 180)]
+EVENTS = ["rain_days_30d", "max_precip_30d", "dry_spell_days"]
+AIR = ["temp_mean_30d", "temp_max_30d", "radiation_30d", "rh_mean_30d", "wind_mean_30d"]
+PLACE = ["lat", "lon", "elev"]
+#: Families of features behind the change since the last reading.
+FAMILIES = {"S0": PLACE, "S1": PLACE + H13, "S2": PLACE + H13 + AIR, "S3": PLACE + H13 + RAIN, "S4": PLACE + H13 + RAIN + ["precip_interval"], "S5": PLACE + H13 + RAIN + EVENTS + ["precip_interval"] + AIR}
+MAIN = {k: FAMILIES[k] for k in ("S1", "S4", "S5")}
+
+
+def _responses(t):
+    return durable(t.response.where("delta is not null"), "response")
+
+
+@query("response_family_ablation")
+def _(t):
+    """Six families of features, one temporal split, one scan: metrics on later readings."""
+    d = _responses(t).where("yr <= 1998 or yr >= 2000").withColumn("held", F.when(F.col("yr") >= 2000, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))
+    models = durable(ST.linear_models(d, [0], FAMILIES, "delta"), "models")
+    return L.log_metrics(ST.linear_log(d, models, FAMILIES, "delta", ["row_id"]), ["feature_set"]).select("feature_set", *MET)
+
+
+def _response_repeated(t):
+    d = durable(_responses(t).join(ST.held_out(t.readings, SEEDS), "entity_id"), "held")
+    models = durable(ST.linear_models(d, SEEDS, MAIN, "delta"), "models")
+    return L.log_metrics(ST.linear_log(d, models, MAIN, "delta", ["row_id"]), ["split", "feature_set"]).select(F.col("split").alias("seed"), "feature_set", *MET)
+
+
+query("response_repeated")(_response_repeated)
+
+
+@query("response_repeated_checks", "select x.seed, f.feature_set, count(*) as n, 1::bigint as learned from hist h join heldout x using (entity_id), (select unnest(['S1', 'S4', 'S5']) as feature_set) f where h.prev_value is not null group by all", extra={"heldout": HELD})
+def _(t):
+    """Every run scores the warm rows of its test sites, and explains some of the change."""
+    return _response_repeated(t).select("seed", "feature_set", "n", flag(F.col("r2") > 0.2).alias("learned"))
+
+
+@query("response_spatial")
+def _(t):
+    """Leave one cluster out, three families, two learners."""
+    d = durable(_responses(t).join(_clusters(t), "entity_id"), "clustered")
+    log = ST.fold_log(d, "cluster", CENTRES, MAIN, "delta", {k: LEARNERS[k] for k in ("linear", "forest")}, ["row_id", "entity_id"])
+    return L.log_metrics(log, ["fold", "feature_set", "learner"]).select("fold", "feature_set", "learner", *MET)
+
+
 # quantile boosting -----------------------------------------------------------------------------------------------------
 
 PROBS = {"q05": .05, "q50": .5, "q95": .95}
