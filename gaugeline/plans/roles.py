@@ -102,11 +102,16 @@ class Tables:
     @cached_property
     def predictions(self) -> DataFrame:
         """(row_id, model) unique; three deterministic models."""
+        return self.predicted(self.readings)
+
+    def predicted(self, readings: DataFrame, *keep: str) -> DataFrame:
+        """Predictions for the given readings, whose `keep` columns go along. A join with this log is a merge join: Spark takes the size
+        of exploded rows for that of the rows before, and would broadcast them."""
         models = F.explode(F.expr("array(named_struct('model','m1','k',1), named_struct('model','m2','k',2), "
                                   "named_struct('model','m3','k',5))")).alias("m")
-        return self.readings.select("row_id", "entity_id", "ts", "yr", F.col("value").alias("y_true"), models).selectExpr(
+        return readings.select("row_id", "entity_id", "ts", "yr", F.col("value").alias("y_true"), *keep, models).selectExpr(
             "row_id", "entity_id", "ts", "yr", "m.model as model", "y_true",
-            "cast(floor(y_true * (1d + (((row_id * 7 + m.k * 3) % 21) - 10) / 64d) + 0.5d) as double) as y_pred")
+            "cast(floor(y_true * (1d + (((row_id * 7 + m.k * 3) % 21) - 10) / 64d) + 0.5d) as double) as y_pred", *keep).hint("merge")
 
     @cached_property
     def prediction_log(self) -> DataFrame:
@@ -119,14 +124,18 @@ class Tables:
     @cached_property
     def seeded_log(self) -> DataFrame:
         """A run log over five seeds and three configurations, derived from the predictions."""
+        return self.seeded(self.readings)
+
+    def seeded(self, readings: DataFrame, *keep: str) -> DataFrame:
+        """The run log of the given readings, whose `keep` columns go along: joined once a reading, not once a run."""
         grid = F.explode(F.expr("sequence(1, 5)")).alias("seed")
         cfg = F.explode(F.expr("array(named_struct('config','base','c',0), named_struct('config','meta','c',1), "
                                "named_struct('config','gated','c',2))")).alias("g")
-        p = self.predictions.where("model = 'm1'").select("row_id", "entity_id", "ts", "yr", "y_true", grid)
+        p = self.predicted(readings, *keep).where("model = 'm1'").select("row_id", "entity_id", "ts", "yr", "y_true", *keep, grid)
         p = p.select("*", cfg)
         return p.selectExpr(
             "seed", "g.config as config", "row_id", "entity_id", "ts", "yr", "y_true",
-            "cast(floor(y_true * (1d + (((row_id * 7 + seed * 3 + g.c * 5) % (21 - g.c * 2)) - (10 - g.c)) / 64d) + 0.5d) as double) as y_pred")
+            "cast(floor(y_true * (1d + (((row_id * 7 + seed * 3 + g.c * 5) % (21 - g.c * 2)) - (10 - g.c)) / 64d) + 0.5d) as double) as y_pred", *keep)
 
     @cached_property
     def attributions(self) -> DataFrame:
