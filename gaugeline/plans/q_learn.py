@@ -254,7 +254,7 @@ def _(t):
 EV_DDL = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
-ROWS_PER_FILE = 250_000
+ROWS_PER_FILE = 2_000_000       # a micro-batch has costs of its own, whatever its rows
 
 
 def _event_files(t, order_key: str, repeat: bool = False):
@@ -272,7 +272,9 @@ def _event_files(t, order_key: str, repeat: bool = False):
 def _ordered_files(t, rows, order: str, name: str, least: int = 7):
     """A table as a folder of files that arrive one after the other, each holding a range of `order`: as many micro-batches."""
     path, files = scratch_path(t.spark, name), least + rows.count() // ROWS_PER_FILE
-    parts = durable(rows.repartitionByRange(files, order).withColumn("_part", F.spark_partition_id()), name)
+    ranges = scratch_path(t.spark, name)
+    rows.repartitionByRange(files, order).withColumn("_part", F.spark_partition_id()).write.partitionBy("_part").parquet(ranges)     # a part is read once
+    parts = t.spark.read.schema(rows.withColumn("_part", F.lit(0)).schema).parquet(ranges)
     for i in range(files):
         parts.where(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(path)
     return path

@@ -3,9 +3,14 @@
 import hashlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from gaugeline.operators import clusters as K
 from gaugeline.operators import resample as B
+from gaugeline.operators import studies as ST
+from gaugeline.operators.learn import make_learner
+from gaugeline.plans import q_learn as Q
 from gaugeline.plans.roles import Tables
 
 
@@ -61,3 +66,39 @@ def test_seeded_keeps_columns_of_repeated_and_null_rows(spark):
     cols = ["seed", "config", "row_id", "cohort", "y_pred"]
     old = sorted(map(tuple, t.seeded_log.join(h, "row_id").select(cols).collect()))
     assert sorted(map(tuple, t.seeded(t.readings.join(h, "row_id"), "cohort").select(cols).collect())) == old and len(old) == 15 * 12
+
+
+def test_kmeans_sums_take_ties_to_the_lower_cluster(spark):
+    points = spark.createDataFrame([(1, 0, 0), (2, 10, 0), (3, 5, 0), (4, -7, 3)], "k bigint, _z0 bigint, _z1 bigint").repartition(3)
+    got = {tuple(r) for r in K._sums(points, 2, [[(0, 0), (10, 0)], [(5, 0)], [(100, 100), (5, 0)]]).collect()}
+    assert got == {(0, 0, 3, 0 + 25 + 58, -2, 3), (0, 1, 1, 0, 10, 0), (1, 0, 4, 25 + 25 + 0 + 153, 8, 3), (2, 1, 4, 203, 8, 3)}
+
+
+def test_folds_fit_each_model_once(spark, monkeypatch):
+    """One fit a fold, set and learner, one median pass a fold; rows are predicted by models that never saw their fold."""
+    fits, fills = [], []
+    monkeypatch.setattr(ST, "make_learner", lambda *a, **kw: fits.append(a) or make_learner(*a, **kw))
+    fit = ST.Imputer.fit
+    monkeypatch.setattr(ST.Imputer, "fit", lambda self, d: fills.append(1) or fit(self, d))
+    rows = [(i, i % 3, float(i % 11), None if i % 7 == 0 else float(i % 5), 2.0 * (i % 11) + 100.0 * (i % 3)) for i in range(330)]
+    d = spark.createDataFrame(rows, "row_id bigint, fold int, a double, b double, y double")
+    got = ST.fold_log(d, "fold", 3, {"A": ["a"], "B": ["a", "b"]}, "y", {"linear": {}, "forest": {"trees": 2, "depth": 2}}, ["row_id"]).collect()
+    assert len(fits) == 12 and len(fills) == 3 and len(got) == 330 * 4
+    for r in got:
+        if r.learner == "linear" and r.feature_set == "A":
+            assert abs(r.y_pred - (2 * (r.row_id % 11) + sum(100 * k for k in range(3) if k != r.fold) / 2)) < 0.1
+
+
+def test_folds_need_rows(spark):
+    d = spark.createDataFrame([(i, i % 2, float(i), float(i)) for i in range(20)], "row_id bigint, fold int, a double, y double")
+    with pytest.raises(ValueError):
+        ST.fold_log(d, "fold", 3, {"A": ["a"]}, "y", {"linear": {}}, ["row_id"])
+
+
+def test_ordered_files_keep_order_and_few_batches(spark):
+    """Two million rows a file; a range of the order in each, none in two."""
+    rows = spark.range(3_000_000).selectExpr("id", "(id * 7919) % 3000000 as at")
+    path = Q._ordered_files(Tables(spark, "nowhere"), rows, "at", "many")
+    per = spark.read.parquet(path).groupBy(F.input_file_name().alias("f")).agg(F.min("at").alias("a"), F.max("at").alias("b"), F.count(F.lit(1)).alias("n")).orderBy("a").collect()
+    assert len(per) <= 8 and sum(r.n for r in per) == 3_000_000
+    assert all(x.b < y.a for x, y in zip(per, per[1:]))
