@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.config import BANNED
 from gaugeline.operators import history, profile
+from gaugeline.session import durable
 
 
 def _rows(one: DataFrame, names: list[str]) -> DataFrame:
@@ -125,10 +126,10 @@ def weight_checks() -> list[tuple[str, F.Column]]:
 
 def partition_gates(split: DataFrame, entity="entity_id", part="split") -> DataFrame:
     """Calibration and test share no entity, and no part lacks one."""
-    per = split.groupBy(entity).agg(F.count_if(F.col(part) == "calibration").alias("_c"), F.count_if(F.col(part) == "test").alias("_t"))
-    both = counted(per, [_count("calibration_test_disjoint", (F.col("_c") > 0) & (F.col("_t") > 0))])
-    n = split.agg(*[F.countDistinct(F.when(F.col(part) == p, F.col(entity))).alias(p) for p in ("train", "calibration", "test")])
-    return both.unionByName(_rows(n.select(sum(F.when(F.col(p) == 0, 1).otherwise(0) for p in ("train", "calibration", "test")).alias("parts_filled")), ["parts_filled"]))
+    parts = ("train", "calibration", "test")
+    per = split.groupBy(entity).agg(*[F.count_if(F.col(part) == p).alias(f"_{p}") for p in parts])
+    empty = sum(F.when(F.count_if((F.col(f"_{p}") > 0) & F.col(entity).isNotNull()) == 0, 1).otherwise(0) for p in parts)
+    return counted(per, [_count("calibration_test_disjoint", (F.col("_calibration") > 0) & (F.col("_test") > 0)), ("parts_filled", empty.alias("parts_filled"))])
 
 
 def cluster_gates(rows: DataFrame, entity="entity_id", cluster="cluster") -> DataFrame:
@@ -139,7 +140,7 @@ def cluster_gates(rows: DataFrame, entity="entity_id", cluster="cluster") -> Dat
 
 def second_lag_gates(rows: DataFrame, readings: DataFrame, entity="entity_id", ts="ts", value="value") -> DataFrame:
     """The claimed second-last level is the mean of the day before the previous day: found again by the previous day's own claim."""
-    per_day = rows.groupBy(entity, ts).agg(F.max("prev_value").alias("_p1"), F.max("prev2_value").alias("_p2"), F.max("gap_days").alias("_g"))
+    per_day = durable(rows.groupBy(entity, ts).agg(F.max("prev_value").alias("_p1"), F.max("prev2_value").alias("_p2"), F.max("gap_days").alias("_g")), "claims")     # read twice; its input may be a long plan
     claim = per_day.withColumn("_pt", F.date_sub(ts, F.col("_g").cast("int")))
     earlier = per_day.select(entity, F.col(ts).alias("_pt"), F.col("_p1").alias("_expected"))
     j = claim.join(earlier, [entity, "_pt"], "left")
