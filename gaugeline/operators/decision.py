@@ -10,6 +10,7 @@ from gaugeline.functions.scalars import clean_float, clip, null_skipping_mean, t
 from gaugeline.operators import ordered, profile, uncertainty
 from gaugeline.operators.lookup import asof_nearest_year
 from gaugeline.operators.select import depth_class
+from gaugeline.session import durable
 
 SCENARIO_COLUMNS = [f"precip_{n}d" for n in PRECIP_WINDOWS] + ["precip_interval"]
 
@@ -61,7 +62,7 @@ def scenario_inputs(latest: DataFrame, reference: DataFrame, features: list[str]
 
 
 def scenario_summary(scored: DataFrame, value="predicted_delta") -> DataFrame:
-    warm = scored.where(F.col("prior_count") > 0)
+    warm = durable(scored.where(F.col("prior_count") > 0).select("scenario", "depth_class", value), "scored")      # read twice; its input may be a long plan
     base = warm.groupBy("scenario", "depth_class").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
     return base.join(ordered.quantiles(warm, value, {"median": .5}, ["scenario", "depth_class"]), ["scenario", "depth_class"])
 
