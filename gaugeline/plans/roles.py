@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.operators import history, weather
+from gaugeline.session import compiled
 
 #: A target with signal, in SQL that both engines read.
 SIGNAL = "coalesce(prev_value, 150e0) / 2 + 25 * least(coalesce(density, 0e0), 2e0) + case when elev > 2350 then 40e0 else 0e0 end + value / 8"
@@ -23,7 +24,7 @@ class Tables:
     """Lazily mapped tables of one data folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder = compiled(spark), folder
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

@@ -33,6 +33,13 @@ def build_session(master: str | None = None, app: str = "gaugeline", shuffle_par
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return compiled(spark)
+
+
+def compiled(spark: SparkSession) -> SparkSession:
+    """Generated methods of more than 8000 bytes are never compiled by the JVM and run interpreted, row by row: such stages take
+    Spark's split form instead."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 
