@@ -92,9 +92,14 @@ def watch_sites(stream: DataFrame, limit_days: float, expire_days: float = 3650.
 def with_weather(readings: DataFrame, weather: DataFrame, days: int, keep: list[str], cols: list[str], station: str = "station", ts: str = "ts", delay: str = "1 day") -> DataFrame:
     """Every reading with each weather row of its station from `days` days before up to the day before; a row of nulls where there is none
     (append mode). Both streams carry a watermark, so state holds `days` days and the delay; rows without a time are left out.
-    The last readings are emitted when later rows, or heartbeats, move the watermark on."""
+    The last readings are emitted when later rows, or heartbeats, move the watermark on.
+
+    State is kept by station and calendar day: a weather row is there once for each day whose readings it may meet (`days` + 1 of them),
+    a reading once, under its own day, so a row is compared with the rows of a few days and not with all that a station has in state."""
     left = readings.where(F.col(ts).isNotNull()).withWatermark(ts, delay).select(*[F.col(c).alias(f"_l_{c}") for c in dict.fromkeys([*keep, station, ts])])
     right = weather.where(F.col(ts).isNotNull()).withWatermark(ts, delay).select(*[F.col(c).alias(f"_r_{c}") for c in dict.fromkeys([*cols, station, ts])])
+    left = left.withColumn("_l__day", F.to_date(f"_l_{ts}"))
+    right = right.withColumn("_r__day", F.explode(F.expr(f"sequence(to_date(`_r_{ts}`), date_add(to_date(`_r_{ts}`), {days}))")))
     near = F.expr(f"`_r_{ts}` >= `_l_{ts}` - interval {days} days and `_r_{ts}` < `_l_{ts}`")
-    both = left.join(right, (F.col(f"_l_{station}") == F.col(f"_r_{station}")) & near, "left_outer")
+    both = left.join(right, (F.col(f"_l_{station}") == F.col(f"_r_{station}")) & (F.col("_l__day") == F.col("_r__day")) & near, "left_outer")
     return both.select(*[F.col(f"_l_{c}").alias(c) for c in keep], F.col(f"_r_{ts}").alias("weather_ts"), *[F.col(f"_r_{c}").alias(c) for c in cols])

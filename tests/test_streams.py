@@ -90,3 +90,22 @@ def test_stream_join_equals_the_batch_join(spark, splits):
     got = Counter((r.row_id, r.precip) for r in spark.read.parquet(out).where("row_id is not null").collect())
     batch = lf.where("ts is not null").alias("l").join(rf.alias("r"), F.expr("l.station = r.station and r.ts >= l.ts - interval 2 days and r.ts < l.ts"), "left")
     assert got == Counter((r.row_id, r.precip) for r in batch.select("l.row_id", "precip").collect())
+
+
+def test_stream_join_deals_the_rows_of_a_station_by_day(spark):
+    """State of one station is spread by day, not compared and kept in one task; times within the day, rows that come twice, null stations
+    and bounds to the microsecond give the rows of the batch join."""
+    left = [(i, 1, f"2024-01-{1 + i % 28:02d} {i % 24:02d}:00:00") for i in range(200)] + [(7, 1, "2024-01-08 07:00:00"), (300, None, "2024-01-05 10:00:00"), (301, 2, "2024-01-05 10:00:00")]
+    right = [(1, f"2024-01-{1 + i % 28:02d} {i * 5 % 24:02d}:00:00", float(i)) for i in range(90)] + [(1, "2024-01-06 07:00:00", 500.0), (1, "2024-01-06 06:59:59.999999", 501.0), (1, "2024-01-08 06:59:59.999999", 502.0), (None, "2024-01-04", 503.0)]
+    a, b, out, ck = (scratch_path(spark, n) for n in ("a", "b", "out", "ck"))
+    lf = spark.createDataFrame(left, "row_id bigint, station bigint, t string").select("row_id", "station", F.col("t").cast("timestamp").alias("ts"))
+    rf = spark.createDataFrame(right, "station bigint, t string, precip double").select("station", F.col("t").cast("timestamp").alias("ts"), "precip")
+    for frame, path in ((lf, a), (rf, b)):
+        frame.coalesce(1).write.parquet(path)
+        frame.limit(1).select(*[F.lit(None).cast(frame.schema[c].dataType).alias(c) if c != "ts" else F.lit("2025-01-01").cast("timestamp").alias("ts") for c in frame.columns]).write.mode("append").parquet(path)
+    joined = stateful.with_weather(jobs.file_stream(spark, a, "row_id bigint, station bigint, ts timestamp"), jobs.file_stream(spark, b, "station bigint, ts timestamp, precip double"), 2, ["row_id"], ["precip"])
+    jobs.append_sink(joined.withColumn("task", F.spark_partition_id()), out, ck).awaitTermination()
+    rows = spark.read.parquet(out).where("row_id is not null").collect()
+    batch = lf.alias("l").join(rf.alias("r"), F.expr("l.station = r.station and r.ts >= l.ts - interval 2 days and r.ts < l.ts"), "left")
+    assert Counter((r.row_id, r.weather_ts, r.precip) for r in rows) == Counter((r.row_id, r.ts, r.precip) for r in batch.select("l.row_id", "r.ts", "r.precip").collect())
+    assert len({r.task for r in rows if r.precip is not None}) > 1
